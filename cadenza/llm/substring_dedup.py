@@ -28,6 +28,12 @@ SLAB = 1 << 19
 HOT_SPANS = 50_000
 #: Windows in one in-memory sort.
 SORT_ROWS = 1 << 20
+#: Texts from which hot anchors are told, and the share of all spans that makes one hot: at most 1 / HOT_SHARE are. Being
+#: hot changes where an anchor's spans are dealt, not what is removed.
+HOT_TEXTS = 4_000
+HOT_SHARE = 0.0005
+#: Repeated spans that a task remembers.
+KNOWN_SPANS = 200_000
 
 _rng = np.random.default_rng(20_240_229)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,8 +124,37 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield who, where, b"".join(held)
 
 
+def _known_earlier(known: dict, same: np.ndarray, doc: np.ndarray, rep: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True where an equal span (rows of `same`) surely starts earlier: in these rows, or in what the task has seen before.
+
+    `known` holds the earliest place of spans that repeat; it only saves shuffled rows, so it may forget.
+    """
+    key = _mix(same[:, 0] * np.uint64(0xA24BAED4963EE407) + same[:, 1] * np.uint64(0x9FB21C651E98DF25) + same[:, 2])
+    order = np.argsort(key, kind="stable")
+    twin = key[order][1:] == key[order][:-1]
+    many = order[np.r_[False, twin] | np.r_[twin, False]] if len(order) else order
+    sure = np.zeros(len(key), bool)
+    if not len(many):
+        return sure
+    many = many[np.lexsort((start[many], rep[many], doc[many], key[many]))]
+    first = np.r_[True, key[many][1:] != key[many][:-1]]
+    lead = many[first][np.cumsum(first) - 1]
+    sure[many] = ~first & (same[many] == same[lead]).all(axis=1)
+    if len(known) > KNOWN_SPANS:
+        known.clear()
+    for i in many[first].tolist():
+        span, place = same[i].tobytes(), (doc[i], rep[i], start[i])
+        had = known.setdefault(span, place)
+        if had < place:
+            sure[i] = True
+        else:
+            known[span] = place
+    return sure
+
+
 def _spans(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for pdf in batches:
             ids, reps = pdf["doc_id"].to_numpy(), pdf["rep"].to_numpy()
             texts = [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
@@ -130,12 +165,14 @@ def _spans(length: int):
                 piece, p0, p1, q, kmer, span = anchors(np.frombuffer(data, np.uint8), np.arange(len(who)), starts, ends, length)
                 doc = np.array([i for i, _ in who])[piece]
                 shift = np.array(where)[piece] - starts[piece]
-                yield pd.DataFrame({"kmer": kmer.view(np.int64), "span": span.view(np.int64), "before": (q - p0).astype(np.int16), "windows": (p1 - p0 + 1).astype(np.int16), "doc_id": ids[doc], "rep": reps[doc], "start": (p0 + shift).astype(np.int32)})
+                before, windows, start = q - p0, p1 - p0 + 1, (p0 + shift).astype(np.int32)
+                sure = _known_earlier(known, np.column_stack([kmer, span, (before * 65_536 + windows).astype(np.uint64)]), ids[doc], reps[doc], start)
+                yield pd.DataFrame({"kmer": kmer.view(np.int64), "span": span.view(np.int64), "before": before.astype(np.int16), "windows": windows.astype(np.int16), "doc_id": ids[doc], "rep": reps[doc], "start": start, "sure": sure})
 
     return run
 
 
-SPANS = "kmer long, span long, before short, windows short, doc_id long, rep long, start int"
+SPANS = "kmer long, span long, before short, windows short, doc_id long, rep long, start int, sure boolean"
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -241,16 +278,27 @@ def _hot_windows(spans: DataFrame, length: int) -> DataFrame:
     return each.join(first, "window").filter(F.struct("doc_id", "rep", "lo") != F.col("first")).select("doc_id", "rep", "lo", (F.col("lo") + length).alias("hi"))
 
 
+def _hot_anchors(texts: DataFrame, length: int) -> DataFrame:
+    """(kmer, hot) of the anchors that hold more than HOT_SHARE of the spans of about HOT_TEXTS texts."""
+    step = max(1, texts.count() // HOT_TEXTS)
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counts = written(some.mapInPandas(_spans(length), SPANS).groupBy("kmer").count(), "anchor-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.filter(F.col("count") > max(4, int(total * HOT_SHARE))).select("kmer", F.lit(True).alias("hot"))
+
+
 def removed_stretches(texts: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, rep, lo, hi): byte stretches, not yet merged, that cover every byte to remove from (doc_id, rep, text)."""
     same = ["kmer", "span", "before", "windows"]
+    spans = texts.mapInPandas(_spans(length), SPANS).join(F.broadcast(_hot_anchors(texts, length)), "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # Rows that need no others are dealt anywhere, those of a hot anchor by their span, all others by their anchor.
+    dealt = spans.withColumn("deal", F.when(F.col("sure"), F.xxhash64("doc_id", "rep", "start")).when(F.col("hot"), F.xxhash64("kmer", "span")).otherwise(F.col("kmer")))
     ranked = (
-        texts.mapInPandas(_spans(length), SPANS)
-        .repartition("kmer")
-        .withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("doc_id", "rep", "start")))
-        .withColumn("spans", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("kmer")))
+        dealt.repartition("deal")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("deal", "sure", *same).orderBy("doc_id", "rep", "start")))
+        .withColumn("spans", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("deal", "sure")))
     )
-    kept = written(ranked.filter("nth > 1 or spans > 1").select("kmer", "doc_id", "rep", "start", "windows", (F.col("nth") > 1).alias("whole")), "spans")
+    kept = written(ranked.filter("sure or hot or nth > 1 or spans > 1").select("kmer", "doc_id", "rep", "start", "windows", (F.col("sure") | (F.col("nth") > 1)).alias("whole")), "spans")
     whole = kept.filter("whole").select("doc_id", "rep", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("hi"))
     per_text = kept.filter("not whole").groupBy("doc_id", "rep").agg(F.collect_list(F.struct("kmer", "start", "windows")).alias("spans"))  # bounded by the text itself
     differing = written(_packed(texts).join(per_text, ["doc_id", "rep"]).mapInPandas(_with_bytes(length), "kmer long, doc_id long, rep long, start int, bytes binary"), "differing-spans")
