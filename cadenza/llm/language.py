@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
 from .gru import GATES, Adam, Fast, backward, forward, init_direction
 
 WINDOW = 64
@@ -156,7 +157,9 @@ class Scorer:
 def fit(docs: DataFrame) -> Model:
     """A model from at most SAMPLE_ROWS rows with a label that are not held out."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = known.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect()
+    picked = hash_sample(known.select("doc_id", F.xxhash64("text").alias("_text")), "doc_id", SAMPLE_ROWS)  # ids, not texts
+    found = known.select("doc_id", "text", "lang", F.xxhash64("text").alias("_text")).join(F.broadcast(picked.distinct()), ["doc_id", "_text"])
+    rows = found.dropDuplicates(["doc_id", "_text"]).orderBy("doc_id", "_text").collect()  # at most SAMPLE_ROWS
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
