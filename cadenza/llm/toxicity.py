@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
 from .gru import GATES, Adam, Fast, backward, ends_backward, ends_forward, forward, init_direction
 from .language import held_out
 
@@ -28,10 +29,12 @@ UNITS, CHAR_UNITS, CHAR_DIM, BUCKETS = 12, 12, 8, 4_096
 LETTERS = 20
 #: Labelled rows of each class that the network is fitted on, those of the smallest hashes.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1_100
-#: Windows in a training step, steps of the two phases, windows in a pass, words that a task remembers.
-BATCH, FIRST_STEPS, SECOND_STEPS = 256, 160, 200
+#: Windows in a training step, steps of the phases, windows in a pass, words that a task remembers.
+BATCH, FIRST_STEPS, SECOND_STEPS, LAST_STEPS = 256, 160, 200, 80
 PASS_ROWS = 4_096
 KNOWN_WORDS = 120_000
+#: What a missed toxic text costs in calibration, in false alarms.
+MISS_COST = 1.5
 CHARS = 512
 TOKEN = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
@@ -276,7 +279,8 @@ class Scorer:
         return _attend(p, h, (ids != KNOWN_WORDS).astype(np.float32))[0]
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
+def train(texts: list[str], toxic: list[int], rate: float = 0.5, seed: int = 11) -> Model:
+    """Fit on four of five texts and calibrate on the fifth, for a corpus of which a share of `rate` is toxic."""
     rng, model = np.random.default_rng(seed), init(seed)
     docs = [(words_of(t), y) for t, y in zip(texts, toxic)]
     docs = [(w, y) for w, y in docs if w]
@@ -284,6 +288,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     if not all(sides):
         return Model(model.p, 0.0, -4.0 if not sides[1] else 4.0)
     adam = Adam(model.p, 0.01)
+    few = min(map(len, sides)) < 50
+    everything = sides
+    aside = [side if few else side[::5] for side in sides]
+    sides = [side if few else [w for i, w in enumerate(side) if i % 5] for side in sides]
 
     def windows(side: list[list[str]], n: int, worst: list[np.ndarray] | None) -> list[list[str]]:
         out = []
@@ -297,28 +305,33 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         return [np.argsort(-x)[: max(1, int(len(x) * share))] for x in Scorer(model).logits(side)]
 
     half, total = BATCH // 2, FIRST_STEPS + SECOND_STEPS
-    worst: list[np.ndarray] | None = None
-    for step in range(total):
-        if step >= FIRST_STEPS and (step - FIRST_STEPS) % 70 == 0:
-            worst = worst_of(sides[1], 0.02)
-            clean = worst_of(sides[0], 0.02)
-        positive = windows(sides[1], half, worst)
-        negative = windows(sides[0], half // 2, None) + windows(sides[0], half - half // 2, clean if worst is not None else None)
-        y = np.r_[np.ones(half), np.zeros(half)]
-        _step(model, positive + negative, y, adam, 1 - 0.9 * step / total)
-    x = np.concatenate([[s.max() for s in Scorer(model).logits(side)] for side in sides])
-    y = np.r_[np.zeros(len(sides[0])), np.ones(len(sides[1]))]
-    model.slope, model.offset = calibrate(x, y)
+
+    def run(steps: range, rate_of) -> None:
+        worst = clean = None
+        for step in steps:
+            if step >= FIRST_STEPS and (worst is None or (step - FIRST_STEPS) % 70 == 0):
+                worst, clean = worst_of(sides[1], 0.02), worst_of(sides[0], 0.02)
+            positive = windows(sides[1], half, worst)
+            negative = windows(sides[0], half // 2, None) + windows(sides[0], half - half // 2, clean)
+            _step(model, positive + negative, np.r_[np.ones(half), np.zeros(half)], adam, rate_of(step))
+
+    run(range(total), lambda step: 1 - 0.9 * step / total)
+    x = np.concatenate([[s.max() for s in Scorer(model).logits(side)] for side in aside])
+    y = np.r_[np.zeros(len(aside[0])), np.ones(len(aside[1]))]
+    model.slope, model.offset = calibrate(x, y, np.where(y > 0, MISS_COST * rate / max(1, len(aside[1])), (1 - rate) / len(aside[0])))
+    sides = everything  # the texts set aside for calibration are learned last
+    run(range(total, total + LAST_STEPS), lambda step: 0.2)
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of document labels on worst-window logits, lightly held to (1, 0)."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit of document labels on worst-window logits, lightly held to (1, 0)."""
     a, b = 1.0, 0.0
+    weight = weight * len(x) / weight.sum()
     for _ in range(300):
         q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((q - y) * x).mean() + 1e-3 * (a - 1), (q - y).mean()])
-        w = q * (1 - q)
+        g = np.array([(weight * (q - y) * x).mean() + 1e-3 * (a - 1), (weight * (q - y)).mean()])
+        w = weight * q * (1 - q)
         H = np.array([[(w * x * x).mean() + 1e-3, (w * x).mean()], [(w * x).mean(), w.mean() + 1e-6]])
         step = np.linalg.solve(H + 1e-6 * np.eye(2), g)
         a, b = a - 0.5 * step[0], b - 0.5 * step[1]
@@ -328,10 +341,10 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    toxic, whole = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    picked = hash_sample(known.filter("toxic = 1"), "doc_id", SAMPLE_TOXIC).unionByName(hash_sample(known.filter("toxic = 0"), "doc_id", SAMPLE_CLEAN))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()  # bounded by the sample sizes
-    return train([r.text for r in rows], [int(r.toxic) for r in rows])
+    return train([r.text for r in rows], [int(r.toxic) for r in rows], toxic / whole if whole else 0.5)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
