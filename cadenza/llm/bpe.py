@@ -11,6 +11,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Words that a task remembers before it starts anew: bounds its memory.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+#: Rows that are encoded before they are handed on: bounds the ids that a task holds besides those of one text.
+CHUNK_ROWS = 256
 #: A longer word is not remembered.
 KNOWN_CHARS = 64
 NO_RANK = 1 << 60
@@ -107,6 +110,11 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.entries(text) for i in ids.split()]
 
+    def encode_array(self, text: str) -> np.ndarray:
+        """The ids as a compact array, for columns of them."""
+        ids = " ".join(ids for _, ids, _ in self.entries(text))
+        return np.array(ids.split(), np.int32)
+
     def decode_ids(self, ids: list[int]) -> str:
         """The pieces of ids, as the file's missing decoder leaves them: joined by spaces."""
         return " ".join(self.pieces[i] for i in ids if i in self.pieces)
@@ -130,7 +138,9 @@ def encode_column(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
         for pdf in batches:
-            yield pdf.assign(token_ids=[bpe.encode(t) if isinstance(t, str) else [] for t in pdf[text]])
+            for a in range(0, len(pdf), CHUNK_ROWS):
+                part = pdf.iloc[a : a + CHUNK_ROWS]
+                yield part.assign(token_ids=[bpe.encode_array(t) if isinstance(t, str) else np.zeros(0, np.int32) for t in part[text]])
 
     return docs.mapInPandas(run, schema)
 
