@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def decibels(amplitude: Column, floor: float = 1e-5) -> Column:

@@ -60,7 +60,7 @@ def tail_trim(matched: Column, expected_n: Column, word_end: Column, segment_end
     """
     tier1 = F.when(matched / F.greatest(F.lit(1), expected_n) >= LEAST_MATCH, word_end)
     chosen = F.greatest(tier1, segment_end)
-    trim_to = F.least(current, chosen + int(HEADROOM * MICRO))
+    trim_to = F.when(chosen.isNotNull(), F.least(current, chosen + int(HEADROOM * MICRO)))
     tier = F.when(chosen.isNull(), "none").when(F.coalesce(chosen == tier1, F.lit(False)), "word-align").otherwise("vad-segment")
     action = (
         F.when(chosen.isNull(), "no-endpoint")

@@ -83,7 +83,7 @@ def stage_elapsed(df: DataFrame, t: Timeline, stage: str, at: str) -> DataFrame:
 
 def weighted_progress(phase: Column, share: Column) -> Column:
     """Progress of a job from its phase and the share of it that is done, held to 0..1."""
-    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    held = F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
     low, high = (F.element_at(F.create_map(*[F.lit(x) for p, v in PHASES.items() for x in (p, v[k])]), phase) for k in (0, 1))
     return low + (high - low) * held
 
@@ -104,26 +104,13 @@ def admitted(queue: DataFrame, key: str, queued: str, most: int) -> DataFrame:
     return queue.orderBy(queued, key).limit(most)
 
 
-def fold_progress(rows: Iterator[tuple], step: float = 0.02) -> Iterator[bool]:
-    """Whether each progress value (already held to 0..1) is emitted: never falling, at least `step` on, or 1."""
-    seen = last = 0.0
-    for (p,) in rows:
-        if p < seen:
-            yield False
-            continue
-        seen = p
-        out = p - last >= step or p >= 1.0
-        if out:
-            last = p
-        yield out
-
-
 def monotone_progress(df: DataFrame, keys: tuple[str, ...], seq: str, value: str, step: float = 0.02) -> DataFrame:
     """keys, seq, emitted: the progress values that are sent on.
 
     What is emitted depends on the value emitted before, so each key is read once in order; a task holds two numbers.
     """
-    held = df.select(*keys, seq, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value))).cast("double").alias("emitted"))
+    known = df.filter(F.col(value).isNotNull())  # least and greatest pass over nulls
+    held = known.select(*keys, seq, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value))).cast("double").alias("emitted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, seen, last = None, 0.0, 0.0
@@ -137,8 +124,7 @@ def monotone_progress(df: DataFrame, keys: tuple[str, ...], seq: str, value: str
                 keep.append(ok)
             yield pdf[keep]
 
-    known = held.filter(F.col("emitted").isNotNull())
-    return known.repartition(*keys).sortWithinPartitions(*keys, seq).mapInPandas(run, held.schema)
+    return held.repartition(*keys).sortWithinPartitions(*keys, seq).mapInPandas(run, held.schema)
 
 
 def cap_per_key(df: DataFrame, keys: tuple[str, ...], order: list[Column], most: int) -> DataFrame:

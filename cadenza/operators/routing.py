@@ -30,7 +30,8 @@ def unsupported(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
 def choose_backend(df: DataFrame, prefs: DataFrame, ready: DataFrame, key: str, default: str) -> DataFrame:
     """`df` plus backend, ideal, suboptimal: the first preferred backend that is ready, else `default`.
 
-    `prefs` is (key, backend, rank), `ready` is (backend). Routes are made once per key value, then looked up.
+    `prefs` is (key, backend, rank), `ready` is (backend). Routes are made once per key value, then looked up. Where no
+    preferred backend is ready, `default` counts as the ideal one.
     """
     usable = prefs.join(small(ready.select("backend")), "backend", "left_semi")
     chosen = usable.groupBy(key).agg(F.min_by("backend", "rank").alias("backend"))

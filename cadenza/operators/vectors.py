@@ -45,7 +45,7 @@ def cosine_top(vectors: DataFrame, codes: DataFrame, id_: str, code: str, column
     """id, code, rank: the k codes of the largest cosine, the lowest of equal ones first."""
     own = F.col(column)
     cosine = lambda c: dot(own, c["v"]) / F.sqrt(dot(own, own) * dot(c["v"], c["v"]))
-    scored = F.transform("_codes", lambda c: F.struct((-cosine(c)).alias("d"), c["code"].alias("code")))
+    scored = F.transform("_codes", lambda c: F.struct((-F.round(cosine(c), 9)).alias("d"), c["code"].alias("code")))
     top = F.slice(F.array_sort(scored), 1, k)
     return with_codebook(vectors, codes, code, column).select(id_, F.posexplode(top).alias("_at", "_c")).select(id_, F.col("_c.code").alias("code"), (F.col("_at") + 1).alias("rank"))
 

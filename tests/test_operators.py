@@ -1,0 +1,207 @@
+"""Operators on small tables: the spans of known cases, hot keys cut into slices, folds against plain loops, edges."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza import backends
+from cadenza.functions import signal, text
+from cadenza.operators import align, gather, intervals, jobs, ordered, routing, series, vectors
+from cadenza.operators.ordered import Timeline
+from cadenza.sinks import files as sinks
+from cadenza.sources import files as sources
+
+WORDS = {
+    "two clusters": ([(0, 0.30), (0.32, 0.55), (0.58, 0.80), (2, 2.4), (2.45, 2.9), (2.95, 3.5), (3.55, 4)], (2.0, 4.0)),
+    "single": ([(0, 0.5)], (0, 0.5)),
+    "unsorted": ([(2, 2.4), (0, 0.3), (0.32, 0.6), (2.45, 2.9)], (2, 2.9)),
+    "threshold": ([(0, 0.3), (0.65, 0.95)], (0, 0.3)),
+}
+
+
+def us(x):
+    return round(x * 1_000_000)
+
+
+@pytest.mark.parametrize("width", [1, 500_000, 10**12])
+def test_longest_word_span(spark, width):
+    rows = [(case, us(s), us(e)) for case, (words, _) in WORDS.items() for s, e in words]
+    df = spark.createDataFrame(rows, "case string, start long, end long")
+    t = Timeline(("case",), ("start",), width)
+    best = intervals.longest(intervals.island_spans(df, t, "start", "end", us(0.3)), ("case",))
+    assert {r[0]: (r[1], r[2]) for r in best.collect()} == {c: (us(w[0]), us(w[1])) for c, (_, w) in WORDS.items()}
+    assert intervals.longest(intervals.island_spans(df.limit(0), t, "start", "end", 1), ("case",)).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10**9])
+def test_slices_change_nothing(spark, width):
+    """One key holds most rows; whatever the slices, the results are those of a plain loop."""
+    rng = np.random.default_rng(width)
+    rows = [(None if k == 2 else k, int(i), float(rng.integers(0, 50)) if rng.random() < 0.6 else None) for k, n in ((0, 300), (1, 3), (2, 40)) for i in rng.choice(1000, n, replace=False)]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    t = Timeline(("k",), ("i",), width)
+    got = ordered.counted(ordered.filled(ordered.numbered(ordered.previous(ordered.first_known(df, t, {"f": F.col("v")}), t, {"p": "v"}).withColumn("w", F.col("v")), t), t, ["w"]), t).collect()
+    want = []
+    for k in (0, 1, None):
+        own = sorted((i, v) for kk, i, v in rows if kk == k)
+        known = [v for _, v in own if v is not None]
+        last = known[0] if known else None
+        for n, (i, v) in enumerate(own):
+            last = v if v is not None else last
+            want.append((k, i, v, known[0] if known else None, own[n - 1][1] if n else None, last, n, len(own)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_complement_and_merge_tile_the_clip(spark):
+    rows = [("a", 10, 20), ("a", 22, 30), ("a", 50, 60), ("b", 0, 100)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    merged = intervals.merge(df, Timeline(("k",), ("s",), 16), "s", "e", 5)
+    gaps = intervals.complement(merged.withColumns({"lo": F.lit(0), "hi": F.lit(100)}), Timeline(("k",), ("start",), 16), "start", "end", "lo", "hi")
+    assert sorted(map(tuple, merged.select("k", "start", "end").collect())) == [("a", 10, 30), ("a", 50, 60), ("b", 0, 100)]
+    assert sorted(map(tuple, gaps.collect())) == [("a", 0, 10), ("a", 30, 50), ("a", 60, 100)]
+
+
+def test_quadratic_is_kept(spark):
+    rows = [(k, i, 2.0 * i * i - 3 * i + 1) for k, n in (("a", 30), ("b", 4), ("c", 2), ("d", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    for window in (5, 9):
+        got = series.savgol(df, Timeline(("k",), ("i",), 8), "i", ["x"], window).collect()
+        assert {(r.k, r.i): pytest.approx(r.x, abs=1e-6) for r in got} == {(k, i): x for k, i, x in rows}
+
+
+def test_moving_average_edges(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1, 2, None, 7, 9])], "k string, i long, x long")
+    got = {r.i: r.m for r in series.moving_average(df, ("k",), "i", {"m": "x"}).collect()}
+    assert got == {0: 2, 1: 3, 2: 5, 3: 6, 4: 8}  # 1.5, 10/3, 4.75, 6, 8: half goes to even
+
+
+def test_exact_percentiles(spark):
+    values = [int(v) for v in np.random.default_rng(2).integers(0, 5_000, 777)]
+    got = ordered.exact_percentiles(spark.createDataFrame([(v,) for v in values], "v long"), "v", [0.0, 0.5, 0.95, 1.0], 100).first()
+    assert list(got) == pytest.approx(list(np.percentile(values, [0, 50, 95, 100])))
+
+
+def plain_align(words, expected):
+    at = misses = 0
+    last = None
+    for word, end in words:
+        if at >= len(expected):
+            break
+        want = expected[at]
+        if word == want or (len(word) >= 3 and want.startswith(word)) or (len(want) >= 3 and word.startswith(want)):
+            at, misses, last = at + 1, 0, end
+        else:
+            misses += 1
+            if misses >= 3 and last is not None:
+                break
+    return at, len(expected), last
+
+
+def test_alignment_is_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    vocab = ["the", "there", "th", "cat", "cats", "a", "run", "running", "x", "zebra"]
+    rows = [(n, [(str(rng.choice(vocab)), i) for i in range(rng.integers(0, 12))], [str(w) for w in rng.choice(vocab, rng.integers(0, 8))]) for n in range(200)]
+    df = spark.createDataFrame(rows, "n long, words array<struct<word:string,end:long>>, expected array<string>")
+    got = {r.n: tuple(r.a) for r in df.select("n", align.align(F.col("words"), F.col("expected")).alias("a")).collect()}
+    assert got == {n: plain_align(w, e) for n, w, e in rows}
+
+
+def test_tail_trim(spark):
+    cases = [(8, 10, 9_000_000, 8_000_000, 12_000_000, 10_000_000), (1, 10, 9_000_000, None, 12_000_000, 10_000_000), (9, 10, 3_000_000, None, 12_000_000, 10_000_000), (9, 10, 11_950_000, 2, 12_000_000, 0)]
+    df = spark.createDataFrame(cases, "m long, n long, w long, s long, c long, d long")
+    got = df.select(*[c.alias(k) for k, c in align.tail_trim(*map(F.col, "mnwscd")).items()]).collect()
+    assert [tuple(r) for r in got] == [("word-align", 9_080_000, "trim"), ("none", None, "no-endpoint"), ("word-align", 3_080_000, "below-floor"), ("word-align", 12_000_000, "little-gain")]
+
+
+def plain_progress(values):
+    seen = last = 0.0
+    out = []
+    for p in values:
+        p = min(1.0, max(0.0, p))
+        if p < seen:
+            continue
+        seen = p
+        if p - last >= 0.02 or p >= 1.0:
+            last = p
+            out.append(p)
+    return out
+
+
+def test_monotone_progress(spark):
+    rng = np.random.default_rng(1)
+    series_ = {k: [float(v) for v in np.round(np.sort(rng.random(n)) + rng.normal(0, 0.05, n), 3)] for k, n in (("a", 300), ("b", 1), ("c", 40))}
+    df = spark.createDataFrame([(k, i, v) for k, vs in series_.items() for i, v in enumerate(vs)] + [("c", 99, None)], "k string, i long, v double")
+    got = jobs.monotone_progress(df, ("k",), "i", "v").orderBy("k", "i").collect()
+    assert {k: [r.emitted for r in got if r.k == k] for k in series_} == {k: plain_progress(v) for k, v in series_.items()}
+
+
+def test_gather_pads_and_clamps(spark):
+    features = spark.createDataFrame([("a", i, 10 + i) for i in range(3)], "k string, idx long, v long")
+    frames = spark.createDataFrame([("a", f, 3) for f in range(3)], "k string, frame long, n long")
+    clamped = gather.clamped(frames, features, ("k",), "frame", "idx", (2, 1), 1, 2).groupBy("frame").agg(F.sort_array(F.collect_list("idx")).alias("i"))
+    assert {r.frame: r.i for r in clamped.collect()} == {0: [0, 0, 1], 1: [1, 2, 2], 2: [2, 2, 2]}
+    padded = gather.zero_padded(frames, features, ("k",), "frame", "idx", (2, 1), 1, 2).filter("v is null").groupBy("frame").count()
+    assert {r[0]: r[1] for r in padded.collect()} == {0: 1, 1: 1, 2: 3}
+    assert gather.sliding(frames.limit(1), 5, 3, 3).count() == 0
+
+
+def test_similarity_fit_recovers_the_transform(spark):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(20, 2))
+    theta, scale, shift = 0.7, 1.9, np.array([3.0, -2.0])
+    q = scale * p @ np.array([[np.cos(theta), np.sin(theta)], [-np.sin(theta), np.cos(theta)]]) + shift
+    df = spark.createDataFrame([("a", *map(float, [*a, *b])) for a, b in zip(p, q)], "k string, x1 double, y1 double, x2 double, y2 double")
+    r = vectors.similarity_fit(df, ["k"]).first()
+    assert (r.tx, r.ty, r.theta, r.scale) == pytest.approx((3.0, -2.0, 0.7, 1.9))
+
+
+def test_routing(spark):
+    prefs = spark.createDataFrame([("ja", "m1", 0), ("ja", "xtts", 2), ("en", "f5", 0), ("qq", "m1", 0)], "lang string, backend string, rank int")
+    ready = spark.createDataFrame([("xtts",), ("f5",)], "backend string")
+    df = spark.createDataFrame([("ja",), ("en",), ("qq",), ("zz",), (None,)], "lang string")
+    got = {r.lang: (r.backend, r.ideal, r.suboptimal) for r in routing.choose_backend(df, prefs, ready, "lang", "xtts").collect()}
+    assert got == {"ja": ("xtts", "m1", True), "en": ("f5", "f5", False), "qq": ("xtts", "xtts", False), "zz": ("xtts", "xtts", False), None: ("xtts", "xtts", False)}
+    knobs = spark.createDataFrame([({"a": "1", "b": None},), ({"b": None},)], "m map<string,string>")
+    assert [r[0] for r in knobs.select(routing.known_knobs(F.col("m"))).collect()] == [{"a": "1"}, None]
+
+
+def test_costs_rise():
+    assert list(jobs.COST.values()) == sorted(jobs.COST.values()) and jobs.COST["none"] == 0
+
+
+def test_text(spark):
+    row = lambda c: spark.range(1).select(c.alias("c")).first().c
+    assert row(text.timestamp(F.lit(3661.0005))) == "01:01:01.000" and row(text.timestamp(F.lit(61.5))) == "01:01.500"
+    assert row(text.drawtext_escape(F.lit("a:b'c\\d"))) == "a\\:b\\'c\\\\d"
+    assert row(text.basic_normal(F.lit("Héllo (x) [y] Wörld!"), False)) == "hello world " and row(text.basic_normal(F.lit("Héllo"))) == "héllo"
+    assert tuple(row(text.silence_marks(F.lit("[x] silence_end: 2.5 | silence_duration: 1")))) == ("end", 2_500_000) and row(text.silence_marks(F.lit("else"))) is None
+    assert row(text.extension(F.lit("/a/b.C.MP4"))) == ".mp4" and row(text.extension(F.lit(".hidden"))) == ""
+    assert row(signal.progress_bar(F.lit(0.5), 4)) == "[##..] 50%" and row(signal.odd_kernel(F.lit(0.1), F.lit(100))) == 11
+    assert tuple(row(signal.expanded_box(F.lit(10), F.lit(10), F.lit(30), F.lit(50), 0.1, F.lit(31), F.lit(100)))) == (8, 6, 31, 54)
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"job_id": "a1", "status": "running", "stages": [{"name": "audio", "status": "done"}]}')
+    (tmp_path / "j" / "b.json").write_text('{"job_id": "b2"}')
+    found = sources.jobs(spark, str(tmp_path / "j"))
+    assert sorted((r.job_id, len(r.stages)) for r in found.collect()) == [("a1", 1), ("b2", 0)]
+    assert [tuple(r)[:4] for r in sources.stages(found).collect()] == [("a1", 0, "audio", "done")]
+    assert sorted(r.name for r in sources.artifacts(spark, str(tmp_path)).collect()) == ["a.json", "b.json"]
+    docs = spark.createDataFrame([('{"schema":2,"video":"v","frames":[{"index":0,"bbox":[1,2,3,4],"score":0.5}]}',), ('{"schema":1,"video":"w","frames":[]}',), ("bad",), (None,)], "value string")
+    assert [(r.clip, r.idx, r.bbox) for r in sources.detections(docs).collect()] == [("v", 0, [1, 2, 3, 4])]
+    names = spark.createDataFrame([("a.mp4", 1), ("../x", 1), ("a.txt", 1), ("b.mov", 999)], "name string, length long")
+    assert [r.reject_reason for r in sources.uploads(names, 100).collect()] == [None, "extension", "extension", "size"]
+    with pytest.raises(ValueError, match="metadata_comment"):
+        sinks.outputs(names, str(tmp_path / "o"))
+    sinks.append_log(names, str(tmp_path / "log"))
+    sinks.append_log(names.limit(1), str(tmp_path / "log"))
+    assert jobs.latest(spark.read.parquet(str(tmp_path / "log")), ("name",), "version").count() == 4
+
+
+def test_backends_are_a_boundary(spark):
+    with pytest.raises(backends.BackendUnavailable, match=re.escape("tts backend 'none-such' is not registered")):
+        backends.apply(spark.range(1), "tts", "none-such")
