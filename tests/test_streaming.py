@@ -1,6 +1,7 @@
 """Streams over files of events, batch by batch, until all is read."""
 
 import datetime
+import time
 
 import pytest
 
@@ -18,8 +19,10 @@ def run(spark, tmp_path):
         stream = spark.readStream.schema(ev.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(source))
         name = f"out_{tmp_path.name.replace('-', '_')}"
         q = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).start()
-        try:
-            q.processAllAvailable()
+        rows, until = sum(map(len, rows_by_batch)), time.monotonic() + 60
+        try:  # a query with timers never runs out of batches
+            while sum(p.numInputRows for p in q.recentProgress) < rows and q.isActive and time.monotonic() < until:
+                time.sleep(0.2)
         finally:
             q.stop()
         return [tuple(r) for r in spark.sql(f"select * from {name}").collect()]
