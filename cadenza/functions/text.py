@@ -86,12 +86,20 @@ def plain_text(column: pd.Series) -> pd.Series:
     return column.map(lambda t: None if t is None else odd.sub(" ", unicodedata.normalize("NFKC", t)))
 
 
-@F.pandas_udf(StringType())
-def without_diacritics(column: pd.Series) -> pd.Series:
-    """Decomposed, non-spacing marks dropped, other marks, symbols and punctuation as spaces, special letters spelled out."""
-    table = str.maketrans(PLAIN_LETTERS)
-    gone, odd = regex.compile(r"\p{Mn}"), regex.compile(r"[\p{M}\p{S}\p{P}]")
-    return column.map(lambda t: None if t is None else odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t.translate(table)))))
+def without_diacritics_but(kept: str = ""):
+    """Decomposed, non-spacing marks dropped, other marks, symbols and punctuation but `kept` as spaces, special letters spelled out."""
+
+    @F.pandas_udf(StringType())
+    def run(column: pd.Series) -> pd.Series:
+        table = str.maketrans(PLAIN_LETTERS)
+        gone, odd = regex.compile(r"\p{Mn}"), regex.compile((f"(?![{regex.escape(kept)}])" if kept else "") + r"[\p{M}\p{S}\p{P}]")
+        return column.map(lambda t: None if t is None else odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t.translate(table)))))
+
+    return run
+
+
+def without_diacritics(c: Column) -> Column:
+    return without_diacritics_but()(c)
 
 
 def basic_normal(c: Column, diacritics: bool = True) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Timeline, previous, running_sum
+from .ordered import Timeline, last_known, previous, running_sum
 from .routing import small
 
 # The stages in order, and wall seconds per source second of a lip-sync backend.
@@ -131,3 +131,29 @@ def cap_per_key(df: DataFrame, keys: tuple[str, ...], order: list[Column], most:
     """At most `most` rows per key, the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= most).drop("_nth")
+
+
+def ticked(stages: DataFrame, reports: DataFrame, keys: tuple[str, ...], start: str, end: str, eta: str, at: str, percent: str, every: int, cap: float = 0.99) -> DataFrame:
+    """keys, tick, percent: what a ticker says every `every` units while a stage runs, as of each tick.
+
+    `stages` holds one row per key: start, end and eta as whole numbers; `reports` the reported shares by time. The last
+    share reported since the start counts; before the first, the share of the eta that has passed; without either the
+    tick is left out. Nothing over `cap`.
+    """
+    own, t = [F.col(k) for k in keys], F.col("_at")
+    spans = stages.select(*own, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(eta).alias("_eta"))
+    asked = spans.filter(F.col("_end") > F.col("_start") + every).withColumn("_at", F.explode(F.sequence(F.col("_start") + every, F.col("_end") - 1, F.lit(every).cast("long"))))
+    told = reports.select(*own, F.col(at).alias("_at"), F.col(percent).alias("_real")).filter("_real is not null").join(spans, list(keys)).filter((t >= F.col("_start")) & (t < F.col("_end")))
+    kind = lambda k: F.lit(k).alias("_kind")  # noqa: E731  a report at the time of a tick comes before it
+    cols = [*own, "_at", "_start", "_eta"]
+    rows = told.select(*cols, kind(0), F.col("_real").cast("double")).unionByName(asked.select(*cols, kind(1), F.lit(None).cast("double").alias("_real")))
+    line = Timeline(keys, ("_at", "_kind"), 4_096 * every)
+    since = last_known(rows, line, {"_last": F.col("_real")}).filter("_kind = 1")
+    passed = F.when(F.col("_eta") > 0, (t - F.col("_start")) / F.col("_eta"))
+    share = F.least(F.lit(cap), F.coalesce("_last", passed))
+    return since.select(*own, t.alias("tick"), F.when(F.coalesce("_last", passed).isNotNull(), share).alias("percent")).filter("percent is not null")
+
+
+def exit_code(status: Column) -> Column:
+    """How a wait for a job ends: 0 completed, 1 failed, 3 cancelled, 2 given up while it still runs."""
+    return F.when(status == "completed", 0).when(status == "failed", 1).when(status == "cancelled", 3).otherwise(2)

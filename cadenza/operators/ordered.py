@@ -73,6 +73,16 @@ def first_known(df: DataFrame, t: Timeline, cols: dict[str, Column]) -> DataFram
     return joined.select(*df.columns, *[F.col(f"_{n}.v").alias(n) for n in cols])
 
 
+def last_known(df: DataFrame, t: Timeline, cols: dict[str, Column]) -> DataFrame:
+    """`df` plus, by new name, the last non-null value of an expression up to this row; null before the first."""
+    place = F.struct(*t.order)
+    aggs = [F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_before_{n}") for n, c in cols.items()]
+    prior = lambda n, upto: F.last(f"_before_{n}", True).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{n}")
+    joined, own = _attach(df, t, aggs, lambda upto, _: [prior(n, upto) for n in cols])
+    here = own.rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*df.columns, *[F.coalesce(F.last(c, True).over(here), F.col(f"_before_{n}")).alias(n) for n, c in cols.items()])
+
+
 def filled(df: DataFrame, t: Timeline, cols: list[str]) -> DataFrame:
     """`df` with nulls of `cols` replaced by the last known value, leading ones by the first; all-null keys stay null."""
     place = F.struct(*t.order)

@@ -6,8 +6,13 @@ it in its own task without a join.
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 CODEBOOK_ROWS = 10_000
 
@@ -66,3 +71,38 @@ def similarity_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
     fit = g.withColumns({"theta": F.atan2(across, along), "scale": F.when(spread1 > 1e-9, F.sqrt(F.greatest(F.lit(0.0), spread2) / spread1))})
     cos, sin = F.col("scale") * F.cos("theta"), F.col("scale") * F.sin("theta")
     return fit.select(*keys, (sx2 / n - (cos * sx1 - sin * sy1) / n).alias("tx"), (sy2 / n - (sin * sx1 + cos * sy1) / n).alias("ty"), "theta", "scale")
+
+
+@F.pandas_udf(StructType([*[StructField(c, DoubleType()) for c in ("a", "b", "tx", "ty")], StructField("inliers", IntegerType())]))
+def robust_similarity(points: pd.Series, targets: pd.Series) -> pd.DataFrame:
+    """(a, b, tx, ty, inliers) with x' = a x - b y + tx, y' = b x + a y + ty, for arrays of a few [x, y] points and their targets.
+
+    Of the maps through any two of the points, that of the least median squared error tells which points fit (within 2.5
+    robust deviations); the map is then the least-squares one of those. Nulls, fewer than two points, lists of
+    unlike length and points that all coincide give nulls.
+    """
+    out = np.full((len(points), 5), np.nan)
+    for n in {len(p) for p in points if p is not None} - {0, 1}:
+        rows = np.array([i for i, (p, q) in enumerate(zip(points, targets)) if p is not None and q is not None and len(p) == len(q) == n], np.int64)
+        if not len(rows):
+            continue
+        z, w = (np.array([[complex(*xy) for xy in s.iloc[i]] for i in rows]) for s in (points, targets))
+        best, wrong = np.full(len(rows), np.inf), np.full(z.shape, np.inf)
+        for i, j in combinations(range(n), 2):
+            apart = z[:, j] - z[:, i]
+            m = np.divide(w[:, j] - w[:, i], apart, out=np.zeros_like(apart), where=np.abs(apart) > 1e-9)
+            error = np.abs(m[:, None] * (z - z[:, [i]]) + w[:, [i]] - w) ** 2
+            median = np.where(np.abs(apart) > 1e-9, np.sort(error, axis=1)[:, n // 2], np.inf)
+            better = median < best
+            best[better], wrong[better] = median[better], error[better]
+        spread = 2.5 * 1.4826 * (1 + 5 / max(1, n - 2)) * np.sqrt(np.where(np.isfinite(best), best, 0))
+        fits = (wrong <= np.maximum(spread, 1e-3)[:, None] ** 2).astype(float)
+        count = np.maximum(fits.sum(axis=1, keepdims=True), 1)
+        zc, wc = z - (fits * z).sum(axis=1, keepdims=True) / count, w - (fits * w).sum(axis=1, keepdims=True) / count
+        size = (fits * np.abs(zc) ** 2).sum(axis=1)
+        m = np.divide((fits * zc.conj() * wc).sum(axis=1), size, out=np.zeros(len(rows), complex), where=size > 1e-18)
+        t = ((fits * (w - m[:, None] * z)).sum(axis=1, keepdims=True) / count)[:, 0]
+        known = np.isfinite(best) & (size > 1e-18)
+        out[rows[known]] = np.column_stack([m.real, m.imag, t.real, t.imag, fits.sum(axis=1)])[known]
+    frame = pd.DataFrame(out, columns=["a", "b", "tx", "ty", "inliers"]).astype(object).where(~np.isnan(out), None)
+    return frame.astype({c: "Float64" for c in "a b tx ty".split()} | {"inliers": "Int32"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signal, text
+from ..functions import english, signal, text
 from ..operators import align, jobs, routing, vectors
 from .registry import micros, query, six, table
 from .timeline import S, segments
@@ -291,3 +291,8 @@ def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     return rows.groupBy("label").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x"), 5).alias("std"), F.count("*").alias("n"))
+
+
+@query()
+def english_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(english.english_normal(F.coalesce("text", F.lit("")))).alias("form"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gather, intervals, jobs, ordered, series, vectors
+from ..operators import gather, intervals, jobs, ordered, series, spectra, vectors
 from ..operators.ordered import Timeline
 from .registry import micros, query, six, table
 
@@ -291,3 +291,54 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("p"))
     return jobs.monotone_progress(rows, KEYS, "seq", "p")
+
+
+N_FFT, HOP = 16, 4
+
+
+@query(f"""WITH {FILLED}, A AS (SELECT user_id, idx, x, unnest(range(greatest(0, (idx - {N_FFT // 2 - 1 - (HOP - 1)}) // {HOP}), least(n // {HOP}, (idx + {N_FFT // 2}) // {HOP}) + 1)) AS frame FROM Fi JOIN N USING (user_id)),
+W AS (SELECT user_id, frame, x * (0.5 - 0.5 * cos(2 * pi() * p / {N_FFT})) AS v, p FROM (SELECT *, idx - (frame * {HOP} - {N_FFT // 2}) AS p FROM A) WHERE p >= 0 AND p < {N_FFT}),
+B AS (SELECT unnest(range(0, {N_FFT // 2 + 1})) AS bin)
+SELECT user_id, frame, bin, round(sqrt(pow(sum(v * cos(2 * pi() * bin * p / {N_FFT})), 2) + pow(sum(v * sin(2 * pi() * bin * p / {N_FFT})), 2)), 4) + 0.0 AS magnitude FROM W, B GROUP BY ALL""")
+def stft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = spectra.stft(filled_frames(spark, sf_dir), KEYS, "idx", "x", N_FFT, HOP)
+    return frames.select("user_id", "frame", F.posexplode("magnitude").alias("bin", "m")).select("user_id", "frame", F.col("bin").cast("long").alias("bin"), (F.round("m", 4) + F.lit(0.0)).alias("magnitude"))
+
+
+@query()
+def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.log_mel_spectrogram(filled_frames(spark, sf_dir), KEYS, "idx", "x", rate=64, n_fft=N_FFT, hop=HOP, bands=4)
+
+
+@query()
+def mel_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signal = series.preemphasis(filled_frames(spark, sf_dir), FRAMES, "x")
+    return spectra.mel_spectrogram(signal, KEYS, "idx", "z", rate=64, n_fft=N_FFT, hop=HOP, bands=4, low=1.0, high=30.0)
+
+
+#: Where the five points of a face lie in its picture of 512 by 512 pixels. Fixed values.
+FACE_POINTS = [[192.98138, 239.94708], [318.90277, 240.19360], [256.63416, 314.01935], [201.26117, 371.41043], [313.08905, 371.15118]]
+
+
+@query()
+def robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every five frames of a clip as the points of a face, fitted to the picture; null where one has no point."""
+    point = F.struct("idx", F.when(F.col("x").isNotNull(), F.array("x", "y")).alias("p"))
+    groups = frames(spark, sf_dir).groupBy("user_id", F.expr("idx div 5").alias("g")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("points"))
+    whole = F.when((F.size("points") == 5) & ~F.exists("points", lambda p: p.isNull()), F.col("points"))
+    target = F.lit(str(FACE_POINTS))
+    fit = vectors.robust_similarity(whole, F.from_json(target, "array<array<double>>"))
+    return groups.select("user_id", "g", fit.alias("f")).select("user_id", "g", "f.*")
+
+
+TICK, TICK_ETA = 6 * HOUR, 480 * HOUR
+
+
+@query(f"""WITH {S}, J AS (SELECT user_id, min(s_us) AS s, max(s_us) AS e FROM S GROUP BY user_id), T AS (SELECT user_id, s, unnest(range(s + {TICK}, e, {TICK})) AS tick FROM J),
+R AS (SELECT user_id, s_us, (event_id % 100) / 100.0::DOUBLE AS p FROM S JOIN J USING (user_id) WHERE event_type = 'purchase' AND s_us < e)
+SELECT T.user_id, tick, round(least(0.99::DOUBLE, coalesce(R.p, (tick - s) / {TICK_ETA}.0::DOUBLE)), 6) + 0.0 AS percent FROM T ASOF LEFT JOIN R ON T.user_id = R.user_id AND T.tick >= R.s_us""")
+def ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir)
+    stages = rows.groupBy("user_id").agg(F.min("s_us").alias("s"), F.max("s_us").alias("e"), F.lit(TICK_ETA).cast("long").alias("eta"))
+    reports = rows.filter("event_type = 'purchase'").select("user_id", "s_us", (F.col("event_id") % 100 / F.lit(100.0)).alias("p"))
+    return jobs.ticked(stages, reports, KEYS, "s", "e", "eta", "s_us", "p", TICK).select("user_id", "tick", six(F.col("percent")).alias("percent"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from io import BytesIO
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +64,28 @@ def uploads(files: DataFrame, most_bytes: int) -> DataFrame:
     from ..operators.routing import first_failure
 
     return files.withColumn("reject_reason", first_failure([("extension", ~extension(F.col("name")).isin(VIDEO)), ("size", F.col("length") > most_bytes)]))
+
+
+# The arrays that a smoothing run leaves behind.
+DUMPS = ["affines_pre_smooth", "affines_post_smooth", "boxes_pre_smooth", "boxes_post_smooth"]
+
+
+def arrays(spark: SparkSession, path: str, names: list[str] = DUMPS) -> DataFrame:
+    """folder, name, idx, values: each first-axis row of the `.npy` files of these names below a folder, flattened.
+
+    Files that are not there are left out; a file that is no array of numbers is skipped.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{{','.join(names)}}}.npy").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for where, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    array = np.atleast_1d(np.load(BytesIO(content), allow_pickle=False)).astype(float)
+                except (ValueError, EOFError):
+                    continue
+                folder, _, name = where.rpartition("/")
+                rows = list(array.reshape(len(array), -1))
+                yield pd.DataFrame({"folder": folder, "name": name.removesuffix(".npy"), "idx": np.arange(len(rows)), "values": rows})
+
+    return found.select("path", "content").mapInPandas(run, "folder string, name string, idx long, values array<double>")

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "job_id string, seq long, ts timestamp, event string, stage string, percent double"
@@ -73,6 +75,51 @@ def with_heartbeats(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(run, "job_id string, event string", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def tick_value(real: float | None, elapsed: float, eta: float | None, cap: float = 0.99) -> float | None:
+    """The share a tick reports: the service's own where there is one, else the part of the eta that has passed."""
+    if real is not None:
+        return min(cap, real)
+    return min(cap, elapsed / eta) if eta and eta > 0 else None
+
+
+def with_ticks(events: DataFrame, every_ms: int = 5_000, cap: float = 0.99) -> DataFrame:
+    """job_id, percent of jobs in `events` (EVENTS plus eta_seconds), each `every_ms` until a terminal or stage_completed event.
+
+    The last stage_progress event's percent counts; before the first, the time since the first event against its eta.
+    """
+
+    def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        if state.hasTimedOut:
+            began, eta, real = state.get
+            state.setTimeoutDuration(every_ms)
+            value = tick_value(real, now / 1000 - began, eta, cap)
+            if value is not None:
+                yield pd.DataFrame({"job_id": [key[0]], "percent": [value]})
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        if rows["event"].isin([*LAST_EVENTS, "stage_completed"]).any():
+            if state.exists:
+                state.remove()
+            return
+        began, eta, real = state.get if state.exists else (rows["ts"].iloc[0].timestamp(), None, None)
+        etas, shares = rows["eta_seconds"].dropna(), rows.loc[rows["event"] == "stage_progress", "percent"].dropna()
+        eta = float(etas.iloc[-1]) if len(etas) else eta
+        real = float(shares.iloc[-1]) if len(shares) else real
+        state.update((began, eta, real))
+        state.setTimeoutDuration(every_ms)
+
+    return events.groupBy("job_id").applyInPandasWithState(run, "job_id string, percent double", "began double, eta double, real double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def wait(query: StreamingQuery, seconds: float) -> int:
+    """0 if the query ended by itself, 1 if it failed, 2 if it still runs after so long; it is left running."""
+    try:
+        return 0 if query.awaitTermination(seconds) else 2
+    except StreamingQueryException:
+        return 1
+
+
 def stage_board(events: DataFrame) -> DataFrame:
     """The last event of each stage, for an update sink that patches a board by (job_id, stage)."""
     last = F.max_by(F.struct("seq", "event", "percent"), "seq").alias("last")
