@@ -339,11 +339,14 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows that are not held out."""
+    """A model from at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents that are not held out.
+
+    Of rows that repeat a doc_id the smallest text is learned, so the sample stays bounded however often one repeats.
+    """
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     toxic, whole = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
     picked = hash_sample(known.filter("toxic = 1"), "doc_id", SAMPLE_TOXIC).unionByName(hash_sample(known.filter("toxic = 0"), "doc_id", SAMPLE_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()  # bounded by the sample sizes
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()  # bounded by the sample sizes
     return train([r.text for r in rows], [int(r.toxic) for r in rows], toxic / whole if whole else 0.5)
 
 

@@ -404,3 +404,13 @@ def test_long_text_scores_like_its_parts(monkeypatch):
     whole = toxicity.Scorer(toxicity.init()).logits([words])[0]
     monkeypatch.setattr(toxicity, "KNOWN_WORDS", 64)
     assert np.allclose(small.logits([words])[0], whole, atol=1e-4)
+
+
+def test_repeated_rows_do_not_grow_the_toxicity_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, rate: seen.append((texts, toxic)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"text {i} {c}") for i in ids for c in "cab"] + [(ids[0], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert seen == [([f"text {i} a" for i in ids], [i % 2 for i in ids])]
