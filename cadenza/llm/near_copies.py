@@ -1,0 +1,231 @@
+"""Near dedup by the exact Jaccard similarity of word-shingle sets, 0.8 or more, through a prefix filter.
+
+Shingles have one order over all documents: those common in a sample last, else by hash. Two sets of similarity 0.8 share a
+shingle among the first n // 5 + 1 of each, whatever the order, so no pair is lost; the order only keeps the groups under a
+shingle small. Pairs that meet there, and may reach 0.8 by their sizes and the number of shingles their prefixes share, are verified on
+the whole sets. Under a shingle of many sets each is first held against one of them; then only sets of different components
+meet. Links become components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import join_groups, written
+from .simhash import _row_id, _text_hash, components
+
+#: Documents on which common shingles are counted, about, or this share if that is more; not a limit on links.
+SAMPLE, SAMPLE_SHARE = 20_000, 1 / 12
+#: A shingle of so many sampled documents is common; the most frequent COMMON of them go last in the order.
+COMMON_DOCS, COMMON = 6, 200_000
+#: Under a common shingle of more sets than this, sets are held against one of them first.
+BUCKET = 64
+#: Sets of a block: all pairs of two blocks under a shingle are made in one task.
+BLOCK = 2_000
+#: Pairs made at a time.
+PAIRS = 1 << 21
+#: 64-bit words of the filter through which texts are read again.
+WORDS = 1 << 14
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; no words are one empty shingle, few words are one shingle."""
+    words = text.encode().lower().split() if isinstance(text, str) else []
+    joined = b" ".join(words)
+    end = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    start = np.r_[0, end[:-1] + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(start, end[width - 1 :].tolist())], np.uint64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n // 5 + 1 shingles of a set in the order of all documents, and how many of them are not in `common`."""
+    most = len(own) // 5 + 1
+    if not len(common):
+        return own[:most], most
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    late = common[at] == own
+    return np.r_[own[~late], own[late][np.argsort(rank[at[late]])]][:most], min(most, int((~late).sum()))
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank by rising count) of the shingles that many documents of a sample hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["text"]:
+                yield pd.DataFrame({"shingle": shingle_set(text, width).view(np.int64)})
+
+    n, hashed = docs.count(), F.xxhash64("doc_id", "text")
+    share = max(SAMPLE / max(1, n), SAMPLE_SHARE)
+    few = docs if share >= 1 else docs.filter(hashed < -(2**63) + int(2**64 * share))
+    counts = few.select("text").mapInPandas(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= COMMON_DOCS)
+    top = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - np.arange(len(top)))[order]
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, node = hash of the shingle set, size, prefix, rare = its shingles that are not common) of every row."""
+    common, rank = common_shingles(docs, width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes, sizes, firsts, rare = [], [], [], []
+            for text in pdf["text"]:
+                own = shingle_set(text, width)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                first, few = prefix(own, common, rank)
+                firsts.append(first.tobytes())
+                rare.append(few)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "node": np.array(nodes, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "prefix": firsts, "rare": np.array(rare, np.int32)})
+
+    return docs.select(_row_id().alias("doc_id"), _text_hash().alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, node long, size int, prefix binary, rare int")
+
+
+def _dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        firsts = [np.frombuffer(p, np.int64) for p in pdf["prefix"]]
+        for a in range(0, len(firsts), 500):
+            some = firsts[a : a + 500]
+            n = [len(p) for p in some]
+            rare = pdf["rare"].to_numpy()[a : a + 500]
+            yield pd.DataFrame({
+                "shingle": np.concatenate(some), "size": np.repeat(pdf["size"].to_numpy()[a : a + 500], n),
+                "node": np.repeat(pdf["node"].to_numpy()[a : a + 500], n), "common": np.concatenate([np.arange(k) >= f for k, f in zip(n, rare)]),
+            })
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive by (shingle, i, j); emits the pairs of blocks i and j that differ in component, with their sizes."""
+    key = ["shingle", "i", "j"]
+
+    def solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        k = pdf[key].to_numpy()
+        start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
+        count = np.diff(np.r_[start, len(k)])
+        many = np.repeat(count > 1, count)
+        pdf, count = pdf[many], count[count > 1]
+        if not len(count):
+            return
+        size, node, group, block, i, j = (pdf[c].to_numpy() for c in ("size", "node", "component", "block", "i", "j"))
+        before = np.arange(len(size)) - np.repeat(np.cumsum(count) - count, count)  # each row meets the rows before it
+        upto, a = np.cumsum(before), 0
+        while a < len(size):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            c = before[a:z]
+            y = np.repeat(np.arange(a, z), c)
+            x = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(np.arange(a, z) - c, c)
+            ok = (group[x] != group[y]) & (5 * np.minimum(size[x], size[y]).astype(np.int64) >= 4 * np.maximum(size[x], size[y]).astype(np.int64)) & ((i[x] == j[x]) | (block[x] != block[y]))
+            x, y = x[ok], y[ok]
+            if len(x):
+                x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                yield pd.DataFrame({"a": node[x], "b": node[y], "size_a": size[x], "size_b": size[y]}).groupby(["a", "b", "size_a", "size_b"]).size().reset_index(name="shared")
+            a = z
+
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        k = pdf[key].to_numpy()
+        if rest and (k[0] != rest[-1][key].to_numpy()[-1]).any():
+            yield from solve(pd.concat(rest, ignore_index=True))
+            rest = []
+        last = np.flatnonzero((k != k[-1]).any(axis=1))
+        if len(last):
+            yield from solve(pd.concat([*rest, pdf.iloc[: last[-1] + 1]], ignore_index=True))
+            rest, pdf = [], pdf.iloc[last[-1] + 1 :]
+        rest.append(pdf)
+    if rest:
+        yield from solve(pd.concat(rest, ignore_index=True))
+
+
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ok = []
+        for p, q in zip(pdf["own_a"], pdf["own_b"]):
+            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            shared = len(x) + len(y) - len(np.union1d(x, y))
+            ok.append(9 * shared >= 4 * (len(x) + len(y)))  # shared / (x + y - shared) >= 4 / 5
+        yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The (a, b) of `pairs` whose whole shingle sets have a similarity of 0.8 or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "degree": pdf["degree"], "own": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
+
+    pairs = written(pairs.distinct(), "near-pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    leads = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
+    wanted = written(degree.join(leads, "node").select("node", "degree", F.col("lead.doc_id").alias("_id"), F.col("lead.text_hash").alias("_text")), "near-nodes")
+    # A bit filter of bounded size, so that few texts are shuffled that no pair needs.
+    place = F.pmod(F.col("_text"), F.lit(64 * WORDS))
+    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} % 64 as int))")
+    words = wanted.select(place.alias("_p")).select((F.col("_p") / 64).cast("int").alias("_w"), bit("_p").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    texts = docs.select(_row_id().alias("_id"), _text_hash().alias("_text"), "text").withColumn("_p", place).withColumn("_w", (F.col("_p") / 64).cast("int"))
+    texts = texts.join(F.broadcast(words), "_w").filter(F.col("_m").bitwiseAND(bit("_p")) != 0)
+    own = texts.join(wanted, ["_id", "_text"]).select("node", "degree", "text").mapInPandas(run, "node long, degree long, own binary")
+    own = written(own.dropDuplicates(["node"]), "near-sets")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"), F.col("degree").alias(f"degree_{c}"))
+    held = join_groups(join_groups(pairs, side("a"), "a", "degree_a"), side("b"), "b", "degree_b")
+    return written(held.select("a", "b", "own_a", "own_b").mapInPandas(_similar, "a long, b long"), "near-links")
+
+
+def near_components(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, node) rows, (node, component) of the nodes that have a link)."""
+    rows = written(described(docs, width), "shingle-sets")
+    sets = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "rare")]), "distinct-sets")
+    dealt = sets.mapInPandas(_dealt, "shingle long, size int, node long, common boolean")
+    counts = dealt.filter("common").groupBy("shingle").agg(F.count("*").alias("sets"), F.min(F.struct(F.xxhash64("node"), "node", "size")).alias("lead"))
+    large = written(counts.filter(F.col("sets") > BUCKET).select("shingle", "sets", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "large-buckets")
+    one = {"component": F.col("node"), "i": F.lit(0), "j": F.lit(0), "block": F.lit(0)}
+    if large.isEmpty():
+        stars, meeting = None, dealt.drop("common").withColumns(one)
+    else:
+        within = written(join_groups(dealt.filter("common").drop("common"), large, "shingle", "sets"), "large-rows")
+        pairs = within.filter("node != lead and 5 * least(size, lead_size) >= 4 * greatest(size, lead_size)").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        stars = verified(pairs, rows, docs, width)
+        found = within.join(components(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = found.groupBy("shingle").agg((F.min("component") != F.max("component")).alias("apart"), F.count("*").alias("n")).filter("apart")
+        open_ = join_groups(found.drop("sets", "lead", "lead_size"), written(apart, "open-buckets"), "shingle", "n")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        home = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        grid = home.select("shingle", "size", "node", "component", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "block")
+        rest = dealt.filter("common").join(large.select("shingle"), "shingle", "left_anti")
+        small = dealt.filter("not common").unionByName(rest).drop("common").withColumns(one)
+        meeting = small.unionByName(grid)
+    ordered = meeting.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    met = ordered.mapInPandas(_meet, "a long, b long, size_a int, size_b int, shared long")
+    # Pairs of different components met under every shingle of both prefixes; what else they share is beyond one of these.
+    beyond = F.greatest(*[F.col(c) - F.floor(F.col(c) / 5) - 1 for c in ("size_a", "size_b")])
+    likely = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared")).filter(9 * (F.col("shared") + beyond) >= 4 * (F.col("size_a") + F.col("size_b")))
+    edges = verified(likely.select("a", "b"), rows, docs, width)
+    return rows.select("doc_id", "text_hash", "node"), components(edges if stars is None else edges.unionByName(stars))
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: of each group the one of the smallest doc_id.
+
+    Texts whose shingle sets have a Jaccard similarity of 0.8 or more are linked, groups are what links connect; sets are of
+    64-bit hashes. Texts without words are alike. A null doc_id counts as the smallest. Of rows that share the smallest doc_id
+    of a group, one of the smallest text hash stays; rows that repeat whole are one document.
+    """
+    rows, parts = near_components(docs, width)
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
+    leads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("lead").alias("lead"))
+    lead = written(leads.select(F.col("lead.doc_id").alias("_id"), F.col("lead.text_hash").alias("_text")), "leaders")
+    kept = docs.withColumns({"_id": _row_id(), "_text": _text_hash()}).join(lead, ["_id", "_text"])
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_text"])
+    return kept.select(*docs.columns)

@@ -1,0 +1,77 @@
+"""The pipeline's near dedup against plain Jaccard similarities of all pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cadenza.llm import near_copies
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def plain_kept(rows):
+    """Of (doc_id, text) rows of different ids, the smallest id of each group."""
+    sets, root = {i: plain_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(root)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted(i for i in ids if find(i) == i)
+
+
+def corpus(seed=3):
+    """Unrelated texts, their copies with more and more words changed, and texts that share a long passage."""
+    rng = np.random.default_rng(seed)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5_000, n)]
+    passage, texts = word(60), []
+    for n in rng.integers(3, 200, 40):
+        own = word(n)
+        for changed in (0, 1, 2, 3, 4, 6, 8):
+            copy = list(own)
+            for at in rng.integers(0, n, changed):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(passage + own[:40]))
+    base = word(300)
+    for _ in range(80):
+        copy = list(base)
+        for at in rng.integers(0, 300, rng.integers(0, 9)):
+            copy[at] = f"y{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    return [*enumerate(texts), (9_000, ""), (9_001, " \n"), (9_002, "One"), (9_003, "one")]
+
+
+def stage(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()), key=lambda r: (r[0] is not None, r))
+
+
+@pytest.mark.parametrize(("bucket", "block", "common"), [(64, 2_000, 6), (3, 7, 6), (3, 2_000, 10**9)])
+def test_every_pair_of_08_is_linked(spark, monkeypatch, bucket, block, common):
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "COMMON_DOCS", common)
+    rows = corpus()
+    assert [i for i, _ in stage(spark, rows)] == plain_kept(rows)
+
+
+def test_columns_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "a", 1)] * 2, DOCS).withColumns({c: F.lit(1) for c in ("node", "size", "component", "a", "b")})
+    assert near_copies.keep_one(docs).columns == docs.columns
+    assert near_copies.keep_one(docs).count() == 1
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
