@@ -56,6 +56,10 @@ def _row_id():
     return F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
 
 
+def _id_of(row_id: str):
+    return F.when(F.col(row_id) != F.lit(-(2**63)), F.col(row_id))
+
+
 def _text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -268,29 +272,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_hash, fp) rows, groups (fp, component, copies)) of `docs`."""
+    """((doc_id, text_hash, fp) rows, groups (fp, component, copies, component_id)) of `docs`.
+
+    Nodes are fingerprints, as ids can be null or repeat; component_id is the smallest id of a component, null if it has none.
+    """
     rows = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "distinct-fingerprints")
-    parts = components(links(distinct.select("node", "fp"), distance))
-    groups = distinct.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "copies")
-    return rows, written(groups, "near-groups")
+    distinct = written(rows.groupBy("fp").agg(F.min(_id_of("doc_id")).alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
+    parts = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance)).withColumnRenamed("node", "fp")
+    groups = written(distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "copies", "least"), "fingerprint-groups")
+    sizes = groups.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_groups(groups.drop("least"), written(sizes, "components"), "component", "members").select("fp", "component", "copies", "component_id")
+    return rows, written(named, "near-groups")
 
 
 def near_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of `docs`.
 
     Fewer words than a shingle make one shingle; no words, empty and null text have fingerprint zero, which links like any
-    other. A null doc_id counts as the smallest id and stays null. Rows that repeat are linked. Other columns are ignored.
+    other. A null doc_id stays null and names no component: component_id is the smallest other id, or null if there is none. Rows
+    that repeat are linked; texts that are not near stay apart, even if they have no id or share one. Other columns are ignored.
     """
     rows, groups = near_groups(docs, width, distance)
-    back = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return join_groups(rows, groups, "fp", "copies").select(back("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component").alias("component_id"))
+    return join_groups(rows, groups, "fp", "copies").select(_id_of("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: of each group the one of the smallest doc_id.
 
-    Four of 64 bits apart is a similarity well over 0.8 of the shingle sets. Of rows that share the smallest doc_id, one of
+    Groups go by fingerprints alone, with no check of shingles: near_copies does that. Of rows that share the smallest doc_id, one of
     the smallest text hash stays; rows that repeat whole are one document.
     """
     rows, groups = near_groups(docs, width, distance)
