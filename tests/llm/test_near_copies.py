@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import near_copies
+from cadenza.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +75,12 @@ def test_columns_and_empty(spark):
     assert near_copies.keep_one(docs).columns == docs.columns
     assert near_copies.keep_one(docs).count() == 1
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_repeated_lines_do_not_decide(spark):
+    """Texts of one line many times over and different ends: fingerprints are near, shingle sets are not."""
+    line = " ".join(f"line{k}" for k in range(13))
+    rows = [(i, " ".join([line] * 40 + [f"own{i}x{k}" for k in range(50)])) for i in range(6)]
+    fps = [simhash.fingerprint_bytes(t.encode(), 5) for _, t in rows]
+    assert any((fps[0] ^ f).bit_count() <= 4 for f in fps[1:])
+    assert stage(spark, rows) == rows
