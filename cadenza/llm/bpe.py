@@ -10,14 +10,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import positional, quoted, renamed
+
 #: Words that a task remembers before it starts anew: bounds its memory.
 KNOWN_WORDS = 200_000
 #: Rows that are encoded before they are handed on: bounds the ids that a task holds besides those of one text.
@@ -25,6 +29,10 @@ CHUNK_ROWS = 256
 #: A longer word is not remembered.
 KNOWN_CHARS = 64
 NO_RANK = 1 << 60
+#: Words of a text whose ids are joined and hashed at once.
+HASH_WORDS = 4_096
+#: Ranks in a block of a long word's array, or their number's root if that is more: the minimum is sought in the blocks' minima, then in one block.
+BLOCK = 64
 
 
 def byte_symbols() -> list[str]:
@@ -69,6 +77,8 @@ class WordBpe:
             bounds.append(bounds[-1] + len(s))
         ranks, rank_of = self.ranks, lambda i: ranks.get((text[bounds[i] : bounds[i + 1]], text[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
         pair = [rank_of(i) for i in range(len(bounds) - 2)]
+        if len(pair) > 4 * BLOCK:
+            return self._merge_long(text, bounds, pair)
         while pair:
             low = min(pair)
             if low == NO_RANK:
@@ -82,6 +92,51 @@ class WordBpe:
                 pair[i - 1] = rank_of(i - 1)
         return [self.vocab[text[a:b]] for a, b in zip(bounds, bounds[1:])]
 
+    def _merge_long(self, text: str, bounds: list[int], pair: list[int]) -> list[int]:
+        """The same for a long word: the array in blocks of boundaries and ranks, each with its least rank.
+
+        A block holds the starts of its parts and the rank of each with the part after it, which may lie in a later block.
+        """
+        ranks, end, size = self.ranks, bounds[-1], max(BLOCK, isqrt(len(pair)))
+        starts = [bounds[a : min(a + size, len(bounds) - 1)] for a in range(0, len(bounds) - 1, size)]
+        pair = [*pair, NO_RANK]
+        held = [pair[a : a + size] for a in range(0, len(pair), size)]
+        least = [min(h) for h in held]
+        after, before = list(range(1, len(starts) + 1)), list(range(-1, len(starts) - 1))  # neighbouring blocks that are not empty
+
+        def start_of(block: int, i: int, step: int) -> int:
+            """The start `step` parts after part i of a block; the end of the word after its last."""
+            i += step
+            while block < len(starts) and i >= len(starts[block]):
+                i -= len(starts[block])
+                block = after[block]
+            return starts[block][i] if block < len(starts) else end
+
+        def refresh(block: int, i: int) -> None:
+            a, b = starts[block][i], start_of(block, i, 1)
+            held[block][i] = ranks.get((text[a:b], text[b : start_of(block, i, 2)]), NO_RANK) if b < end else NO_RANK
+            least[block] = min(held[block])
+
+        while (low := min(least)) != NO_RANK:
+            block = least.index(low)
+            i = held[block].index(low)
+            gone, at = (block, i + 1) if i + 1 < len(starts[block]) else (after[block], 0)
+            del starts[gone][at], held[gone][at]
+            if starts[gone]:
+                least[gone] = min(held[gone])
+            else:
+                least[gone] = NO_RANK
+                after[before[gone]] = after[gone]
+                if after[gone] < len(starts):
+                    before[after[gone]] = before[gone]
+            refresh(block, i)
+            if i:
+                refresh(block, i - 1)
+            elif before[block] >= 0:
+                refresh(before[block], len(starts[before[block]]) - 1)
+        flat = [a for block in starts for a in block]
+        return [self.vocab[text[a:b]] for a, b in zip(flat, [*flat[1:], end])]
+
     def split(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
         if self.beyond.search(text):
@@ -131,18 +186,25 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def encode_column(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` plus token_ids array<int> of each whole text; null text has no tokens."""
-    fields = docs.schema.fieldNames()
-    schema = docs.select(*fields, F.array().cast("array<int>").alias("token_ids")).schema
+    """`docs` plus token_ids array<int> of each whole text, in place of a column of that name; null text has no tokens.
+
+    All other columns pass through as they are, whatever their names and types.
+    """
+    kept = [c for c in docs.columns if c != "token_ids" or c == text]
+    rows = positional(docs.select(*map(quoted, kept)))
+    source = f"c{kept.index(text)}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for pdf in batches:
-            for a in range(0, len(pdf), CHUNK_ROWS):
-                part = pdf.iloc[a : a + CHUNK_ROWS]
-                yield part.assign(token_ids=[bpe.encode_array(t) if isinstance(t, str) else np.zeros(0, np.int32) for t in part[text]])
+        for whole in batches:
+            for a in range(0, whole.num_rows, CHUNK_ROWS):
+                part = whole.slice(a, CHUNK_ROWS)
+                ids = [bpe.encode_array(t) if t is not None else np.zeros(0, np.int32) for t in part.column(source).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                yield part.append_column("token_ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
 
-    return docs.mapInPandas(run, schema)
+    schema = rows.select("*", F.array().cast("array<int>").alias("token_ids")).schema
+    return renamed(rows.mapInArrow(run, schema), kept, "token_ids")
 
 
 def decode_column(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -159,20 +221,31 @@ def decode_column(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFra
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text (null: empty); other columns are ignored.
 
-    Ids and decoded text are hashed as they are made, so a very long text is never held as a list of ids.
+    Ids and decoded text are hashed word by word as they are made; no list of them is held.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                got = list(bpe.entries(text)) if isinstance(text, str) else []
-                counts, ids, words = zip(*got) if got else ((), (), ())
-                rows.append((sum(counts), sha(ids), sha(words)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+        for batch in batches:
+            counts, ids_sha, words_sha = [], [], []
+            for text in batch.column("text").to_pylist():
+                n, ids, words, some = 0, hashlib.sha256(), hashlib.sha256(), []
+                for entry in bpe.entries(text) if text is not None else ():
+                    n += entry[0]
+                    some.append(entry)
+                    if len(some) == HASH_WORDS:
+                        _, i, w = zip(*some)
+                        ids.update((" ".join(i) + " ").encode())
+                        words.update((" ".join(w) + " ").encode())
+                        some = []
+                if some:
+                    _, i, w = zip(*some)
+                    ids.update(" ".join(i).encode())
+                    words.update(" ".join(w).encode())
+                counts.append(n)
+                ids_sha.append(ids.hexdigest())
+                words_sha.append(words.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(words_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.select(F.col("doc_id").cast("long"), "text")
-    return kept.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

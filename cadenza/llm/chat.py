@@ -15,7 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +73,27 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
-def _format(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+TURN_FIELDS = pa.schema([
+    ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_from", pa.int32()), ("loss_to", pa.int32()),
+    ("attachments", pa.list_(pa.struct([("slot", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()),
+])
+ATTACHED = ("slot", "kind", "ref", "tokens")
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for conv, turn, role, parts in zip(pdf["conv_id"], pdf["turn"], pdf["role"], pdf["parts"]):
-            visitor, role = Flatten(), role if isinstance(role, str) else ""
-            for part in parts if parts is not None else []:
+        for row in batch.to_pylist():
+            visitor, role = Flatten(), row["role"] or ""
+            for part in row["parts"] or []:
                 if part is not None:
                     visitor.visit(part)
             head, body = f"<|turn {escape(role)}|>", "".join(visitor.body)
             loss = (len(head), len(head) + len(body)) if role == LOSS_ROLE else (0, 0)
-            out.append((conv, turn, role, f"{head}{body}<|end|>\n", *loss, visitor.attachments, visitor.expanded))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "formatted", "loss_from", "loss_to", "attachments", "expanded_tokens"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            attached = [dict(zip(ATTACHED, a)) for a in visitor.attachments]
+            out.append((row["conv_id"], row["turn"], role, f"{head}{body}<|end|>\n", *loss, attached, visitor.expanded))
+        columns = zip(*out) if out else [[]] * len(TURN_FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, TURN_FIELDS)], schema=TURN_FIELDS)
 
 
 def format_turns(messages: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def format_turns(messages: DataFrame) -> DataFrame:
     A conversation's prompt is its rows' `formatted` in the order of turn. Null role is an empty one; null parts, null
     texts and no parts give an empty body; an unknown kind of part counts as text. Other columns are ignored.
     """
-    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("parts").cast(f"array<{PART}>")).mapInPandas(_format, TURNS)
+    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.col("parts").cast(f"array<{PART}>")).mapInArrow(_format, TURNS)
 
 
 def text_messages(rows: DataFrame) -> DataFrame:
@@ -123,13 +132,15 @@ class _Reading:
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+DIGEST_FIELDS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive by conversation and turn; only running digests are held, so a hot conversation needs no memory."""
     now, done = None, []
-    frame = lambda: pd.DataFrame(done, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
-    for pdf in batches:
-        for conv, formatted, lo, hi in zip(pdf["conv_id"].astype("Int64"), pdf["formatted"], pdf["loss_from"], pdf["loss_to"]):
-            conv = None if conv is pd.NA else conv
+    frame = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done), DIGEST_FIELDS)], schema=DIGEST_FIELDS)
+    for batch in batches:
+        for conv, formatted, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to"))):
             if now is None or now.conv != conv:
                 if now is not None:
                     done.append(now.row())
@@ -149,4 +160,4 @@ def read_back(turns: DataFrame) -> DataFrame:
     Rows of equal turn are ordered by their formatted text. A null conv_id is a conversation of its own.
     """
     ordered = turns.select("conv_id", "turn", "formatted", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInPandas(_read_back, DIGEST)
+    return ordered.mapInArrow(_read_back, DIGEST)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys are hot.
@@ -15,12 +14,14 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (local tests)."""
+    """The folder that all executors share. Where none is set a local session uses its warehouse; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="cadenza-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -56,14 +57,41 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, those of the smallest hashes of `key`; all rows where there are no more.
+def hash_sample(rows: DataFrame, keys: list[str], most: int, by: str | None = None, groups: int = 1_000) -> DataFrame:
+    """(by, keys) of at most `most` distinct keys, those of the smallest hashes; of each value of `by` where it is given.
 
-    A cut on the hash leaves about twice as many, so that tasks do not each send `most` rows on.
+    Of very many values of `by` the `groups` most frequent count. A cut on the hash comes first, so that tasks send few rows on.
     """
-    n, hashed = rows.count(), F.xxhash64(key)
-    few = rows if n <= 4 * most else rows.filter(hashed < -(2**63) + int(2**64 * 2 * most / n))
-    return few.orderBy(F.xxhash64(key), key).limit(most)
+    hashed, group = F.xxhash64(*keys), F.lit(0) if by is None else F.col(by)
+    sizes = rows.groupBy(group.alias("group")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(groups)
+    share = F.least(F.lit(1.0), F.lit(8.0 * most) / F.col("n"))
+    some = rows.select(group.alias("group"), *keys, hashed.alias("hash")).join(F.broadcast(sizes), "group").filter((F.col("hash") / 2.0**64 + 0.5) <= share)
+    nth = F.row_number().over(Window.partitionBy("group").orderBy("hash", *keys))
+    few = some.select("group", "hash", *keys).distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
+    return few.select(*([F.col("group").alias(by)] if by else []), *keys)
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """`docs` with all its columns in one struct `row`, so that helper columns beside it clash with none of them."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
+def positional(docs: DataFrame) -> DataFrame:
+    """`docs` with its columns renamed to c0, c1, ..; `renamed` gives the names back."""
+    return docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def renamed(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """c0, c1, .. of `df` under the given names, then the columns `more`."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *more)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,14 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import boxed, join_groups, unboxed, written
 
 #: Distinct digests in a shard: bounds the memory of one build or lookup.
 SHARD_ROWS = 40_000
 #: Bits of a level for each key that reaches it.
 GAMMA = 2.0
 
-GROUP = "digest binary, keep_id long, group_size long, ties long"
+GROUP = "digest binary, named boolean, keep_id long, group_size long, ties long"
+FIELDS = ["named", "keep_id", "group_size", "ties"]
 
 
 def _words(digests: np.ndarray) -> np.ndarray:
@@ -71,16 +72,16 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     levels = build_mph(digests)
     at = slots_of(levels, digests)
     order = np.argsort(at)
-    image = {"levels": levels, "digests": digests[order], **{c: pdf[c].to_numpy()[order] for c in ("keep_id", "group_size", "ties")}}
+    image = {"levels": levels, "digests": digests[order], **{c: pdf[c].to_numpy()[order] for c in FIELDS}}
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "image": [pickle.dumps(image)]})
 
 
 def _look_up(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     """Groups of one shard after the new rows: every slot, then the nonmembers."""
     if not len(index):
-        return new[["digest", "keep_id", "group_size", "ties"]]
+        return new[["digest", *FIELDS]]
     image = pickle.loads(index["image"].iloc[0])
-    stored, keep, count, ties = (image[c].copy() for c in ("digests", "keep_id", "group_size", "ties"))
+    stored, named, keep, count, ties = (image[c].copy() for c in ("digests", *FIELDS))
     out = []
     if len(new):
         digests = _digests(new["digest"])
@@ -88,24 +89,31 @@ def _look_up(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         member = at >= 0
         member[member] = (stored[at[member]] == digests[member]).all(axis=1)
         slot, theirs = at[member], new[member]
-        best, num, tie = (theirs[c].to_numpy() for c in ("keep_id", "group_size", "ties"))
-        ties[slot] = np.where(best > keep[slot], tie, np.where(best == keep[slot], ties[slot] + tie, ties[slot]))
-        keep[slot] = np.maximum(keep[slot], best)
+        has, best, num, tie = (theirs[c].to_numpy() for c in FIELDS)
+        same = (has == named[slot]) & (best == keep[slot])
+        wins = (has & ~named[slot]) | ((has == named[slot]) & (best > keep[slot]))
+        ties[slot] = np.where(wins, tie, np.where(same, ties[slot] + tie, ties[slot]))
+        keep[slot], named[slot] = np.where(wins, best, keep[slot]), has | named[slot]
         count[slot] += num
-        out.append(new.loc[~member, ["digest", "keep_id", "group_size", "ties"]])
-    out.insert(0, pd.DataFrame({"digest": [d.tobytes() for d in stored], "keep_id": keep, "group_size": count, "ties": ties}))
+        out.append(new.loc[~member, ["digest", *FIELDS]])
+    out.insert(0, pd.DataFrame({"digest": [d.tobytes() for d in stored], "named": named, "keep_id": keep, "group_size": count, "ties": ties}))
     return pd.concat(out, ignore_index=True)
 
 
+def _digest(text: str):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row; null text counts as empty, null doc_id as the smallest id."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    """(doc_id, digest) of every row; null text counts as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text").alias("digest"))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """One row per distinct digest, combined before the shuffle: the largest doc_id wins."""
+    """One row per distinct digest, combined before the shuffle: the largest doc_id wins; `named` is false where all are null."""
     per_id = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-    return per_id.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", "doc_id").alias("ties"))
+    largest = F.max("doc_id")
+    return per_id.groupBy("digest").agg(largest.isNotNull().alias("named"), F.coalesce(largest, F.lit(0)).alias("keep_id"), F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "doc_id"), F.sum("n")).alias("ties"))
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -126,15 +134,15 @@ def look_up(index: DataFrame, new: DataFrame, shards: int) -> DataFrame:
 def duplicate_groups(docs: DataFrame, history_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(rows with digests, digest groups) of `docs`.
 
-    The lower `history_share` of the doc_id range is the history that is indexed, the rest is looked up; every row is
-    in one of the two, and the groups do not depend on the split. An empty table gives no groups.
+    The rows whose doc_id hashes below `history_share` of all hashes are the history that is indexed, the rest is looked up;
+    every row is in one of the two, and the groups do not depend on the split. An empty table gives no groups.
     """
     rows = written(digest_rows(docs), "digests")
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    shards = max(1, -(-(n or 0) // SHARD_ROWS))
-    split = 0 if n == 0 else low + int((high - low) * history_share)
-    index = build_index(rows.filter(F.col("doc_id") <= split), shards)
-    return rows, written(look_up(index, rows.filter(F.col("doc_id") > split), shards), "digest-groups")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    old = F.pmod(F.xxhash64(F.lit("history"), "doc_id"), F.lit(1 << 20)) < int(history_share * (1 << 20))
+    index = build_index(rows.filter(old), shards)
+    groups = look_up(index, rows.filter(~old), shards).withColumn("keep_id", F.when(F.col("named"), F.col("keep_id"))).drop("named")
+    return rows, written(groups, "digest-groups")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -146,16 +154,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     rows, groups = duplicate_groups(docs)
     out = join_groups(rows, groups, "digest", "group_size")
-    back = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
-    return out.select(back("doc_id").alias("doc_id"), back("keep_id").alias("keep_id"), F.col("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: one of each group of equal texts."""
+    """The rows of `docs` that stay, with all their columns as they are: of equal texts the one of the largest doc_id.
+
+    Of rows that repeat doc_id and text one stays; a null doc_id ranks below all others.
+    """
     _, groups = duplicate_groups(docs)
-    winners = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), F.col("ties").alias("_ties"))
-    whole = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long"))
-    kept = whole.join(winners, ["_digest", "_id"])
+    whole = boxed(docs).withColumn("digest", _digest("row.text")).alias("w")
+    same = (F.col("w.digest") == F.col("g.digest")) & F.col("w.row.doc_id").cast("long").eqNullSafe(F.col("g.keep_id"))
+    kept = whole.join(groups.alias("g"), same).select("w.row", "w.digest")
     if not groups.filter("ties > 1").isEmpty():  # a table that repeats whole rows
-        kept = kept.dropDuplicates(["_digest"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["digest"])
+    return unboxed(kept)

@@ -1,8 +1,9 @@
 """Exact top-k by integer inner product: KD-trees per shard, best-first traversal with box bounds.
 
-Vectors are dealt to shards of bounded size; each shard holds a KD-tree of median splits whose nodes carry tight bounding
-boxes. Queries come in blocks. A task takes a block through a run of shards: in each tree the open node with the largest
-box-to-query bound is expanded first, and the kth best score found so far, carried from shard to shard, ends the search.
+A coarse tree of median splits over a bounded sample deals vectors to cells, large cells to shards of bounded size; each shard
+holds a KD-tree of median splits whose nodes carry tight bounding boxes. A query first searches one shard of its own cell;
+the kth score found there is propagated: a shard whose root box is bounded below it is never sent, and in the others the
+open node with the largest box-to-query bound is expanded first until none can reach that score or a better kth one.
 """
 
 from __future__ import annotations
@@ -13,17 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-SHARD_ROWS = 8_192
-BLOCK_ROWS = 512
+SHARD_ROWS = 4_096
+BLOCK_ROWS = 128
 LEAF_ROWS = 64
-#: Shards that one task takes a query block through.
-RUN_SHARDS = 8
 SCALE = 1024
+#: Vectors and numbers of the sample that the cells are split on; the most cells.
+SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS = 8_192, 1 << 22, 1_024
+#: Numbers in the root boxes of all shards up to which they are sent to every task; beyond, every query visits every shard.
+BOX_NUMBERS = 1 << 23
+LEAST = -(2**63)
 
 
 def _save(**arrays) -> bytes:
@@ -54,16 +59,16 @@ def build_tree(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
     return {"ids": ids[order], "x": x[order], "span": np.array(span), "kids": np.array(kids), "low": np.array(low), "high": np.array(high)}
 
 
-def search_tree(tree, qids: np.ndarray, q: np.ndarray, k: int, best: list[list]) -> None:
-    """Fold the tree's rows into `best`, per query a heap of at most k (score, -vec_id)."""
+def search_tree(tree, qids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> list[list]:
+    """Per query a heap of its at most k best (score, -vec_id) rows of the tree among those that score `floor` or more."""
     ids, x, span, kids = (tree[c] for c in ("ids", "x", "span", "kids"))
-    bounds = np.maximum(q, 0) @ tree["high"].T + np.minimum(q, 0) @ tree["low"].T
+    bounds, best = box_bounds(q, tree["low"], tree["high"]), []
     for i in range(len(q)):
-        found, bound, me = best[i], bounds[i], qids[i]
+        found, bound, me, least = [], bounds[i], qids[i], floor[i]
         open_nodes = [(-bound[0], 0)]
         while open_nodes:
             b, node = heapq.heappop(open_nodes)
-            if len(found) == k and -b < found[0][0]:
+            if -b < least:
                 break  # every other box is bounded lower still
             left, right = kids[node]
             if left >= 0:
@@ -72,55 +77,100 @@ def search_tree(tree, qids: np.ndarray, q: np.ndarray, k: int, best: list[list])
                 continue
             a, z = span[node]
             scores, own = x[a:z] @ q[i], ids[a:z]
-            take = own != me
-            if len(found) == k:
-                take &= scores >= found[0][0]
+            take = (own != me) & (scores >= least)
             for item in zip(scores[take].tolist(), (-own[take]).tolist()):
                 if len(found) < k:
                     heapq.heappush(found, item)
                 elif item > found[0]:
                     heapq.heapreplace(found, item)
+            if len(found) == k:
+                least = max(least, found[0][0])
+        best.append(found)
+    return best
+
+
+def box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(queries, boxes): the largest inner product that a point of each box can have."""
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), np.float64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
-    # BLAS on doubles is exact while every sum of products stays below 2 ** 53
-    return out if dim * float(np.abs(out).max(initial=0)) ** 2 < 2.0**52 else out.astype(np.int64)
+def _matrix(column: pd.Series, dim: int, kind: str) -> np.ndarray:
+    sizes = np.fromiter(map(len, column), np.int64, len(column))
+    flat = np.concatenate(column.to_list()) if len(column) else np.zeros(0)
+    out = np.zeros((len(column), dim), np.int64)
+    out[np.arange(dim) < sizes[:, None]] = flat
+    return out.astype(kind)
 
 
-def _packer(kind: str, dim: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["vec_id"].to_numpy(), _matrix(pdf["v"], dim)
-        arrays = build_tree(ids, x) if kind == "shard" else {"ids": ids, "x": x}
-        return pd.DataFrame({kind: [int(pdf[kind].iloc[0])], "image": [_save(**arrays)]})
+def exact_kind(dim: int, x: int, q: int) -> str:
+    """A type in which sums of `dim` products of numbers up to `x` and `q` are exact: BLAS on doubles where they stay below 2 ** 53."""
+    most = max(1, dim) * max(1, x) * max(1, q)
+    return "float64" if most < 2**52 else "int64" if most < 2**62 else "object"
 
-    return pack
 
+class Cells:
+    """A coarse tree of median splits: (node, axis, value) level by level; row numbers of leaves are cells."""
 
-def _searcher(k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows arrive by (block, run): the first of them carries the block's queries, the others a shard each."""
-        key, qids, q, best = None, None, None, []
+    def __init__(self, sample: np.ndarray, depth: int) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.zeros(len(sample), np.int64)
+        for level in range(depth):
+            axis, value = np.zeros(1 << level, np.int64), np.full(1 << level, 0.0)
+            for node in range(1 << level):
+                rows = sample[at == node]
+                if len(rows):
+                    axis[node] = np.argmax(rows.max(axis=0) - rows.min(axis=0))
+                    value[node] = np.median(rows[:, axis[node]])
+            self.levels.append((axis, value))
+            at = 2 * at + (sample[np.arange(len(sample)), axis[at]] > value[at])
 
-        def result():
-            rows = [(query, -neg, int(score)) for query, heap in zip(qids.tolist(), best) for score, neg in heap]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for axis, value in self.levels:
+            at = 2 * at + (x[np.arange(len(x)), axis[at]] > value[at])
+        return at
 
+
+def _in_cells(rows: DataFrame, cells: Cells, dim: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, run, shard, image in zip(pdf["block"], pdf["run"], pdf["shard"], pdf["image"]):
-                data = np.load(io.BytesIO(image))
-                if shard < 0:
-                    if key is not None:
-                        yield result()
-                    key, qids, q, best = (block, run), data["ids"], data["x"], [[] for _ in data["ids"]]
-                elif key == (block, run):
-                    search_tree({c: data[c] for c in data.files}, qids, q, k, best)
-        if key is not None:
-            yield result()
+            yield pdf.assign(cell=cells.of(_matrix(pdf["v"], dim, "int64")).astype(np.int32))
+
+    return rows.mapInPandas(run, "vec_id long, v array<long>, cell int")
+
+
+def _tree_of(dim: int, kind: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = build_tree(pdf["vec_id"].to_numpy(), _matrix(pdf["v"], dim, "int64"))
+        low, high = tree["low"][0].tolist(), tree["high"][0].tolist()
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "sub": pdf["sub"].iloc[:1], "low": [low], "high": [high], "image": [_save(**tree)]})
+
+    return run
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _searched(asked: DataFrame, trees: DataFrame, k: int, dim: int, kind: str) -> DataFrame:
+    """FOUND rows of (cell, sub, vec_id, v, floor) queries in their shards, BLOCK_ROWS queries and one tree at a time."""
+    blocks = asked.groupBy("cell", "sub").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    mine = asked.join(blocks, ["cell", "sub"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    copies = trees.join(blocks, ["cell", "sub"]).select("cell", "sub", "image", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(queries) and len(tree):
+            data = np.load(io.BytesIO(tree["image"].iloc[0]))
+            held = {c: data[c] for c in data.files}
+            for c in ("x", "low", "high"):
+                held[c] = held[c].astype(kind)
+            qids = queries["vec_id"].to_numpy()
+            best = search_tree(held, qids, _matrix(queries["v"], dim, kind), k, queries["floor"].to_numpy())
+            rows = [(query, -neg, min(2**63 - 1, max(LEAST, int(score)))) for query, heap in zip(qids.tolist(), best) for score, neg in heap]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    return search
+    key = ["cell", "sub", "block"]
+    return mine.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(run, FOUND)
 
 
 def scaled(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -135,21 +185,47 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all candidates but rows of its own id.
 
     Both sides are (vec_id, v array<long>). Ties go to the smaller vec_id; fewer candidates give fewer rows; shorter
-    vectors count as filled up with zeros; empty tables give an empty result. Every candidate is in a tree.
+    vectors count as filled up with zeros; empty tables give an empty result. Every candidate is in a tree. Sums are exact
+    whatever their size; a score beyond 64 bits is held to the largest or least number of them.
     """
-    candidates, queries = written(candidates, "vectors"), written(queries, "queries")
-    n, dim = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
-    m, qdim = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    dim = max(dim or 0, qdim or 0)
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    trees = written(dealt(candidates, "shard", shards).groupBy("shard").applyInPandas(_packer("shard", dim), "shard int, image binary"), "trees")
-    packed = written(dealt(queries, "block", blocks).groupBy("block").applyInPandas(_packer("block", dim), "block int, image binary"), "query-blocks")
-    runs = -(-shards // RUN_SHARDS)
-    run_of = F.floor(F.col("shard") / RUN_SHARDS).cast("int")
-    pairs = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), F.lit(-1).alias("shard"), "image").unionByName(
-        trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), run_of.alias("run"), "shard", "image")
-    )
-    found = pairs.repartition("block", "run").sortWithinPartitions("block", "run", "shard").mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
+    spark = candidates.sparkSession
+    candidates, queries = written(candidates.select("vec_id", "v"), "vectors"), written(queries.select("vec_id", "v"), "queries")
+    largest = F.max(F.greatest(F.array_max("v"), -F.array_min("v")))
+    (n, dim, x), (m, qdim, q) = (side.agg(F.count("*"), F.max(F.size("v")), largest).first() for side in (candidates, queries))
+    dim, kind = max(dim or 0, qdim or 0), exact_kind(max(dim or 0, qdim or 0), x or 0, q or 0)
+    most = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, dim)))
+    some = candidates.filter(F.xxhash64("vec_id") / 2.0**64 + 0.5 <= min(1.0, 4 * most / max(1, n))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+    sample = _matrix(pd.Series([np.array(r[0]) for r in some.select("v").collect()], dtype=object), dim, "int64")  # bounded by SAMPLE_ROWS
+    depth = min(CELLS.bit_length() - 1, max(0, -(-n // SHARD_ROWS) - 1).bit_length(), max(0, len(sample) // 4).bit_length())
+    cells = Cells(sample, depth)
+    placed = written(_in_cells(candidates, cells, dim), "cells")
+    subs = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * SHARD_ROWS)).cast("int").alias("subs"))  # at most CELLS rows
+    dealt = placed.join(F.broadcast(subs), "cell").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
+    trees = written(dealt.groupBy("cell", "sub").applyInPandas(_tree_of(dim, kind), "cell int, sub int, low array<long>, high array<long>, image binary"), "trees")
+
+    home = _in_cells(queries, cells, dim).withColumns({"sub": F.lit(0), "floor": F.lit(LEAST).cast("long")})
+    first = written(_searched(home, trees, k, dim, kind), "home-scores")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+    bounded = home.drop("floor").join(kth, "vec_id", "left").select("cell", "vec_id", "v", F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(LEAST)).alias("floor"))
+    shards = trees.count()
+    if shards * dim * 2 <= BOX_NUMBERS:
+        boxes = trees.select("cell", "sub", "low", "high").orderBy("cell", "sub").toPandas()  # bounded by BOX_NUMBERS
+        sent = spark.sparkContext.broadcast((boxes["cell"].to_numpy(), boxes["sub"].to_numpy(), *(_matrix(boxes[c], dim, kind) for c in ("low", "high"))))
+
+        def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cell, sub, low, high = sent.value
+            for pdf in batches:
+                for a in range(0, len(pdf), BLOCK_ROWS):
+                    part = pdf.iloc[a : a + BLOCK_ROWS]
+                    near = box_bounds(_matrix(part["v"], dim, kind), low, high) >= part["floor"].to_numpy()[:, None]
+                    near &= (cell[None] != part["cell"].to_numpy()[:, None]) | (sub[None] != 0)
+                    i, j = np.nonzero(near)
+                    yield pd.DataFrame({"cell": cell[j], "sub": sub[j], "vec_id": part["vec_id"].to_numpy()[i], "v": part["v"].to_numpy()[i], "floor": part["floor"].to_numpy()[i]})
+
+        others = bounded.mapInPandas(reaching, "cell int, sub int, vec_id long, v array<long>, floor long")
+    else:
+        every = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(max(r[0] for r in subs.select("subs").collect()) - 1)), lambda s: F.struct(c.alias("cell"), s.alias("sub"))))))
+        others = bounded.withColumnRenamed("cell", "own").withColumn("to", every).filter("to.cell != own or to.sub != 0").select("to.cell", "to.sub", "vec_id", "v", "floor")
+    found = first.unionByName(_searched(written(others, "asked"), trees, k, dim, kind))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

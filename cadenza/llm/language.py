@@ -11,18 +11,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, positional, quoted, renamed
 from .gru import GATES, Adam, Fast, backward, forward, init_direction
 
 WINDOW = 64
 UNITS = 8
-#: Labelled rows that the network is fitted on, those of the smallest hashes, and windows drawn from each language.
-SAMPLE_ROWS = 2_400
+#: Labelled rows of a language that the network is fitted on, those of the smallest hashes; languages, those of the most rows;
+#: characters of a row's text; windows drawn from each language.
+SAMPLE_ROWS, LANGS, FIT_CHARS = 600, 500, 20_000
 LANG_WINDOWS = 1_600
 EPOCHS = 6
 #: Windows in one pass, and bytes of text gathered before a pass.
@@ -155,22 +156,29 @@ class Scorer:
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from at most SAMPLE_ROWS rows with a label that are not held out."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = hash_sample(known.select("doc_id", F.xxhash64("text").alias("_text")), "doc_id", SAMPLE_ROWS)  # ids, not texts
-    found = known.select("doc_id", "text", "lang", F.xxhash64("text").alias("_text")).join(F.broadcast(picked.distinct()), ["doc_id", "_text"])
-    rows = found.dropDuplicates(["doc_id", "_text"]).orderBy("doc_id", "_text").collect()  # at most SAMPLE_ROWS
-    return train([r.text for r in rows], [r.lang for r in rows])
+    """A model from labelled rows that are not held out: at most SAMPLE_ROWS of each of the LANGS most frequent labels.
 
-
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `docs` plus lang_pred and score."""
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Of a text over FIT_CHARS characters a stretch of that length, from a place given by its hash, is learned.
+    """
+    digest = F.xxhash64("text")
+    known = docs.select("doc_id", "lang", "text", digest.alias("digest")).filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    picked = hash_sample(known, ["doc_id", "digest"], SAMPLE_ROWS, "lang", LANGS)  # ids, not texts
+    at = 1 + F.pmod(F.col("digest"), F.greatest(F.lit(1), F.length("text") - FIT_CHARS + 1)).cast("int")
+    picked = picked.toDF("of", "id", "learned")
+    found = known.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("digest") == F.col("learned")))
+    pieces = found.select("id", "of", "learned", F.substring("text", at, F.lit(FIT_CHARS)).alias("text"))
+    rows = pieces.dropDuplicates(["id", "of", "learned"]).orderBy("id", "of", "learned").collect()  # bounded by the sample
+    return train([r.text for r in rows], [r.of for r in rows])
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` plus lang_pred and score; its own columns pass through as they are."""
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
             pred, score = [NONE] * len(texts), [0.0] * len(texts)
             slab, where, size = [], [], 0
 
@@ -184,7 +192,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     slab.clear(), where.clear()
 
             for i, t in enumerate(texts):
-                if model.langs and isinstance(t, str) and LETTER.search(t):
+                if model.langs and t is not None and LETTER.search(t):
                     slab.append(t.encode())
                     where.append(i)
                     size += len(slab[-1])
@@ -192,9 +200,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                         flush()
                         size = 0
             flush()
-            yield pdf[keep].assign(lang_pred=pred, score=score)
+            yield batch.append_column("lang_pred", pa.array(pred)).append_column("score", pa.array(score))
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -204,12 +212,16 @@ def identify(docs: DataFrame) -> DataFrame:
     from. Rows that repeat get the same prediction. Other columns are ignored.
     """
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return predict(marked, fit(docs), ["doc_id", "held_out"])
+    return predict(marked, fit(docs)).drop("text")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is identified with at least that score."""
-    held = docs.columns
-    named = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(held)])
-    scored = predict(named, fit(docs), named.columns)
-    return scored.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*[F.col(a).alias(b) for a, b in zip(named.columns, held)])
+    """The rows of `docs`, with all their columns as they are, whose language is identified with at least that score.
+
+    Null text and text without a letter go. Where no row has a label to learn from, all texts with a letter stay.
+    """
+    model = fit(docs)
+    if not model.langs:
+        return docs.filter(quoted("text").rlike(r"\p{L}"))
+    scored = predict(positional(docs), model, f"c{docs.columns.index('text')}")
+    return renamed(scored.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)), docs.columns)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import boxed, unboxed
+
 #: A run of anything but space, \t, \n, \v, \f and \r is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A target stops at so many times its source's size.
@@ -38,27 +40,27 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """`docs` plus _size, _source_size, _target and _copies, the times that the mix takes a row.
+    """row (the columns of `docs`), size, source_size, target and copies, the times that the mix takes a row.
 
     Null text and text without words have size 0; sources of size 0 get target 0 and no copies. The draw is a hash of
     the seed and doc_id, so reruns agree; rows that repeat a doc_id share it. An empty table gives an empty result.
     """
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    targets = source_targets(sized.select("source", F.col("_size").alias("size"))).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    sized = boxed(docs).withColumn("size", F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"))
+    targets = source_targets(sized.select("row.source", "size")).withColumnRenamed("source", "name")
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.drop("_source").withColumn("_copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
+    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("name")))
+    return joined.drop("name").withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: each row of `docs`, with its columns, as many times as it is taken."""
-    taken = with_copies(docs, seed)
-    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: each row of `docs`, with its columns as they are, as many times as it is taken."""
+    taken = with_copies(docs, seed).filter("copies > 0")
+    return unboxed(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    return with_copies(docs.select("doc_id", "text", "source")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return with_copies(docs.select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -5,6 +5,11 @@ threshold t_i with sum(t_i + 1) = T + 1, they differ by at most t_i in some part
 a dynamic program picks, from a sample's distances, those with the fewest estimated probes and candidates; a partition
 given -1 is not probed. Each fingerprint is indexed under its own partition values and probes those within t_i;
 what meets is verified on all 64 bits. Links become components by alternating star contraction.
+
+A word-shingle similarity asks for more bits, as at 0.8 about 15 in 100 of them differ. `keep_similar` takes sketches of SKETCH bits over
+the set of shingles and links those whose distance speaks for the similarity. Thresholds sum too high there for a pigeonhole bound to
+prune, so the same dynamic program gives each partition -1, 0 or 1 at least cost such that a pair at the bound meets with a stated
+probability; pairs nearer than that meet almost surely, and whatever differs in fewer bits than thresholds add up to does surely.
 """
 
 from __future__ import annotations
@@ -15,11 +20,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, written
+from .common import boxed, cut, join_groups, unboxed, written
 
 BITS = 64
 #: Fingerprints (those of the smallest hashes) on which bits are grouped and candidates estimated; not a limit on links.
@@ -52,27 +58,19 @@ def fingerprint_bytes(text: bytes, width: int) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _row_id():
-    return F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
-
-
-def _id_of(row_id: str):
-    return F.when(F.col(row_id) != F.lit(-(2**63)), F.col(row_id))
-
-
-def _text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp as signed long) of every row's whole text; null text has no words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = [fingerprint_bytes(t.encode(), width) if isinstance(t, str) else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text_hash": pdf["text_hash"].to_numpy(), "fp": np.array(fps, np.uint64).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint_bytes(t.encode(), width) if t is not None else 0 for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(_row_id().alias("doc_id"), _text_hash().alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -277,7 +275,7 @@ def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> tuple[Dat
     Nodes are fingerprints, as ids can be null or repeat; component_id is the smallest id of a component, null if it has none.
     """
     rows = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(_id_of("doc_id")).alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
     parts = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance)).withColumnRenamed("node", "fp")
     groups = written(distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "copies", "least"), "fingerprint-groups")
     sizes = groups.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
@@ -293,19 +291,279 @@ def near_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     that repeat are linked; texts that are not near stay apart, even if they have no id or share one. Other columns are ignored.
     """
     rows, groups = near_groups(docs, width, distance)
-    return join_groups(rows, groups, "fp", "copies").select(_id_of("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_groups(rows, groups, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Words of a sketch, and its bits.
+LANES = 8
+SKETCH = 64 * LANES
+#: The least probability with which two sketches at the bound of similarity meet in a partition.
+MEET = 0.97
+#: Standard deviations of the distance at the bound that are added to its mean: at the bound itself about 5 in 6 are linked.
+MARGIN = 1.0
+#: Rows of a bucket that one task links at a time; those of a bucket that a sample shows to be larger are dealt to several tasks.
+LINK_ROWS = 40_000
+#: Rows up to which all pairs of a bucket are compared at once; more are first held against single ones.
+ALL_PAIRS = 1_024
+#: Sketches on which thresholds are chosen and large buckets seen.
+SEEN = 20_000
+_LANES = np.random.default_rng(64).integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; no words are one empty shingle, few words are one shingle."""
+    words = text.encode().lower().split() if text is not None else []
+    joined = b" ".join(words)
+    end = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    start = np.r_[0, end[:-1] + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(start, end[width - 1 :].tolist())], np.uint64))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """LANES words: a bit is 1 if set in over half of the shingles' hashes, each lane mixing them anew."""
+    bits = np.zeros(SKETCH, np.int64)
+    for a in range(0, len(shingles), 4_096):
+        x = shingles[a : a + 4_096, None] * _LANES
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(29)
+        bits += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(bits * 2 > len(shingles), bitorder="little").view(np.uint64)
+
+
+def apart(similarity: float) -> float:
+    """The share of bits in which sketches of sets of equal size and that Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, node = hash of the shingle set, sketch) of every row's whole text; null text has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, made = [], []
+            for text in batch.column("text").to_pylist():
+                own = shingle_set(text, width)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                made.append(sketch(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "node", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node long, sketch binary")
+
+
+def sketch_plan(sample: np.ndarray, rows: int, differ: float) -> list[tuple[list[int], int]]:
+    """(bits, threshold 0 or 1) of the probed partitions of sketches (sample rows, LANES), so that pairs at the bound meet."""
+    on = np.unpackbits(sample.view(np.uint8), axis=1, bitorder="little")
+    some, grid, need = on[:600].astype(np.float32), 64, -np.log(1 - MEET)
+    choices = []
+    for size in range(10, 23):
+        parts, cost, gain = SKETCH // size, [], []
+        for bits in wide_groups(on, parts, size):
+            own = some[:, bits]
+            ones = own.sum(axis=1)
+            far = (ones[:, None] + ones[None] - 2 * own @ own.T)[np.triu_indices(len(own), 1)]
+            exact = (1 - differ) ** size
+            q = [0.0, exact, exact + size * differ * (1 - differ) ** (size - 1)]
+            seen = [0.0, *(float((far <= r).mean()) if len(far) else 0.0 for r in (0, 1))]
+            balls = [0, 1, 1 + size]
+            cost.append([rows * (PROBE_COST * ball + rows * max(near, ball / 2.0**size)) for ball, near in zip(balls, seen)])
+            gain.append([int(-np.log(1 - x) / need * grid) for x in q])
+        best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+        for c, g in zip(cost, gain):
+            step: dict[int, tuple[float, list[int]]] = {}
+            for done, (total, chosen) in best.items():
+                for k in range(3):
+                    at, new = min(grid, done + g[k]), (total + c[k], [*chosen, k - 1])
+                    if at not in step or new < step[at]:
+                        step[at] = new
+            best = step
+        if grid in best:
+            choices.append((best[grid][0], size, [(b, t) for b, t in zip(wide_groups(on, parts, size), best[grid][1]) if t >= 0]))
+    return min(choices, key=lambda c: c[:2])[2]
+
+
+def wide_groups(on: np.ndarray, parts: int, size: int) -> list[list[int]]:
+    """`parts` groups of `size` bits of a sketch, each grown from its most common bit by those most correlated with it."""
+    centred = on.astype(np.float32) - on.mean(axis=0) if len(on) else np.zeros((1, SKETCH), np.float32)
+    norm = np.sqrt((centred**2).sum(axis=0)) + 1e-6
+    link = np.abs(centred.T @ centred) / np.outer(norm, norm)
+    np.fill_diagonal(link, 0)
+    free, groups = np.ones(SKETCH, bool), []
+    for _ in range(parts):
+        start = int(np.argmax(np.where(free, link.sum(axis=1), -1)))
+        free[start] = False
+        group, pull = [start], link[start].copy()
+        while len(group) < size:
+            b = int(np.argmax(np.where(free, pull, -1)))
+            free[b] = False
+            group.append(b)
+            pull += link[b]
+        groups.append(sorted(group))
+    return groups
+
+
+def _values(words: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The numbers that stand at these bits of each sketch."""
+    out = np.zeros(len(words), np.int64)
+    for k, b in enumerate(bits):
+        out |= ((words[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64) << k
+    return out
+
+
+def _dealt(layout: list[tuple[list[int], int]]):
+    """A row per partition and probed value: (bucket, node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, LANES)
+            for part, (bits, threshold) in enumerate(layout):
+                value = _values(words, bits)
+                for flip in (0, *(1 << k for k in range(len(bits)) if threshold)):
+                    yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * 1_024 + part), batch.column("node"), batch.column("sketch")], ["bucket", "node", "sketch"])
+
+    return run
+
+
+def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) positions: rows `i` against all rows, those at most `distance` apart."""
+    found_a, found_b = [], []
+    for a in range(0, len(i), max(1, PAIRS // max(1, len(words)))):
+        own = i[a : a + max(1, PAIRS // max(1, len(words)))]
+        far = np.bitwise_count(words[own, 0][:, None] ^ words[None, :, 0]).astype(np.uint16)
+        x, y = np.nonzero(far <= min(64, distance))
+        total = far[x, y]
+        for lane in range(1, LANES):
+            total = total + np.bitwise_count(words[own[x], lane] ^ words[y, lane])
+            keep = total <= distance
+            x, y, total = x[keep], y[keep], total[keep]
+        found_a.append(own[x])
+        found_b.append(y)
+    return np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
+
+
+def link_bucket(node: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links among the rows connect; never more than rows.
+
+    In a large bucket single rows are first held against all: what hangs together through them needs no pairs of its own, so only
+    the rows outside the largest group are then compared with all.
+    """
+    n = len(node)
+    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rest = np.arange(n)
+    if n > ALL_PAIRS:
+        open_, seen = np.ones(n, bool), 0
+        label = np.arange(n)
+        while open_.any() and seen < 64:
+            a, b = _near(words, np.flatnonzero(open_)[:1], distance)
+            open_[b] = False
+            label[np.isin(label, label[b])] = label[b].min()
+            left, right, seen = np.r_[left, a], np.r_[right, b], seen + 1
+        rest = np.flatnonzero(label != np.bincount(label).argmax())
+    a, b = _near(words, rest, distance)
+    a, b = np.r_[left, a], np.r_[right, b]
+    differ = node[a] != node[b]
+    return _forest(node[a[differ]], node[b[differ]]) if differ.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _linked(distance: int):
+    """Rows arrive by (bucket, i, j); emits edges."""
+    key = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.column_stack([table.column(c).to_numpy() for c in key])
+            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            count = np.diff(np.r_[start, len(keys)])
+            node, kept = table.column("node").to_numpy(), table.column("sketch")
+            found_a, found_b = [], []
+            for a, n in zip(start[count > 1].tolist(), count[count > 1].tolist()):
+                words = np.frombuffer(b"".join(kept.slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
+                x, y = link_bucket(node[a : a + n], words, distance)
+                found_a.append(x)
+                found_b.append(y)
+            if found_a and sum(map(len, found_a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in key])
+            other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cutoff = int(other[-1]) + 1 if len(other) else 0
+            if rest and (keys[0] != [rest[0].column(c)[0].as_py() for c in key]).any():
+                yield from solve(pa.Table.from_batches(rest))
+                rest = []
+            if cutoff:
+                yield from solve(pa.Table.from_batches([*rest, batch.slice(0, cutoff)]))
+                rest = []
+            rest.append(batch.slice(cutoff))
+        if rest:
+            yield from solve(pa.Table.from_batches(rest))
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) among (node, sketch) rows: their components are those of all links that meet in a partition."""
+    differ = apart(similarity)
+    distance = int(SKETCH * differ + MARGIN * np.sqrt(SKETCH * differ * (1 - differ)))
+    n = nodes.count()
+    some = nodes.filter(F.xxhash64("node") / 2.0**64 + 0.5 <= min(1.0, 2 * SEEN / max(1, n))).orderBy(F.xxhash64("node"), "node").limit(SEEN)
+    sample = np.frombuffer(b"".join(r[0] for r in some.select("sketch").collect()), np.uint64).reshape(-1, LANES)  # SEEN rows
+    layout = sketch_plan(sample[:2_000], n, differ)
+    large: list[tuple[int, int]] = []
+    for part, (bits, threshold) in enumerate(layout):
+        value, count = np.unique(_values(sample, bits), return_counts=True)
+        rows = count * (n / max(1, len(sample))) * (1 + threshold)
+        large += [(int(v) * 1_024 + part, int(-(-r // LINK_ROWS))) for v, r, c in zip(value, rows, count) if r > LINK_ROWS and c > 3]
+    dealt = nodes.mapInArrow(_dealt(layout), "bucket long, node long, sketch binary")
+    if large:  # at most SEEN / 4 of each partition
+        split = nodes.sparkSession.createDataFrame(large, "bucket long, blocks int")
+        dealt = dealt.join(F.broadcast(split), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        home = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = home.select("bucket", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "node", "sketch")
+    else:
+        dealt = dealt.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "sketch")
+    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked(distance), "a long, b long")
+    return written(met.distinct(), "similar-links")
+
+
+def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns as they are, that stay: of each group the one of the smallest doc_id.
+
+    Texts are linked when their sketches speak for a Jaccard similarity of their shingle sets of `similarity` or more; groups are
+    what links connect. Sets of equal hashes are alike; texts without words are alike, and null counts as one. A null doc_id ranks
+    below all others. Of rows that share the smallest doc_id of a group, one of the smallest text hash stays; rows that repeat
+    whole are one document; an empty table stays empty.
+    """
+    rows = written(sketches(docs, width), "sketches")
+    nodes = written(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("lead")), "distinct-sketches")
+    parts = components(similar_links(nodes.select("node", "sketch"), similarity))
+    leads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("lead").alias("lead"))
+    return keep_leads(docs, written(leads.select("lead.doc_id", "lead.text_hash"), "leaders"))
+
+
+def keep_leads(docs: DataFrame, leads: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns as they are, whose (doc_id, text_hash) is in `leads`; rows that repeat whole once."""
+    whole = boxed(docs).withColumn("text_hash", text_hash("row.text")).alias("w")
+    same = (F.col("w.text_hash") == F.col("l.text_hash")) & F.col("w.row.doc_id").cast("long").eqNullSafe(F.col("l.doc_id"))
+    kept = whole.join(leads.alias("l"), same).select("w.row", "l.text_hash", "l.doc_id")
+    if kept.groupBy("text_hash", "doc_id").count().filter("count > 1").isEmpty():
+        return unboxed(kept)
+    return unboxed(kept.dropDuplicates(["text_hash", "doc_id"]))
 
 
 def keep_one(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay: of each group the one of the smallest doc_id.
+    """The rows of `docs`, with all their columns as they are, that stay: of each group the one of the smallest doc_id.
 
-    Groups go by fingerprints alone, with no check of shingles: near_copies does that. Of rows that share the smallest doc_id, one of
-    the smallest text hash stays; rows that repeat whole are one document.
+    Groups go by fingerprints alone. A null doc_id ranks below all others. Of rows that share the smallest doc_id, one of the
+    smallest text hash stays; rows that repeat whole are one document.
     """
     rows, groups = near_groups(docs, width, distance)
     leads = join_groups(rows, groups, "fp", "copies").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"))
-    lead = written(leads.select(F.col("lead.doc_id").alias("_id"), F.col("lead.text_hash").alias("_text")), "leaders")
-    kept = docs.withColumns({"_id": _row_id(), "_text": _text_hash()}).join(lead, ["_id", "_text"])
-    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_id", "_text"])
-    return kept.select(*docs.columns)
+    return keep_leads(docs, written(leads.select("lead.doc_id", "lead.text_hash"), "leaders"))

@@ -2,10 +2,13 @@
 
 Only suffixes through `length` bytes matter, and groups of equal ones are the repeated windows. Sorting starts not at every
 byte but at anchors: the anchor of a window is the leftmost smallest hash among its KMER-byte pieces, so equal windows have
-equal anchors at equal offsets, and consecutive windows share one. First digit: the anchor's piece. Suffixes alone
-under it are dropped. Second digit: the whole span of the windows that share the anchor; what equals an earlier span is
-removed whole. What is left, spans that share an anchor but differ, is sorted byte digit by byte digit, window by window,
-singletons dropped after every pass.
+equal anchors at equal offsets, and consecutive windows share one: a span of them is shuffled as one row.
+
+First pass: the hash of the anchor's piece is the digit. Windows alone under it cannot repeat and are dropped; a hash decides
+nothing else. Spans left are sorted with their bytes, by anchor and then eight bytes at a time, window by window,
+singletons dropped after every pass. Two steps keep popular passages from meeting in one task, and both go by bytes too: a task
+drops a span if it has seen the same bytes earlier in order, and under an anchor of very many spans every task sorts its own
+windows first and sends on only the first of each group, dealt by the window's own bytes to a last sort.
 """
 
 from __future__ import annotations
@@ -24,16 +27,16 @@ from .common import written
 KMER = 32
 #: Bytes that are hashed at a time; longer texts are taken in overlapping pieces.
 SLAB = 1 << 19
-#: Spans under one anchor that a task sorts by itself; more are grouped window by window over all tasks.
-HOT_SPANS = 50_000
+#: Spans under one anchor that a task sorts at once; under more, windows are sorted where they are and their groups' firsts again.
+HOT_SPANS = 1_500
 #: Windows in one in-memory sort.
 SORT_ROWS = 1 << 20
 #: Texts from which hot anchors are told, and the share of all spans that makes one hot: at most 1 / HOT_SHARE are. Being
 #: hot changes where an anchor's spans are dealt, not what is removed.
 HOT_TEXTS = 4_000
 HOT_SHARE = 0.0005
-#: Repeated spans that a task remembers.
-KNOWN_SPANS = 200_000
+#: Repeated spans, with their bytes, that a task remembers.
+KNOWN_SPANS = 100_000
 
 _rng = np.random.default_rng(20_240_229)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,12 +127,12 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield who, where, b"".join(held)
 
 
-def _known_earlier(known: dict, same: np.ndarray, doc: np.ndarray, rep: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """True where an equal span (rows of `same`) surely starts earlier: in these rows, or in what the task has seen before.
+def _known_earlier(known: dict, data: bytes, key: np.ndarray, p0: np.ndarray, size: np.ndarray, doc: np.ndarray, rep: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True where a span with the same bytes starts earlier: among these rows, or in what the task has seen before.
 
-    `known` holds the earliest place of spans that repeat; it only saves shuffled rows, so it may forget.
+    Row i is data[p0[i] : p0[i] + size[i]]; `key` only finds what is compared. `known` holds the earliest place and the bytes of
+    spans that repeat; it saves shuffled rows, so it may forget.
     """
-    key = _mix(same[:, 0] * np.uint64(0xA24BAED4963EE407) + same[:, 1] * np.uint64(0x9FB21C651E98DF25) + same[:, 2])
     order = np.argsort(key, kind="stable")
     twin = key[order][1:] == key[order][:-1]
     many = order[np.r_[False, twin] | np.r_[twin, False]] if len(order) else order
@@ -138,20 +141,31 @@ def _known_earlier(known: dict, same: np.ndarray, doc: np.ndarray, rep: np.ndarr
         return sure
     many = many[np.lexsort((start[many], rep[many], doc[many], key[many]))]
     first = np.r_[True, key[many][1:] != key[many][:-1]]
-    lead = many[first][np.cumsum(first) - 1]
-    sure[many] = ~first & (same[many] == same[lead]).all(axis=1)
     if len(known) > KNOWN_SPANS:
         known.clear()
-    for i in many[first].tolist():
-        span, place = same[i].tobytes(), (doc[i], rep[i], start[i])
-        had = known.setdefault(span, place)
-        if had < place:
+    ends, least = p0 + size, b""
+    for i, leads, k, a, z in zip(many.tolist(), first.tolist(), key[many].tolist(), p0[many].tolist(), ends[many].tolist()):
+        own = data[a:z]
+        if leads:
+            least, place = own, (doc[i], rep[i], start[i])
+            had = known.setdefault(k, (place, own))
+            if had[1] == own:
+                if had[0] < place:
+                    sure[i] = True
+                else:
+                    known[k] = place, own
+        elif own == least:
             sure[i] = True
-        else:
-            known[span] = place
     return sure
 
 
+def _stretches(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ascending (who, lo) joined where they touch or overlap; `hi` ascends with `lo`."""
+    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (lo[1:] > hi[:-1])]) if len(who) else np.zeros(0, np.int64)
+    last = np.r_[new[1:] - 1, len(who) - 1][: len(new)]
+    return who[new], lo[new], hi[last]
+
+
 def _spans(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
@@ -164,15 +178,23 @@ def _spans(length: int):
                 starts = ends - sizes
                 piece, p0, p1, q, kmer, span = anchors(np.frombuffer(data, np.uint8), np.arange(len(who)), starts, ends, length)
                 doc = np.array([i for i, _ in who])[piece]
-                shift = np.array(where)[piece] - starts[piece]
-                before, windows, start = q - p0, p1 - p0 + 1, (p0 + shift).astype(np.int32)
-                sure = _known_earlier(known, np.column_stack([kmer, span, (before * 65_536 + windows).astype(np.uint64)]), ids[doc], reps[doc], start)
-                yield pd.DataFrame({"kmer": kmer.view(np.int64), "span": span.view(np.int64), "before": before.astype(np.int16), "windows": windows.astype(np.int16), "doc_id": ids[doc], "rep": reps[doc], "start": start, "sure": sure})
+                start = p0 + (np.array(where)[piece] - starts[piece])
+                size = p1 - p0 + length
+                key = _mix(kmer * np.uint64(0xA24BAED4963EE407) + span * np.uint64(0x9FB21C651E98DF25) + (q - p0).astype(np.uint64))
+                sure = _known_earlier(known, data, key, p0, size, ids[doc], reps[doc], start)
+                gone, lo, hi = _stretches(doc[sure], start[sure], (start + size)[sure])
+                rest = ~sure
+                who_, at = np.r_[gone, doc[rest]], np.r_[lo, start[rest]]
+                yield pd.DataFrame({
+                    "kmer": pd.Series(np.r_[np.zeros(len(gone), np.int64), kmer[rest].view(np.int64)]), "sure": np.r_[np.ones(len(gone), bool), np.zeros(int(rest.sum()), bool)],
+                    "doc_id": ids[who_], "rep": reps[who_], "start": at.astype(np.int32), "bytes": np.r_[hi - lo, size[rest]].astype(np.int32),
+                })
 
     return run
 
 
-SPANS = "kmer long, span long, before short, windows short, doc_id long, rep long, start int, sure boolean"
+#: `bytes` of a sure row are removed; those of the others are the span that is left to sort.
+SPANS = "kmer long, sure boolean, doc_id long, rep long, start int, bytes int"
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -186,17 +208,14 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, rep long, z binary")
 
 
-def _with_bytes(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for pdf in batches:
-            out: list[tuple] = []
-            for doc, rep, z, spans in zip(pdf["doc_id"], pdf["rep"], pdf["z"], pdf["spans"]):
-                text = unpack(z)
-                out += [(s["kmer"], doc, rep, s["start"], text[s["start"] : s["start"] + s["windows"] + length - 1]) for s in spans]
-            yield pd.DataFrame(out, columns=["kmer", "doc_id", "rep", "start", "bytes"])
-
-    return run
+def _with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for pdf in batches:
+        out: list[tuple] = []
+        for doc, rep, z, spans in zip(pdf["doc_id"], pdf["rep"], pdf["z"], pdf["spans"]):
+            text = unpack(z)
+            out += [(s["kmer"], doc, rep, s["start"], text[s["start"] : s["start"] + s["bytes"]]) for s in spans]
+        yield pd.DataFrame(out, columns=["kmer", "doc_id", "rep", "start", "bytes"])
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,8 +241,8 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length
     return index, number
 
 
-def _repeated(spans: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Removed stretches (doc_id, rep, lo, hi) of whole anchor groups of differing spans."""
+def _sorted_windows(spans: pd.DataFrame, length: int):
+    """(windows as (span row, start in its text, place in `data`), data, group of each repeated one, is it its group's first)."""
     data = np.frombuffer(b"".join(spans["bytes"]), np.uint8)
     sizes = np.fromiter(map(len, spans["bytes"]), np.int64, len(spans))
     base, windows = np.cumsum(sizes) - sizes, sizes - length + 1
@@ -232,16 +251,24 @@ def _repeated(spans: pd.DataFrame, length: int) -> pd.DataFrame:
     group = np.unique(spans["kmer"].to_numpy(), return_inverse=True)[1][row]
     index, number = radix_groups(data, base[row] + offset, group, length)
     doc, rep, start = (spans[c].to_numpy() for c in ("doc_id", "rep", "start"))
-    at = start[row[index]] + offset[index]
-    order = np.lexsort((at, rep[row[index]], doc[row[index]], number))
-    later = order[np.r_[False, number[order][1:] == number[order][:-1]]] if len(order) else order
-    hit = np.sort(index[later])  # by span, then by start
-    if not len(hit):
-        return pd.DataFrame({"doc_id": [], "rep": [], "lo": [], "hi": []}).astype("int64")
-    new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (row[hit][1:] != row[hit][:-1])])
-    last = np.r_[new[1:] - 1, len(hit) - 1]
-    of = row[hit[new]]
-    return pd.DataFrame({"doc_id": doc[of], "rep": rep[of], "lo": start[of] + offset[hit[new]], "hi": start[of] + offset[hit[last]] + length}).astype("int64")
+    at = start[row] + offset
+    of = row[index]
+    order = np.lexsort((at[index], rep[of], doc[of], number))
+    later = np.zeros(len(row), bool)
+    if len(order):
+        later[index[order[np.r_[False, number[order][1:] == number[order][:-1]]]]] = True
+    return data, row, at, base[row] + offset, later
+
+
+def _cuts(spans: pd.DataFrame, row: np.ndarray, at: np.ndarray, later: np.ndarray, length: int) -> pd.DataFrame:
+    of, lo, hi = _stretches(row[later], at[later], at[later] + length)
+    return pd.DataFrame({"doc_id": spans["doc_id"].to_numpy()[of], "rep": spans["rep"].to_numpy()[of], "lo": lo, "hi": hi}).astype("int64")
+
+
+def _repeated(spans: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Removed stretches (doc_id, rep, lo, hi) of whole anchor groups."""
+    _, row, at, _, later = _sorted_windows(spans, length)
+    return _cuts(spans, row, at, later, length)
 
 
 def _sorted_groups(length: int):
@@ -270,44 +297,69 @@ def _sorted_groups(length: int):
 CUTS = "doc_id long, rep long, lo long, hi long"
 
 
+def _own_groups(length: int):
+    """Sorts the windows of the rows at hand: emits the removed stretches, and the first window of each group with its bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        held = 0
+
+        def solve() -> Iterator[pd.DataFrame]:
+            spans = pd.concat(rest, ignore_index=True)
+            data, row, at, place, later = _sorted_windows(spans, length)
+            yield _cuts(spans, row, at, later, length).assign(window=None)
+            lead, raw = np.flatnonzero(~later), data.tobytes()
+            for a in range(0, len(lead), 50_000):
+                k = lead[a : a + 50_000]
+                yield pd.DataFrame({"doc_id": spans["doc_id"].to_numpy()[row[k]], "rep": spans["rep"].to_numpy()[row[k]], "lo": at[k], "hi": at[k] + length, "window": [raw[p : p + length] for p in place[k].tolist()]})
+
+        for pdf in batches:
+            rest.append(pdf)
+            held += int(pdf["bytes"].map(len).sum()) - (length - 1) * len(pdf)
+            if held >= SORT_ROWS:
+                yield from solve()
+                rest, held = [], 0
+        if rest and sum(map(len, rest)):
+            yield from solve()
+
+    return run
+
+
 def _hot_windows(spans: DataFrame, length: int) -> DataFrame:
-    """The same stretches for anchors of very many spans: window by window, combined before the shuffle."""
-    each = spans.select("doc_id", "rep", "start", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("k"))
-    each = each.select("doc_id", "rep", (F.col("start") + F.col("k")).cast("long").alias("lo"), F.md5(F.substring(F.col("bytes"), F.col("k") + 1, F.lit(length))).alias("window"))
-    first = each.groupBy("window").agg(F.min(F.struct("doc_id", "rep", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return each.join(first, "window").filter(F.struct("doc_id", "rep", "lo") != F.col("first")).select("doc_id", "rep", "lo", (F.col("lo") + length).alias("hi"))
+    """The removed stretches of anchors of very many spans: sorted where the spans are, then what is left over all tasks.
+
+    A window goes on once from each sort, so the last one meets no more rows of a window than there were sorts before it.
+    """
+    own = written(spans.mapInPandas(_own_groups(length), f"{CUTS}, window binary"), "hot-windows")
+    firsts = own.filter("window is not null").select(F.xxhash64("window").alias("kmer"), "doc_id", "rep", F.col("lo").cast("int").alias("start"), F.col("window").alias("bytes"))
+    last = firsts.repartition("kmer").sortWithinPartitions("kmer").mapInPandas(_sorted_groups(length), CUTS)
+    return own.filter("window is null").drop("window").unionByName(last)
 
 
 def _hot_anchors(texts: DataFrame, length: int) -> DataFrame:
     """(kmer, hot) of the anchors that hold more than HOT_SHARE of the spans of about HOT_TEXTS texts."""
     step = max(1, texts.count() // HOT_TEXTS)
     some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = written(some.mapInPandas(_spans(length), SPANS).groupBy("kmer").count(), "anchor-counts")
+    counts = written(some.mapInPandas(_spans(length), SPANS).filter("not sure").groupBy("kmer").count(), "anchor-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     return counts.filter(F.col("count") > max(4, int(total * HOT_SHARE))).select("kmer", F.lit(True).alias("hot"))
 
 
 def removed_stretches(texts: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, rep, lo, hi): byte stretches, not yet merged, that cover every byte to remove from (doc_id, rep, text)."""
-    same = ["kmer", "span", "before", "windows"]
     spans = texts.mapInPandas(_spans(length), SPANS).join(F.broadcast(_hot_anchors(texts, length)), "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    # Rows that need no others are dealt anywhere, those of a hot anchor by their span, all others by their anchor.
-    dealt = spans.withColumn("deal", F.when(F.col("sure"), F.xxhash64("doc_id", "rep", "start")).when(F.col("hot"), F.xxhash64("kmer", "span")).otherwise(F.col("kmer")))
-    ranked = (
-        dealt.repartition("deal")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("deal", "sure", *same).orderBy("doc_id", "rep", "start")))
-        .withColumn("spans", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("deal", "sure")))
-    )
-    kept = written(ranked.filter("sure or hot or nth > 1 or spans > 1").select("kmer", "doc_id", "rep", "start", "windows", (F.col("sure") | (F.col("nth") > 1)).alias("whole")), "spans")
-    whole = kept.filter("whole").select("doc_id", "rep", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("hi"))
-    per_text = kept.filter("not whole").groupBy("doc_id", "rep").agg(F.collect_list(F.struct("kmer", "start", "windows")).alias("spans"))  # bounded by the text itself
-    differing = written(_packed(texts).join(per_text, ["doc_id", "rep"]).mapInPandas(_with_bytes(length), "kmer long, doc_id long, rep long, start int, bytes binary"), "differing-spans")
-    hot = differing.groupBy("kmer").count().filter(F.col("count") > HOT_SPANS).select("kmer")
-    cold = differing
-    parts = [whole]
+    # Rows that need no others, and those of anchors known to be shared, are dealt anywhere, all others by their anchor.
+    dealt = spans.withColumn("deal", F.when(F.col("sure") | F.col("hot"), F.xxhash64("doc_id", "rep", "start", "sure")).otherwise(F.col("kmer")))
+    shared = dealt.repartition("deal").withColumn("n", F.count("*").over(Window.partitionBy("deal"))).filter("sure or hot or n > 1")
+    kept = written(shared.select("kmer", "sure", "doc_id", "rep", "start", "bytes"), "spans")
+    seen = kept.filter("sure").select("doc_id", "rep", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("bytes")).cast("long").alias("hi"))
+    per_text = kept.filter("not sure").groupBy("doc_id", "rep").agg(F.collect_list(F.struct("kmer", "start", "bytes")).alias("spans"))  # bounded by the text itself
+    sortable = written(_packed(texts).join(per_text, ["doc_id", "rep"]).mapInPandas(_with_bytes, "kmer long, doc_id long, rep long, start int, bytes binary"), "span-bytes")
+    hot = written(sortable.groupBy("kmer").count().filter(F.col("count") > HOT_SPANS).select("kmer"), "hot-anchors")
+    cold, parts = sortable, [seen]
     if not hot.isEmpty():
-        parts.append(_hot_windows(differing.join(hot, "kmer", "left_semi"), length))
-        cold = differing.join(hot, "kmer", "left_anti")
+        parts.append(_hot_windows(sortable.join(hot, "kmer", "left_semi"), length))
+        cold = sortable.join(hot, "kmer", "left_anti")
     parts.append(cold.repartition("kmer").sortWithinPartitions("kmer").mapInPandas(_sorted_groups(length), CUTS))
     out = parts[0]
     for part in parts[1:]:

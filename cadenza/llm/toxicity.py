@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -345,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     toxic, whole = known.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
-    picked = hash_sample(known.filter("toxic = 1"), "doc_id", SAMPLE_TOXIC).unionByName(hash_sample(known.filter("toxic = 0"), "doc_id", SAMPLE_CLEAN))
+    picked = hash_sample(known.filter("toxic = 1"), ["doc_id"], SAMPLE_TOXIC).withColumn("toxic", F.lit(1)).unionByName(hash_sample(known.filter("toxic = 0"), ["doc_id"], SAMPLE_CLEAN).withColumn("toxic", F.lit(0)))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()  # bounded by the sample sizes
     return train([r.text for r in rows], [int(r.toxic) for r in rows], toxic / whole if whole else 0.5)
 
@@ -356,24 +356,25 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Null and empty texts, and texts without a letter, have no window and score 0. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for pdf in batches:
+        for batch in batches:
             logits, part, size = [], [], 0
-            for t in pdf["text"]:
+            for t in batch.column("text").to_pylist():
                 part.append(words_of(t))
                 size += len(part[-1])
                 if size >= KNOWN_WORDS // 2:
                     logits += [(x.max(initial=-np.inf), len(x)) for x in scorer.logits(part)]
                     part, size = [], 0
             logits += [(x.max(initial=-np.inf), len(x)) for x in scorer.logits(part)]
-            worst = np.array([x for x, _ in logits])
+            worst = np.array([x for x, _ in logits], np.float64)
             some = np.isfinite(worst)
             value = np.where(some, 1 / (1 + np.exp(-np.clip(model.slope * np.where(some, worst, 0) + model.offset, -30, 30))), 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": value, "predicted": (value >= threshold).astype(np.int32), "n_windows": np.array([n for _, n in logits], np.int64)})
+            done = [batch.column("doc_id"), batch.column("held_out"), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array([n for _, n in logits], pa.int64())]
+            yield pa.RecordBatch.from_arrays(done, ["doc_id", "held_out", "score", "predicted", "n_windows"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return kept.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
+    return kept.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -188,18 +188,26 @@ def plain_top(vectors, k=10):
     return sorted(out)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(kd_search, "SHARD_ROWS", 40)
-    monkeypatch.setattr(kd_search, "LEAF_ROWS", 4)
+@pytest.mark.parametrize("boxes", [1 << 23, 0])
+@pytest.mark.parametrize("scale", [8, 0.125, 2.0**-17])
+def test_top_k(spark, monkeypatch, boxes, scale):
+    """Small, large and very large numbers, ties, a vector that a third of the rows share, with and without pruned shards."""
+    monkeypatch.setattr(kd_search, "SHARD_ROWS", 20)
     monkeypatch.setattr(kd_search, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(kd_search, "RUN_SHARDS", 3)
+    monkeypatch.setattr(kd_search, "BOX_NUMBERS", boxes)
     rng = np.random.default_rng(3)
-    vectors = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 8]) for i in range(500)]
+    vectors = [(i, [float(x) for x in rng.integers(-3, 4, 5) / scale]) for i in range(300)] + [(i, [1.0 / scale] * 5) for i in range(300, 450)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("shard", F.lit(1))
     got = kd_search.top_k(kd_search.scaled(df), kd_search.scaled(df).filter("vec_id % 100 = 0"))
     assert sorted(rows_of(got)) == plain_top([(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors])
 
 
+def test_exact_kinds():
+    assert [kd_search.exact_kind(64, 2**a, 2**b) for a, b in ((10, 10), (23, 22), (30, 20), (20, 30), (40, 40))] == ["float64", "float64", "int64", "int64", "object"]
+    q = np.array([[2**40, -(2**41)]]).astype("object")
+    assert kd_search.box_bounds(q, np.array([[0, -(2**40)]]).astype("object"), np.array([[2**40, 2**40]]).astype("object"))[0, 0] == 2**80 + 2**81
+
+
 def test_top_k_edges(spark):
     odd = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (100, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [1.0, 1.0])]
     df = kd_search.scaled(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
@@ -234,6 +242,24 @@ def test_bpe_random_unicode():
         assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_long_words():
+    """A long run of letters is merged in blocks as a short one is at once."""
+    mine = bpe.WordBpe(queries.VOCABULARY)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (300, 1_000, 2_500)] + ["a" * 700, "ab" * 600, "the" * 300]
+    for word in words:
+        symbols = [mine.symbols[b] for b in word.encode()]
+        symbols[-1] += mine.END
+        parts = symbols
+        while True:
+            ranks = [mine.ranks.get(p, bpe.NO_RANK) for p in zip(parts, parts[1:])]
+            if not ranks or min(ranks) == bpe.NO_RANK:
+                break
+            i = ranks.index(min(ranks))
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+        assert mine.merge(word) == [mine.vocab[p] for p in parts]
+
+
 # suffix-array dedup
 
 
@@ -252,7 +278,7 @@ def plain_substrings(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("slab", "hot", "sort"), [(1 << 19, 50_000, 1 << 20), (700, 1, 50), (300, 50_000, 1)])
+@pytest.mark.parametrize(("slab", "hot", "sort"), [(1 << 19, 1_500, 1 << 20), (700, 1, 50), (300, 50_000, 1), (1 << 19, 3, 400)])
 def test_substring_dedup(spark, docs, monkeypatch, slab, hot, sort):
     for k, v in (("SLAB", slab), ("HOT_SPANS", hot), ("SORT_ROWS", sort)):
         monkeypatch.setattr(substring_dedup, k, v)
@@ -261,6 +287,37 @@ def test_substring_dedup(spark, docs, monkeypatch, slab, hot, sort):
     assert sorted(rows_of(substring_dedup.substring_dedup(both).drop("removed").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))) == want
 
 
+@pytest.mark.parametrize("bits", [0, 2, 40])
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_substring_hashes_only_find_candidates(monkeypatch, bits, known):
+    """With hashes of few bits nearly everything collides; bytes decide, so results stay the same."""
+    import pandas as pd
+
+    def weak(x):
+        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) if bits else x * np.uint64(0)
+
+    monkeypatch.setattr(substring_dedup, "_mix", weak)
+    monkeypatch.setattr(substring_dedup, "SLAB", 900)
+    monkeypatch.setattr(substring_dedup, "KNOWN_SPANS", known)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab"), n)) for n in rng.integers(0, 400, 30)]
+    texts += [texts[3] + texts[5], texts[7][10:], "ab" * 150, "ab" * 90, texts[5], PASSAGE * 3]
+    rows, length = list(enumerate(texts)), 40
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "rep": 0, "text": texts})
+    spans = pd.concat(list(substring_dedup._spans(length)(iter([docs.iloc[:9], docs.iloc[20:], docs.iloc[9:20]]))), ignore_index=True)
+    gone = [(r.doc_id, r.start, r.start + r.bytes) for r in spans.itertuples() if r.sure]
+    left = spans[~spans["sure"]]
+    left = left[left.groupby("kmer")["kmer"].transform("size") > 1].sort_values("kmer")
+    left = left.assign(bytes=[texts[i].encode()[a : a + n] for i, a, n in zip(left["doc_id"], left["start"], left["bytes"])])
+    for cut in substring_dedup._sorted_groups(length)(iter([left.iloc[:50], left.iloc[50:]])):
+        gone += cut[["doc_id", "lo", "hi"]].itertuples(index=False, name=None)
+    hot = [g for g in substring_dedup._own_groups(length)(iter([left.iloc[:70], left.iloc[70:]]))]
+    assert sum(g["window"].isna().sum() for g in hot) > 0
+    for i, n, removed, spans_, _ in plain_substrings(rows, length):
+        runs = substring_dedup.merged([(a, z) for d, a, z in gone if d == i])
+        assert (sum(z - a for a, z in runs), len(runs)) == (removed, spans_)
+
+
 def test_substring_dedup_edges(spark):
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
     twice = [(1, PASSAGE, None, None, 0), (1, PASSAGE, None, None, 0), (None, PASSAGE[:110], None, None, 0)]
