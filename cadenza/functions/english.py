@@ -1,20 +1,22 @@
 """English text for comparison: fillers and brackets out, contractions spelled out, spelled numbers as digits.
 
 The rewrites are an ordered fold of `regexp_replace`; only the numbers, whose digits depend on the words around them, are
-read word by word in an Arrow function.
+read in an Arrow function: words become typed tokens, runs of which a `Numeral` takes up one by one.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from fractions import Fraction
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import without_diacritics_but
+from .text import BRACKETS, without_diacritics_but
 
 # Sounds that are left out; what follows an apostrophe or stands for a longer word, in order.
 FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
@@ -56,137 +58,191 @@ def _lexicon() -> dict[str, tuple[str, int, str]]:
 
 
 LEXICON = _lexicon()
-LINKS = {"and", "double", "triple", "point"}
-NUMERIC_WORDS = {*LEXICON, *SIGNS, *MONEY, "per", "percent", *LINKS}
+# How written numbers stand beside letters, endings and money, and what is said for a half.
 DIGITS = re.compile(r"\d+(\.\d+)?\Z")
 HALF = re.compile(r"\band\s+a\s+half\b")
+APART = [(re.compile(r"([a-z])([0-9])"), r"\1 \2"), (re.compile(r"([0-9])([a-z])"), r"\1 \2"), (re.compile(r"([0-9])\s+(st|nd|rd|th|s)\b"), r"\1\2")]
+WHOLE_AND_CENTS = re.compile(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b")
+ONLY_CENTS = re.compile(r"[€£$]0.([0-9]{1,2})\b")
+ALONE = re.compile(r"\b1(s?)\b")
+MARKS = "-+£€$¢"
 
 
-def _kind(word: str | None, *kinds: str) -> bool:
-    """Whether a plain number word (no ending) is of one of the kinds."""
-    kind, _, ending = LEXICON.get(word, ("", 0, "")) if word else ("", 0, "")
-    return kind in kinds and not ending
+class Token(NamedTuple):
+    """A word and what it is in a number: `kind` is zero, unit, ten, scale, digits, point, repeat, sign, money, percent, link or word."""
 
+    kind: str
+    word: str
+    amount: int = 0
+    ending: str = ""
 
-def _times(digits: int | str, scale: int) -> int | None:
-    """A written number times a scale where that is whole."""
-    try:
-        product = Fraction(digits) * scale
-    except ValueError:
-        return None
-    return product.numerator if product.denominator == 1 else None
 
+#: Kinds that carry a number on, and those that may follow a sign, a link, `point` or `double`.
+BODY = {"zero", "unit", "ten", "scale", "digits", "point", "repeat"}
+NUMERIC = {"zero", "unit", "ten", "scale", "digits", "sign", "money", "percent", "and", "double", "triple", "point", "per"}
 
-def _grown(so_far: int | str | None, before: str | None, kind: str, amount: int) -> int | str:
-    """The number so far with a unit or tens word added, or its digits set beside it: twenty one 21, nineteen twenty 1920."""
-    if so_far is None:
-        return amount
-    small = kind == "unit" and amount < 10
-    if kind == "unit" and (isinstance(so_far, str) or _kind(before, "unit")):
-        return f"{so_far}"[:-1] + f"{amount}" if small and _kind(before, "ten") else f"{so_far}{amount}"
-    room = 10 if small else 100
-    return f"{so_far}{amount}" if isinstance(so_far, str) or so_far % room else so_far + amount
+
+def _kind_of(word: str) -> Token:
+    """A word on its own."""
+    if word in LEXICON:
+        kind, amount, ending = LEXICON[word]
+        return Token(kind, word, amount, ending)
+    if DIGITS.match(word[1:] if word[0] in MARKS else word):
+        return Token("digits", word)
+    if word in SIGNS or word in MONEY:
+        return Token("sign" if word in SIGNS else "money", word)
+    return Token(word if word in ("and", "double", "triple", "point", "percent", "per") else "word", word)
+
+
+def typed(words: list[str]) -> list[Token]:
+    """The tokens of a text: words whose part depends on their neighbours are settled here, once."""
+    raw, out, skip = [_kind_of(w) for w in words], [], False
+    for i, t in enumerate(raw):
+        if skip:
+            skip = False
+            continue
+        ahead = raw[i + 1] if i + 1 < len(raw) else Token("end", "")
+        numeric = ahead.kind in NUMERIC and not (ahead.kind == "digits" and ahead.word[0] in MARKS)
+        plain = ahead.kind if not ahead.ending else ""
+        if t.kind == "sign" and not numeric:
+            t = t._replace(kind="word")
+        elif t.kind == "per":
+            skip = ahead.word == "cent"
+            t = Token("percent", "per cent") if skip else t._replace(kind="word")
+        elif t.kind == "and":
+            joins = numeric and i > 0 and raw[i - 1].kind == "scale" and not raw[i - 1].ending
+            t = t._replace(kind="link" if joins else "word")
+        elif t.kind == "point" and numeric:
+            t = t if plain in ("zero", "unit", "ten", "digits") else t._replace(kind="link")
+        elif t.kind in ("double", "triple") and numeric and plain in ("zero", "unit"):
+            t, skip = Token("repeat", f"{ahead.amount}" * (2 if t.kind == "double" else 3)), True
+        elif t.kind in ("point", "double", "triple"):
+            t = t._replace(kind="word")
+        out.append(t)
+    return out
+
+
+@dataclass
+class Numeral:
+    """A number as it is said: its digits so far, `set` once they stand side by side and are no longer a sum."""
+
+    digits: str = ""
+    set: bool = False
+    last: str = ""
+
+    @property
+    def open(self) -> bool:
+        """Whether decimal places, or the next part of an address, may follow."""
+        return self.digits.endswith(".")
+
+    def _beside(self, digits: str) -> None:
+        self.digits, self.set = self.digits + digits, True
+
+    def add(self, t: Token) -> None:
+        """One more token: it fills the zeros at the end of a sum (twenty, one hundred), else it stands beside what was said."""
+        if self.digits == "0" and not self.set and t.kind not in ("scale", "digits", "link"):
+            self.digits = ""  # a written 0 is filled like any zero
+        if t.kind == "scale":
+            self._scale(t.amount)
+        elif t.kind in ("unit", "ten"):
+            width = 1 if t.amount < 10 else 2
+            after_ten = width == 1 and self.last == "ten"
+            room = self.digits.endswith("0" * width) and not self.set and not (t.kind == "unit" and self.last == "unit")
+            if not self.digits:
+                self.digits = str(t.amount)
+            elif after_ten or room:
+                self.digits = self.digits[:-width] + str(t.amount).zfill(width)
+            else:
+                self._beside(str(t.amount))
+        elif t.kind == "digits" and not self.digits:
+            number = Fraction(t.word)
+            self.digits, self.set = (str(number.numerator), False) if number.denominator == 1 else (t.word, True)
+        elif t.kind != "link":
+            self._beside({"zero": "0", "point": "."}.get(t.kind, t.word))
+        self.last = "" if t.ending else t.kind
+
+    def _scale(self, amount: int) -> None:
+        if not self.digits:
+            self.digits = str(amount)
+        elif self.set:
+            self.digits, self.set = str(self._scaled(amount)), False
+        else:
+            thousands, rest = divmod(int(self.digits), 1000)
+            self.digits = str(thousands * 1000 + rest * amount)
+
+    def _scaled(self, amount: int) -> int | None:
+        """What stands side by side, times a scale; null where that is no whole number."""
+        try:
+            product = Fraction(self.digits) * amount
+        except ValueError:  # several points
+            return None
+        return product.numerator if product.denominator == 1 else None
+
+    def takes(self, t: Token) -> bool:
+        """Whether the token carries this number on; if not it starts the next one."""
+        if t.kind == "digits":
+            return not self.digits or self.open
+        if t.kind == "scale" and self.set:
+            return self._scaled(t.amount) is not None
+        return True
 
 
 def read_numbers(words: list[str]) -> list[str]:
     """The words with spelled-out numbers as digits, signs and currency before them, endings and percent after."""
     out: list[str] = []
-    number: int | str | None = None
-    sign = ""
-
-    def put(written: int | str) -> None:
-        nonlocal number, sign
-        out.append(f"{sign}{written}")
-        number, sign = None, ""
-
-    def close() -> None:
-        if number is not None:
-            put(number)
-
-    at = 0
-    while at < len(words):
-        word, before, after = words[at], words[at - 1] if at else None, words[at + 1] if at + 1 < len(words) else None
-        at += 1
-        number_next = after is not None and DIGITS.match(after) is not None
-        marked = word[0] in "-+£€$¢"
-        bare = word[marked:]
-        if DIGITS.match(bare):
-            if isinstance(number, str) and number.endswith("."):  # the places of a decimal, or parts of an address
-                number += word
-                continue
-            close()
-            sign = word[0] if marked else sign
-            whole = Fraction(bare)
-            number = whole.numerator if whole.denominator == 1 else bare
-        elif word in LEXICON:
-            kind, amount, ending = LEXICON[word]
-            if kind == "zero":
-                number = f"{number or ''}0"
-                continue
-            if kind != "scale":
-                number = _grown(number, before, kind, amount)
-            elif number is None:
-                number = amount
-            elif isinstance(number, str):
-                whole = _times(number, amount)
-                if whole is None:
-                    close()
-                number = amount if whole is None else whole
-            else:
-                number = number - number % 1000 + number % 1000 * amount
-            if ending:
-                put(f"{number}{ending}")
-        elif word in SIGNS:
-            close()
-            if after in NUMERIC_WORDS or number_next:
-                sign = SIGNS[word]
-            else:
-                put(word)
-        elif word in MONEY and number is not None:
-            sign = MONEY[word]
-            close()
-        elif number is not None and (word == "percent" or (word == "per" and after == "cent")):
-            put(f"{number}%")
-            at += word == "per"
-        elif word in LINKS and (after in NUMERIC_WORDS or number_next):
-            if word == "and":
-                if not _kind(before, "scale"):
-                    close()
-                    put(word)
-            elif word == "point":
-                if number_next or _kind(after, "zero", "unit", "ten"):
-                    number = f"{number or ''}."
-            elif _kind(after, "zero", "unit"):
-                number = f"{number or ''}" + f"{LEXICON[after][1]}" * (2 if word == "double" else 3)
-                at += 1
-            else:
+    now, sign = Numeral(), ""
+
+    def close(before: str | None = None, after: str = "") -> None:
+        nonlocal now, sign
+        if now.digits:
+            out.append(f"{sign if before is None else before}{now.digits}{after}")
+            sign = ""
+        now = Numeral(last=now.last)
+
+    for t in typed(words):
+        if t.kind in BODY:
+            if not now.takes(t):
                 close()
-                put(word)
-        else:
+            if t.kind == "digits" and not now.digits and t.word[0] in MARKS:
+                sign, t = t.word[0], t._replace(word=t.word[1:])
+            now.add(t)
+            if t.ending:
+                close(after=t.ending)
+        elif t.kind == "sign":
+            close()
+            sign = SIGNS[t.word]
+        elif t.kind in ("money", "percent") and now.digits:
+            close(*((MONEY[t.word],) if t.kind == "money" else (None, "%")))
+        elif t.kind != "link":
             close()
-            put(word)
+            out += [f"{sign}{w}" if not i else w for i, w in enumerate(t.word.split())]
+            sign = ""
+        now.last = "" if t.ending else t.kind
     close()
     return out
 
 
 def _halves(text: str) -> str:
-    """`<number> and a half` as `<number> point five`; where no number precedes, the words stay."""
-    *heads, tail = HALF.split(text)
-    parts = []
-    for head in heads:
+    """`<number> and a half` as `<number> point five`; after other words it stays, and with nothing before it it goes."""
+    parts, at = [], 0
+    for m in HALF.finditer(text):
+        head = text[at : m.start()]
+        at = m.end()
         if head.strip():
-            counted = _kind(head.split()[-1], "zero", "unit", "ten", "scale")
+            last = _kind_of(head.split()[-1])
+            counted = last.kind in ("zero", "unit", "ten", "scale") and not last.ending
             parts += [head, "point five" if counted else "and a half"]
-    return " ".join(parts + [tail] * bool(tail.strip()))
+    return " ".join([*parts, text[at:]] if text[at:].strip() else parts)
 
 
 def numbers_as_digits(text: str) -> str:
-    spaced = re.sub(r"([0-9])([a-z])", r"\1 \2", re.sub(r"([a-z])([0-9])", r"\1 \2", _halves(text)))
-    joined = re.sub(r"([0-9])\s+(st|nd|rd|th|s)\b", r"\1\2", spaced)
-    read = " ".join(read_numbers(joined.split()))
-    whole = re.sub(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b", lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", read)
-    cents = re.sub(r"[€£$]0.([0-9]{1,2})\b", lambda m: f"¢{int(m[1])}", whole)
-    return re.sub(r"\b1(s?)\b", r"one\1", cents)
+    text = _halves(text)
+    for pattern, to in APART:
+        text = pattern.sub(to, text)
+    text = " ".join(read_numbers(text.split()))
+    text = WHOLE_AND_CENTS.sub(lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", text)
+    text = ONLY_CENTS.sub(lambda m: f"¢{int(m[1])}", text)
+    return ALONE.sub(r"one\1", text)
 
 
 def english_normal(c: Column, spellings: dict[str, str] | None = None) -> Column:
@@ -199,7 +255,7 @@ def english_normal(c: Column, spellings: dict[str, str] | None = None) -> Column
     def numbered(column: pd.Series) -> pd.Series:
         return column.map(lambda t: None if t is None else " ".join(table.get(w, w) for w in numbers_as_digits(t).split()))
 
-    steps = [(r"[<\[][^>\]]*[>\]]", ""), (r"\(([^)]+?)\)", ""), (FILLERS, ""), (r"\s+'", "'"), *REWRITES, (r"(\d),(\d)", "$1$2"), (r"\.([^0-9]|$)", " $1")]
+    steps = [*BRACKETS, (FILLERS, ""), (r"\s+'", "'"), *REWRITES, (r"(\d),(\d)", "$1$2"), (r"\.([^0-9]|$)", " $1")]  # fixed values, as those below
     text = F.lower(c)
     for pattern, to in steps:
         text = F.regexp_replace(text, f"(?U){pattern}", to)

@@ -81,3 +81,99 @@ def human_duration(seconds: Column) -> Column:
 def progress_bar(share: Column, width: int = 16) -> Column:
     full = F.floor(clamp(share, 0.0, 1.0) * width).cast("int")
     return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full), F.lit("] "), F.floor(share * 100).cast("string"), F.lit("%"))
+
+
+def progress_side(status: Column, name: Column, running: Column, progress: Column, duration_ms: Column, eta: Column, observed: Column) -> Column:
+    """What a report says beside a stage: its time, its bar and the remaining seconds, or what is expected of it.
+
+    Remaining seconds come from the observed rate of the running stage, else from the share of the eta that is left, else
+    from the whole eta; an asterisk marks the guesses.
+    """
+    done = F.coalesce(progress, F.lit(0.0))
+    left = F.greatest(F.lit(0), F.floor(eta * (1 - done)))
+    guess = F.when(done > 0, F.concat(F.lit("  ~"), left.cast("string"), F.lit("s left*"))).otherwise(F.concat(F.lit("  ~"), F.floor(eta).cast("string"), F.lit("s ETA*")))
+    seen = F.when(observed.isNotNull() & (name == running), F.concat(F.lit("  ~"), observed.cast("string"), F.lit("s left"))).when(eta > 0, guess)
+    bar = F.coalesce(progress_bar(progress), F.lit(""))
+    return (
+        F.when((status == "done") & duration_ms.isNotNull(), F.concat(F.floor(duration_ms / 1000).cast("string"), F.lit("s")))
+        .when(status == "running", F.concat(bar, F.coalesce(seen, F.lit(""))))
+        .when((status == "pending") & eta.isNotNull(), F.concat(F.lit("~"), F.floor(eta).cast("string"), F.lit("s ETA")))
+        .otherwise("")
+    )
+
+
+def elapsed_ms(start_s: Column, end_s: Column) -> Column:
+    return ((end_s - start_s) * 1000).cast("long")
+
+
+def clip_seconds(frames: Column, fps: Column) -> Column:
+    return frames / fps
+
+
+def unnoised(sample: Column, noise: Column, alpha: Column, clip: bool = True) -> Column:
+    """The sample before noise of share 1 - alpha, in one step; held to -1..1 where `clip` is set."""
+    origin = (sample - F.sqrt(1 - alpha) * noise) / F.sqrt(alpha)
+    return clamp(origin, -1.0, 1.0) if clip else origin
+
+
+def edge_width(area: Column) -> Column:
+    """A twentieth of a square's side, whole pixels."""
+    return F.floor(F.floor(F.sqrt(area)) / 20)
+
+
+def gaussian_sigma(kernel: Column) -> Column:
+    """The deviation that goes with an odd kernel."""
+    return 0.3 * ((kernel - 1) * 0.5 - 1) + 0.8
+
+
+def whole_ratio(a: Column, b: Column) -> Column:
+    """a / b where it has no remainder; an error where it has one."""
+    return F.when(a % b == 0, (a / b).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no whole ratio: "), a.cast("string"), F.lit(" / "), b.cast("string"))).cast("long"))
+
+
+def unit_range(x: Column, low: float, high: float) -> Column:
+    """[low, high] to [0, 1]."""
+    return clamp((x - low) / (high - low), 0.0, 1.0)
+
+
+def byte_range(x: Column) -> Column:
+    """[0, 1] to whole numbers of 0..255."""
+    return F.round(clamp(x, 0.0, 1.0) * 255).cast("int")
+
+
+def frame_count(length: Column, size: int, shift: int) -> Column:
+    """Frames of `size` samples, `shift` apart, over a signal padded by size - shift on both sides."""
+    over = F.floor((length + 2 * (size - shift) - size) / shift)
+    return (over + F.when(length % shift == 0, 1).otherwise(2)).cast("long")
+
+
+def frame_padding(length: Column, size: int, shift: int) -> Column:
+    """struct(left, right): what is added so that frame_count frames fit exactly."""
+    pad = size - shift
+    rest = (frame_count(length, size, shift) - 1) * shift + size - (length + 2 * pad)
+    return F.struct(F.lit(pad).cast("long").alias("left"), (rest + pad).cast("long").alias("right"))
+
+
+def last_padding(length: Column, shift: int) -> Column:
+    """What fills a signal up to the next whole number of shifts."""
+    return ((F.floor(length / shift) + 1) * shift - length).cast("long")
+
+
+def sinusoids(position: Column, channels: int, halves: bool, longest: float = 10_000.0) -> Column:
+    """A position's table row: sines then cosines, or sine and cosine in turn."""
+    half = channels // 2
+    rate = lambda i: F.exp(-F.log(F.lit(longest)) / (half - 1) * i) if halves else F.exp(2 * i * (-F.log(F.lit(longest)) / channels))
+    at = F.sequence(F.lit(0), F.lit(half - 1))
+    if halves:
+        return F.concat(F.transform(at, lambda i: F.sin(position * rate(i))), F.transform(at, lambda i: F.cos(position * rate(i))))
+    return F.flatten(F.transform(at, lambda i: F.array(F.sin(position * rate(i)), F.cos(position * rate(i)))))
+
+
+def shape_error(height: Column, width: Column, steps: Column) -> Column:
+    """Why a picture size cannot be worked on, null if it can."""
+    return F.when(height != width, "not square").when((height % 8 != 0) | (width % 8 != 0), "not divisible by 8").when(steps.isNull() | (steps <= 0), "steps not positive")
+
+
+def device_index(device: Column) -> Column:
+    """The number of a device name such as cuda:1, 0 for cuda, -1 for cpu; null for others."""
+    return F.when(device == "cpu", -1).when(device == "cuda", 0).when(device.rlike("^cuda:[0-9]+$"), F.regexp_extract(device, "[0-9]+$", 0).cast("int"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -16,6 +19,8 @@ PLAIN_LETTERS = {
     "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "ẞ": "SS",
     "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "th", "ł": "l", "Ł": "L",
 }
+# Asides that are left out.
+BRACKETS = [(r"[<\[][^>\]]*[>\]]", ""), (r"\(([^)]+?)\)", "")]
 
 
 def strip(c: Column) -> Column:
@@ -87,13 +92,13 @@ def plain_text(column: pd.Series) -> pd.Series:
 
 
 def without_diacritics_but(kept: str = ""):
-    """Decomposed, non-spacing marks dropped, other marks, symbols and punctuation but `kept` as spaces, special letters spelled out."""
+    """Decomposed, then special letters spelled out, non-spacing marks dropped, and other marks, symbols and punctuation but `kept` as spaces."""
 
     @F.pandas_udf(StringType())
     def run(column: pd.Series) -> pd.Series:
         table = str.maketrans(PLAIN_LETTERS)
         gone, odd = regex.compile(r"\p{Mn}"), regex.compile((f"(?![{regex.escape(kept)}])" if kept else "") + r"[\p{M}\p{S}\p{P}]")
-        return column.map(lambda t: None if t is None else odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t.translate(table)))))
+        return column.map(lambda t: None if t is None else odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t).translate(table))))
 
     return run
 
@@ -102,13 +107,108 @@ def without_diacritics(c: Column) -> Column:
     return without_diacritics_but()(c)
 
 
-def basic_normal(c: Column, diacritics: bool = True) -> Column:
-    """Lower case without bracketed parts, symbols and runs of white space."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[<\[][^>\]]*[>\]]", ""), r"\(([^)]+?)\)", "")
-    return F.regexp_replace((plain_text if diacritics else without_diacritics)(bare), r"\s+", " ")
+@F.pandas_udf(StringType())
+def spaced_letters(column: pd.Series) -> pd.Series:
+    """A space between the letters as they are seen: a base with its marks is one."""
+    letter = regex.compile(r"\X")
+    return column.map(lambda t: None if t is None else " ".join(letter.findall(t)))
+
+
+def basic_normal(c: Column, diacritics: bool = True, letters: bool = False) -> Column:
+    """Lower case without bracketed parts, symbols and runs of white space; `letters` sets all letters apart."""
+    bare = F.lower(c)
+    for pattern, to in BRACKETS:
+        bare = F.regexp_replace(bare, pattern, to)
+    plain = F.lower((plain_text if diacritics else without_diacritics)(bare))  # compatibility forms bring capitals back
+    return F.regexp_replace(spaced_letters(plain) if letters else plain, r"(?U)\s+", " ")
 
 
 @F.pandas_udf(DoubleType())
 def compression_ratio(column: pd.Series) -> pd.Series:
     """Characters of a text for each byte of it compressed."""
     return column.map(lambda t: None if t is None else len(t) / len(zlib.compress(t.encode())))
+
+
+def utc_iso(micros: Column) -> Column:
+    """A time in microseconds as ISO text in UTC."""
+    whole = F.date_format(F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.pmod(micros, F.lit(1_000_000))
+    return F.concat(whole, F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(F.lit("")), F.lit("+00:00"))
+
+
+def short_id(job: Column) -> Column:
+    return F.substring(job, 1, 8)
+
+
+def artifact_url(base: str, job: Column, name: Column) -> Column:
+    return F.concat(F.lit(base.rstrip("/")), F.lit("/jobs/"), job, F.lit("/artifacts/"), name)
+
+
+# What a language model is told before the text to translate.
+PROMPT = (
+    "You are a professional translator. Translate the following text from %s to %s. Preserve the speaker's tone and register. "
+    "Match the approximate length of the original so the translated speech fits in roughly the same time. Output only the translation, no commentary.\n\nText: %s"
+)
+
+
+def translation_prompt(source: Column, target: Column, c: Column) -> Column:
+    return F.format_string(PROMPT, source, target, c)
+
+
+def access_refused(error: Column) -> Column:
+    """Whether a download failed because the model is gated."""
+    low = F.lower(error)
+    return low.contains("gated repo") | error.contains("401") | (low.contains("access") & low.contains("restricted"))
+
+
+def http_message(status: Column, body: Column) -> Column:
+    """What a failed request is reported as: the service's own words from its JSON body, by kind of failure."""
+    detail = F.coalesce(F.get_json_object(body, "$.detail"), body)
+    field = lambda name: F.get_json_object(detail, f"$.{name}")
+    words = F.coalesce(field("error"), detail)
+    staged = F.concat(F.coalesce(field("message"), detail), F.coalesce(F.concat(F.lit(" "), field("next_step")), F.lit("")))
+    return (
+        F.when(status == 501, F.concat(F.lit("not implemented ("), F.coalesce(field("phase"), F.lit("scaffold")), F.lit("): "), staged))
+        .when(status == 503, F.concat(F.lit("weights missing: "), detail, F.coalesce(F.concat(F.lit(" Fix: "), field("fix")), F.lit(""))))
+        .when(status == 422, F.concat(F.lit("could not process the clip: "), words))
+        .when(status == 400, F.concat(F.lit("rejected request: "), detail))
+        .when(status == 500, F.concat(F.lit("crashed: "), words))
+        .otherwise(F.concat(F.lit("failed (HTTP "), status.cast("string"), F.lit("): "), detail))
+    )
+
+
+def event_payload(data: Column) -> Column:
+    """struct(json, raw): an event's data as JSON where it parses, else as it is."""
+    parsed = F.when(F.get_json_object(data, "$").isNotNull(), data)
+    return F.struct(parsed.alias("json"), F.when(parsed.isNull(), data).alias("raw"))
+
+
+def joined_digest(df: DataFrame, keys: tuple[str, ...], order: str, c: str, between: str, out: str) -> DataFrame:
+    """keys, out: the MD5 of a key's texts in order with `between` set between them.
+
+    Rows come sorted by key and only a running digest is held, so a key of very many texts needs no memory.
+    """
+    rows = df.select(*keys, order, c)
+    schema = rows.select(*keys, F.lit("").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, running, done, types = None, None, [], []
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in keys), pa.string()]
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for *now, t in zip(*columns, batch.column(c).to_pylist()):
+                if running is not None and now == key:
+                    running.update((between + t).encode())
+                    continue
+                if running is not None:
+                    done.append([*key, running.hexdigest()])
+                key, running = now, hashlib.md5(t.encode(), usedforsecurity=False)
+            if len(done) >= 1_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], [*keys, out])
+                done = []
+        if running is not None:
+            done.append([*key, running.hexdigest()])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], [*keys, out])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, c).mapInArrow(run, schema)

@@ -74,3 +74,25 @@ def sample_ranges(frames: DataFrame, t, frame: str, fps: float, rate: int) -> Da
     own = F.floor(F.col(frame) / F.lit(float(fps)) * rate).cast("long")
     rows = previous(frames.withColumn("last", end), t, {"_frame": frame, "_last": "last"})
     return rows.withColumn("first", F.when(F.col("_frame") == F.col(frame) - 1, F.col("_last")).otherwise(own)).drop("_frame", "_last")
+
+
+def at_index(asked: DataFrame, features: DataFrame, keys: tuple[str, ...], idx: str, length: str = "n") -> DataFrame:
+    """`asked` with the feature at `idx`, counted from the end where it is negative; `ok` is false where there is none such."""
+    real = F.when(F.col(idx) < 0, F.col(idx) + F.col(length)).otherwise(F.col(idx))
+    placed = asked.withColumns({"asked": F.col(idx), idx: real, "ok": (real >= 0) & (real < F.col(length))})
+    return placed.join(features, [*keys, idx], "left")
+
+
+def slice_indexes(asked: DataFrame, start: Column, stop: Column, step: Column, idx: str, length: str = "n") -> DataFrame:
+    """`asked` once for each index of [start:stop:step], bounds counted from the end where negative and cut to the length.
+
+    A null bound is the end that a step of its sign starts or stops at; a slice may be empty. `step` is not 0.
+    """
+    n, up = F.col(length), step > 0
+    low, high = F.when(up, F.lit(0)).otherwise(-1), F.when(up, n).otherwise(n - 1)
+    held = lambda c, none: F.when(c.isNull(), none).otherwise(F.least(F.greatest(F.when(c < 0, c + n).otherwise(c), low), high))
+    a, z = held(start, F.when(up, low).otherwise(high)), held(stop, F.when(up, high).otherwise(low))
+    last = F.when(up, z - 1).otherwise(z + 1)
+    some = F.when(up, a <= last).otherwise(a >= last)
+    none = F.array().cast("array<bigint>")
+    return asked.withColumn(idx, F.explode(F.when(some, F.sequence(a.cast("long"), last.cast("long"), step.cast("long"))).otherwise(none)))

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .ordered import Timeline, first_known, previous, running_sum
+from .ordered import KEY, SLICE, Timeline, first_known, own_rows, previous, running_sum, sliced
 
 
 def islands(df: DataFrame, t: Timeline, start: str, end: str, gap: int, name: str = "island") -> DataFrame:
     """`df` plus the number, from 0, of its row's island: a row starts one if it starts over `gap` after the row before ends.
 
-    The row before counts, not the largest end so far, so a short row inside a long one moves the end back.
+    The row before counts, not the largest end so far, so a short row inside a long one moves the end back. Breaks are counted
+    inside each slice; a slice carries in the breaks before it and whether its own first row is one.
     """
-    apart = F.when(F.col(start) - F.col("_prev_end") > gap, 1).otherwise(0)
-    return running_sum(previous(df, t, {"_prev_end": end}), t, {name: apart}).drop("_prev_end")
+    own, place = own_rows(t), F.struct(*t.order)
+    apart = lambda a, b: F.when(a - b > gap, 1).otherwise(0)
+    broken = sliced(df, t).withColumn("cadenza__break", apart(F.col(start), F.lag(end).over(own)))
+    inside = broken.withColumn("cadenza__run", F.sum("cadenza__break").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    aggs = [F.min_by(start, place).alias("_head"), F.max_by(end, place).alias("_tail"), F.sum("cadenza__break").alias("_breaks")]
+
+    def outs(upto: WindowSpec, _: WindowSpec) -> list[Column]:
+        first = apart(F.col("_head"), F.lag("_tail").over(upto))
+        before = F.coalesce(F.sum("_breaks").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return [before.alias("_before"), first.alias("_first")]
+
+    parts = inside.groupBy(KEY, SLICE).agg(*aggs)
+    upto = Window.partitionBy(KEY).orderBy(SLICE)
+    heads = parts.select(KEY, SLICE, *outs(upto, upto))
+    based = heads.select(KEY, SLICE, (F.col("_before") + F.sum("_first").over(upto.rowsBetween(Window.unboundedPreceding, 0))).alias("cadenza__base"))
+    return inside.join(based, [KEY, SLICE]).select(*df.columns, (F.col("cadenza__base") + F.col("cadenza__run")).cast("long").alias(name))
 
 
 def island_spans(df: DataFrame, t: Timeline, start: str, end: str, gap: int) -> DataFrame:

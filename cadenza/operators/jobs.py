@@ -94,9 +94,9 @@ def illegal_transitions(df: DataFrame, t: Timeline, status: str, allowed: DataFr
     return steps.join(small(allowed.select("from", "to")), ["from", "to"], "left_anti")
 
 
-def latest(log: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """The last written row of each key of an append-only log."""
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*log.columns), version).alias("_row")).select("_row.*")
+def latest(log: DataFrame, keys: tuple[str, ...], *version: str) -> DataFrame:
+    """The last written row of each key of an append-only log; give enough columns to settle ties."""
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*log.columns), F.struct(*version)).alias("_row")).select("_row.*")
 
 
 def admitted(queue: DataFrame, key: str, queued: str, most: int) -> DataFrame:
@@ -157,3 +157,88 @@ def ticked(stages: DataFrame, reports: DataFrame, keys: tuple[str, ...], start:
 def exit_code(status: Column) -> Column:
     """How a wait for a job ends: 0 completed, 1 failed, 3 cancelled, 2 given up while it still runs."""
     return F.when(status == "completed", 0).when(status == "failed", 1).when(status == "cancelled", 3).otherwise(2)
+
+
+def cancel_outcome(known: Column, status: Column, live: Column) -> Column:
+    """What a request to cancel is answered with: 404 for an unknown job or one that does not run here, 409 once it is over, else 200."""
+    over = status.isin(TERMINAL)
+    return F.when(~F.coalesce(known, F.lit(False)), 404).when(F.coalesce(over, F.lit(False)), 409).when(~F.coalesce(live, F.lit(False)), 404).otherwise(200)
+
+
+def cancelled(status: Column, outcome: Column) -> Column:
+    return F.when(outcome == 200, "cancelled").otherwise(status)
+
+
+def result_path(status: Column, mux_status: Column, path: Column) -> Column:
+    """The path of a result that can be shown: of a completed job whose last stage is done and left one; else null."""
+    return F.when((status == "completed") & (mux_status == "done") & (path != ""), path)
+
+
+def skips_output_stabilising(asked: Column, default: bool, produced: Column) -> Column:
+    """True where the stage is off, by request or else by default, or there is no lip-synced file to work on."""
+    return ~F.coalesce(asked, F.lit(default)) | ~F.coalesce(produced, F.lit(False))
+
+
+def running_stage(stages: DataFrame, keys: tuple[str, ...], pos: str, name: str, status: str) -> DataFrame:
+    """keys, name: the first running stage of each job; jobs without one are left out."""
+    return stages.filter(F.col(status) == "running").groupBy(*keys).agg(F.min_by(name, pos).alias(name))
+
+
+# What a stage hands on of its result, and under which name.
+OUTPUTS = {
+    "transcribe": {"language": "language", "language_probability": "language_probability", "text": "text", "segment_count": "segments", "path": "path"},
+    "translate": {"source_language": "source_language", "target_language": "target_language", "backend": "backend", "text": "text", "segment_count": "segments", "path": "path"},
+    "mux": {"path": "path", "watermark": "watermark", "source_video": "video"},
+}
+
+
+def stage_output(stage: str, counted: tuple[str, ...] = ("segments",)) -> Column:
+    """The struct that a stage hands on, of columns of its result; lists are handed on as their length."""
+    return F.struct(*[(F.size(c) if c in counted else F.col(c)).alias(n) for n, c in OUTPUTS[stage].items()])
+
+
+def all_ok(df: DataFrame, keys: tuple[str, ...], ok: Column) -> DataFrame:
+    """keys, ok: whether a condition holds in all rows; unknown counts as no."""
+    return df.groupBy(*keys).agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
+
+
+def cached(asked: DataFrame, cache: DataFrame, key: str, value: str, enabled: Column) -> DataFrame:
+    """`asked` plus value and outcome: hit, miss, or disabled, where the cache is not looked at. `cache` has one row per key."""
+    held = cache.select(F.col(key), F.col(value), F.lit(True).alias("cadenza__hit"))
+    found = asked.join(held, key, "left")
+    hit = F.coalesce(F.col("cadenza__hit"), F.lit(False))
+    outcome = F.when(~enabled, "disabled").when(hit, "hit").otherwise("miss")
+    return found.withColumns({"outcome": outcome, value: F.when(enabled, F.col(value))}).drop("cadenza__hit")
+
+
+def content_key(parts: list[Column], length: int = 16) -> Column:
+    """A short key of bytes and of the settings they are worked on with; null parts count as empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, length)
+
+
+def download_action(size: Column, least: Column) -> Column:
+    """skip a file that is there and large enough, fetch it otherwise."""
+    return F.when(F.coalesce(size, F.lit(-1)) >= least, "skip").otherwise("fetch")
+
+
+# Settings of the three quality levels.
+QUALITY = [(1, "raw", 0.06, "none", None, None), (2, "jaw", 0.04, "none", None, None), (3, "jaw", 0.04, "codeformer", 0.7, 0.6)]
+
+
+def quality_levels(spark) -> DataFrame:
+    return spark.createDataFrame(QUALITY, "quality int, blend_mode string, blend_feather double, face_restore string, fidelity double, blend double")
+
+
+def decoding_error(beam: Column, best_of: Column, temperature: Column, patience: Column, penalty: Column) -> Column:
+    """Which options of a decoder do not go together, null if all do."""
+    return (
+        F.when(beam.isNotNull() & best_of.isNotNull(), "beam_size and best_of")
+        .when((temperature == 0) & best_of.isNotNull(), "best_of at temperature 0")
+        .when(patience.isNotNull() & beam.isNull(), "patience without beam_size")
+        .when(penalty.isNotNull() & ~penalty.between(0, 1), "length_penalty outside 0..1")
+    )
+
+
+def ranked(df: DataFrame, keys: tuple[str, ...], score: Column, tie: str, name: str = "rank") -> DataFrame:
+    """`df` plus each row's rank in its group by score, the best first."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), F.col(tie))))

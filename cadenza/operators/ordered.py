@@ -24,17 +24,30 @@ class Timeline:
     width: int = DAY_US
 
 
-def _attach(df: DataFrame, t: Timeline, aggs: list[Column], outs: Callable[[WindowSpec, WindowSpec], list[Column]]) -> tuple[DataFrame, WindowSpec]:
-    """`df` joined to values of its slice, and the window of a row's own slice.
+#: Names of the two columns that rows are dealt by while an operator runs.
+KEY, SLICE = "cadenza__key", "cadenza__slice"
 
-    `aggs` are made per slice; `outs` turns them into the values to join, over the slices of a key in order and as a whole.
-    """
+
+def sliced(df: DataFrame, t: Timeline) -> DataFrame:
+    """`df` dealt by key and slice, the one shuffle of its rows that an operator makes, and a window over each slice's own rows."""
     slice_ = F.coalesce(F.expr(f"`{t.order[0]}` div {t.width}"), F.lit(-(2**62)))
-    sliced = df.withColumns({"_key": F.struct(*t.keys), "_slice": slice_})
-    parts = sliced.groupBy("_key", "_slice").agg(*aggs)
-    upto = Window.partitionBy("_key").orderBy("_slice")
-    joined = sliced.join(parts.select("_key", "_slice", *outs(upto, Window.partitionBy("_key"))), ["_key", "_slice"])
-    return joined, Window.partitionBy("_key", "_slice").orderBy(*t.order)
+    return df.withColumns({KEY: F.struct(*t.keys), SLICE: slice_}).repartition(KEY, SLICE)
+
+
+def own_rows(t: Timeline) -> WindowSpec:
+    return Window.partitionBy(KEY, SLICE).orderBy(*t.order)
+
+
+def carry(dealt: DataFrame, aggs: list[Column], outs: Callable[[WindowSpec, WindowSpec], list[Column]]) -> DataFrame:
+    """`dealt` joined to values of its slice: `aggs` are made per slice from rows that are already together, `outs` turns them
+    into the values to join, over the slices of a key in order and as a whole. Only one row per slice is shuffled."""
+    parts = dealt.groupBy(KEY, SLICE).agg(*aggs)
+    upto = Window.partitionBy(KEY).orderBy(SLICE)
+    return dealt.join(parts.select(KEY, SLICE, *outs(upto, Window.partitionBy(KEY))), [KEY, SLICE])
+
+
+def _attach(df: DataFrame, t: Timeline, aggs: list[Column], outs: Callable[[WindowSpec, WindowSpec], list[Column]]) -> tuple[DataFrame, WindowSpec]:
+    return carry(sliced(df, t), aggs, outs), own_rows(t)
 
 
 def previous(df: DataFrame, t: Timeline, cols: dict[str, str]) -> DataFrame:
@@ -114,10 +127,11 @@ def exact_percentiles(df: DataFrame, value: str, shares: list[float], width: int
 
     Values are counted, and the counts summed up in value order by slices, so no task holds them all.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).count().withColumn("_all", F.lit(0))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("count")).withColumn("_all", F.lit(0))
     t = Timeline(("_all",), (value,), width)
-    upto = running_sum(counts, t, {"upto": F.col("count")})
-    joined, _ = _attach(upto, t, [F.sum("count").alias("_n")], lambda _, whole: [F.sum("_n").over(whole).alias("n")])
+    prior = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_prior")
+    joined, own = _attach(counts, t, [F.sum("count").alias("_n")], lambda upto, whole: [prior(upto), F.sum("_n").over(whole).alias("n")])
+    joined = joined.withColumn("upto", F.col("_prior") + F.sum("count").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     out = []
     for s in shares:
         rank = (F.col("n") - 1) * F.lit(s)

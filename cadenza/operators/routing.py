@@ -85,3 +85,26 @@ def resolve_alias(df: DataFrame, codes: DataFrame, aliases: DataFrame, name: str
     own = small(codes.select(F.col("code").alias(name), F.col("code").alias("_own")))
     other = small(aliases.select(F.col("alias").alias(name), F.col("code").alias("_other")))
     return df.join(own, name, "left").join(other, name, "left").withColumn("code", F.coalesce("_own", "_other")).drop("_own", "_other")
+
+
+def one_of(c: Column, allowed: list[str], default: str) -> Column:
+    """A setting's text if it is one of the values, else the default."""
+    held = normal(c)
+    return F.when(held.isin(allowed), held).otherwise(default)
+
+
+def held_number(c: Column, low: float, high: float, default: float) -> Column:
+    """A setting's number held to a range; the default where it is missing or no number."""
+    number = F.regexp_replace(c, r"^\s+|\s+$", "").try_cast("double")
+    return F.coalesce(F.when(number.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), number))), F.lit(default))
+
+
+def merged(base: Column, over: Column, names: dict[str, str] | None = None) -> Column:
+    """Entries of two maps, those of `over` first; null values of `over` count as not given. Keys are renamed by `names`."""
+    given = F.map_filter(over, lambda _, v: v.isNotNull())
+    kept = F.map_filter(base, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(given), k), F.lit(False)))
+    both = F.map_concat(kept, given)
+    if not names:
+        return both
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.transform_keys(both, lambda k, _: F.coalesce(F.element_at(table, k), k))

@@ -118,9 +118,9 @@ def progress_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(jobs.weighted_progress(phase, F.col("value") / 50), 6).alias("pct"))
 
 
-@query("SELECT user_id, event_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1")
+@query("SELECT user_id, event_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.latest(table(spark, sf_dir, "events"), ("user_id",), "ts").select("user_id", "event_id", F.col("event_type").alias("status"))
+    return jobs.latest(table(spark, sf_dir, "events"), ("user_id",), "ts", "event_id").select("user_id", "event_id", F.col("event_type").alias("status"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
@@ -145,8 +145,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT conv_id, md5(string_agg(t, ' ' ORDER BY turn)) AS text_hash FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations) WHERE t <> '' GROUP BY conv_id""")
 def text_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip(F.col("text")).alias("t")).filter("t <> ''")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"])  # one conversation's own text
-    return rows.groupBy("conv_id").agg(F.md5(F.array_join(said, " ")).alias("text_hash"))
+    return text.joined_digest(rows, ("conv_id",), "turn", "t", " ", "text_hash")
 
 
 @query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'assistant'), min(turn)) AS turn FROM conversations GROUP BY conv_id")

@@ -36,14 +36,19 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", start.alias("s_us"), (start + F.round(F.col("value") * 100).cast("long") * 6_000_000).alias("e_us"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, event_type, event_id, s_us, idx, x, y, c (x in hundredths); the point is null in every seventh event."""
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_type, event_id, s_us, x, y, c (x in hundredths); the point is null in every seventh event."""
     seen = F.col("event_id") % 7 != 0
     rows = table(spark, sf_dir, "events").select(
         "user_id", "event_type", "event_id", micros("ts").alias("s_us"), F.when(seen, F.col("value")).alias("x"),
         F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"), F.when(seen, F.round(F.col("value") * 100).cast("long")).alias("c"),
     )
-    return ordered.numbered(rows, SEGMENTS)
+    return rows
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`points` with each one's number idx in its clip, from 0."""
+    return ordered.numbered(points(spark, sf_dir), SEGMENTS)
 
 
 def filled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +167,7 @@ D AS (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM Lx)"""
 SELECT count(u) AS count, round(avg(u) / 1000000, 6) AS mean, max(u) / 1000000 AS max, round(quantile_cont(u, 0.5) / 1000000, 6) AS p50, round(quantile_cont(u, 0.95) / 1000000, 6) AS p95,
   round(quantile_cont(u, 0.99) / 1000000, 6) AS p99, round(stddev_pop(u) / 1000000, 6) AS std_pop FROM E""")
 def displacement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = series.displacement(frames(spark, sf_dir), FRAMES).select(F.round(F.col("moved") * 1_000_000).cast("long").alias("u"))
+    moved = series.displacement(points(spark, sf_dir), SEGMENTS).select(F.round(F.col("moved") * 1_000_000).cast("long").alias("u"))
     whole = moved.agg(*series.spread(F.col("u"))).withColumn("_one", F.lit(1))
     shares = ordered.exact_percentiles(moved, "u", [0.5, 0.95, 0.99], 1_000_000).withColumn("_one", F.lit(1))
     micro = lambda c: F.round(F.col(c) / 1_000_000, 6).alias(c)
@@ -171,7 +176,7 @@ def displacement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_MOVED} SELECT event_type, count(d) AS count, round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(stddev_pop(d), 6) AS std_pop FROM D GROUP BY GROUPING SETS ((event_type), ())""")
 def displacement_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = series.displacement(frames(spark, sf_dir), FRAMES)
+    moved = series.displacement(points(spark, sf_dir), SEGMENTS)
     stats = moved.rollup("event_type").agg(*series.spread(F.col("moved")))
     return stats.select("event_type", "count", *[F.round(c, 6).alias(c) for c in ("mean", "max", "std_pop")])
 
@@ -224,17 +229,17 @@ def mel_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.groupBy("user_id", F.col("frame").alias("i"), "start").agg(F.sum("c").alias("sx"))
 
 
-@query(f"WITH {Fr} SELECT user_id, s_us // 86400000000 AS bucket, count(*) AS n, CAST(sum(c) AS BIGINT) AS sv FROM Fr GROUP BY ALL")
+@query(f"WITH {Fr} SELECT user_id, s_us // 30000000 AS bucket, count(*) AS n, CAST(sum(c) AS BIGINT) AS sv FROM Fr GROUP BY ALL")
 def tumbling_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).groupBy("user_id", F.expr("s_us div 86400000000").alias("bucket")).agg(F.count("*").alias("n"), F.sum("c").alias("sv"))
+    return points(spark, sf_dir).groupBy("user_id", F.expr("s_us div 30000000").alias("bucket")).agg(F.count("*").alias("n"), F.sum("c").alias("sv"))
 
 
-@query(f"""WITH {FILLED}, W AS (SELECT user_id, unnest(range(0, greatest(0, n - 8), 3)) AS i FROM N)
-SELECT W.user_id, i, CAST(sum(c) AS BIGINT) AS sx FROM W JOIN Fi ON Fi.user_id = W.user_id AND Fi.idx >= i AND Fi.idx < i + 5 GROUP BY W.user_id, i""")
+@query(f"""WITH {FILLED}, W AS (SELECT user_id, unnest(range(0, greatest(0, n - 55), 3)) AS i FROM N)
+SELECT W.user_id, i, CAST(sum(c) AS BIGINT) AS sx FROM W JOIN Fi ON Fi.user_id = W.user_id AND Fi.idx >= i AND Fi.idx < i + 52 GROUP BY W.user_id, i""")
 def sliding_52_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filled_frames(spark, sf_dir).select("user_id", "idx", "c")
-    windows = gather.sliding(rows.groupBy("user_id").agg(F.count("*").alias("n")), 5, 3, 3)
-    return gather.window_rows(windows, rows, KEYS, "idx", 5).groupBy("user_id", "i").agg(F.sum("c").alias("sx"))
+    windows = gather.sliding(rows.groupBy("user_id").agg(F.count("*").alias("n")), 52, 3, 3)
+    return gather.window_rows(windows, rows, KEYS, "idx", 52).groupBy("user_id", "i").agg(F.sum("c").alias("sx"))
 
 
 @query(f"""WITH {FILLED}, W AS (SELECT user_id, unnest(range(0, 20)) AS j FROM N), V AS (SELECT *, CASE WHEN (j // 7) % 2 = 0 THEN j % 7 ELSE 6 - j % 7 END AS idx FROM W)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.functions import english
+from cadenza.functions import english, text
 from cadenza.operators import jobs, spectra, vectors
 from cadenza.sources import files as sources
 from cadenza.streaming import events as ev
@@ -126,3 +126,48 @@ def test_number_words_in_a_row():
     assert read("three and a half million") == "3500000" and read("so and a half") == "so and a half" and read("and a half") == ""
     assert read("minus foo") == "minus foo" and read("two and two") == "2 and 2" and read("one point") == "one point" and read("b747") == "b 747"
     assert read("2.5.3 point") == "2.5.3 point" and read("$20 and five cents") == "$20.05"
+    assert read("0 seventy") == "70" and read("point twenty thousand") == "200" and read("twenty 0 nineteen") == "20 19"
+    assert read("hundreds of three hundred and and") == "100s of 300 and" and read("minus double seven") == "-77" and read("per person five per cent") == "per person 5%"
+
+
+@pytest.mark.parametrize("n", [0, 7, 13, 20, 21, 90, 100, 101, 110, 219, 999, 1_000, 1_001, 1_999, 20_020, 100_000, 123_456, 1_000_000, 7_000_005])
+def test_cardinals_read_back(n):
+    """A number spelled out by rule is read back as its digits, with `and` after hundreds or without."""
+
+    def spelled(n, link):
+        for scale, name in ((1_000_000, "million"), (1_000, "thousand"), (100, "hundred")):
+            if n >= scale:
+                rest = f" {link if scale == 100 else ''} {spelled(n % scale, link)}" if n % scale else ""
+                return f"{spelled(n // scale, link)} {name}{rest}"
+        return english.UNITS[n - 1] if n < 20 else english.TENS[n // 10 - 2] + (f" {english.UNITS[n % 10 - 1]}" if n % 10 else "")
+
+    for link in ("and", ""):
+        assert english.numbers_as_digits(spelled(n, link) if n else "zero") == str(n)
+
+
+def plain_basic(t, diacritics, letters):
+    import re
+    import unicodedata
+
+    import regex
+
+    t = re.sub(r"\(([^)]+?)\)", "", re.sub(r"[<\[][^>\]]*[>\]]", "", t.lower()))
+    out = []
+    for c in unicodedata.normalize("NFKC" if diacritics else "NFKD", t):
+        kind = unicodedata.category(c)
+        if not diacritics and c in text.PLAIN_LETTERS:
+            out.append(text.PLAIN_LETTERS[c])
+        elif diacritics or kind != "Mn":
+            out.append(" " if kind[0] in "MSP" else c)
+    t = "".join(out).lower()
+    return re.sub(r"\s+", " ", " ".join(regex.findall(r"\X", t)) if letters else t)
+
+
+@pytest.mark.parametrize(("diacritics", "letters"), [(True, False), (False, False), (True, True), (False, True)])
+def test_basic_forms(spark, diacritics, letters):
+    """Whole texts of a table, and letters that change in compatibility or canonical form, against a plain loop."""
+    odd = ["\u01ff \u01fd a\u2122 \u3385 \u2121", "line\u2028next\u00a0x\u3000y", "e\u0301 \ud55c\uae00 \u0e01\u0e33", "<b>x</b> [noise] (aside) ok", "\u00df \u1e9e \u0141\u00f3d\u017a", ""]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    df = docs.unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    got = df.select("text", text.basic_normal(F.col("text"), diacritics, letters).alias("n")).collect()
+    assert [r.n for r in got] == [None if r.text is None else plain_basic(r.text, diacritics, letters) for r in got]
