@@ -144,12 +144,14 @@ def _known_earlier(known: dict, data: bytes, key: np.ndarray, p0: np.ndarray, si
     if len(known) > KNOWN_SPANS:
         known.clear()
     ends, least = p0 + size, b""
-    for i, leads, k, a, z in zip(many.tolist(), first.tolist(), key[many].tolist(), p0[many].tolist(), ends[many].tolist()):
+    places = zip(doc[many].tolist(), rep[many].tolist(), start[many].tolist())
+    for i, leads, k, a, z, place in zip(many.tolist(), first.tolist(), key[many].tolist(), p0[many].tolist(), ends[many].tolist(), places):
         own = data[a:z]
         if leads:
-            least, place = own, (doc[i], rep[i], start[i])
-            had = known.setdefault(k, (place, own))
-            if had[1] == own:
+            least, had = own, known.get(k)
+            if had is None:
+                known[k] = place, own
+            elif had[1] == own:
                 if had[0] < place:
                     sure[i] = True
                 else:
@@ -209,13 +211,35 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans with their bytes; one whose bytes this task has seen at an earlier place is sure to go and carries none."""
     unpack = zstandard.ZstdDecompressor().decompress
+    known: dict[tuple[int, bytes], tuple] = {}
     for pdf in batches:
         out: list[tuple] = []
-        for doc, rep, z, spans in zip(pdf["doc_id"], pdf["rep"], pdf["z"], pdf["spans"]):
+        for doc, rep, z, spans in zip(pdf["doc_id"].tolist(), pdf["rep"].tolist(), pdf["z"], pdf["spans"]):
             text = unpack(z)
-            out += [(s["kmer"], doc, rep, s["start"], text[s["start"] : s["start"] + s["bytes"]]) for s in spans]
-        yield pd.DataFrame(out, columns=["kmer", "doc_id", "rep", "start", "bytes"])
+            for s in spans:
+                kmer, at, size = s["kmer"], s["start"], s["bytes"]
+                own = text[at : at + size]
+                place = doc, rep, at
+                had = known.setdefault((kmer, own), place)
+                if had < place:
+                    out.append((kmer, doc, rep, at, size, None))
+                    continue
+                known[kmer, own] = place
+                out.append((kmer, doc, rep, at, size, own))
+        if len(known) > 3 * KNOWN_SPANS:
+            known.clear()
+        yield pd.DataFrame(out, columns=["kmer", "doc_id", "rep", "start", "size", "bytes"])
+
+
+def _alike(spans: pd.DataFrame, alone: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(whole spans whose bytes start earlier under the same anchor, the others); without `alone` those left single under theirs go too."""
+    ordered = spans.sort_values(["doc_id", "rep", "start"], kind="stable")
+    same = ordered.duplicated(["kmer", "bytes"]).to_numpy()
+    gone, rest = ordered[same], ordered[~same]
+    cuts = pd.DataFrame({"doc_id": gone["doc_id"], "rep": gone["rep"], "lo": gone["start"], "hi": gone["start"] + gone["bytes"].map(len)}).astype("int64")
+    return cuts, (rest if alone else rest[rest.duplicated("kmer", keep=False).to_numpy()]).reset_index(drop=True)
 
 
 def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,9 +290,12 @@ def _cuts(spans: pd.DataFrame, row: np.ndarray, at: np.ndarray, later: np.ndarra
 
 
 def _repeated(spans: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Removed stretches (doc_id, rep, lo, hi) of whole anchor groups."""
-    _, row, at, _, later = _sorted_windows(spans, length)
-    return _cuts(spans, row, at, later, length)
+    """Removed stretches (doc_id, rep, lo, hi) of whole anchor groups: equal spans first, then the windows of those that differ."""
+    cuts, rest = _alike(spans, False)
+    if not len(rest):
+        return cuts
+    _, row, at, _, later = _sorted_windows(rest, length)
+    return pd.concat([cuts, _cuts(rest, row, at, later, length)], ignore_index=True)
 
 
 def _sorted_groups(length: int):
@@ -305,7 +332,8 @@ def _own_groups(length: int):
         held = 0
 
         def solve() -> Iterator[pd.DataFrame]:
-            spans = pd.concat(rest, ignore_index=True)
+            cuts, spans = _alike(pd.concat(rest, ignore_index=True), True)
+            yield cuts.assign(window=None)
             data, row, at, place, later = _sorted_windows(spans, length)
             yield _cuts(spans, row, at, later, length).assign(window=None)
             lead, raw = np.flatnonzero(~later), data.tobytes()
@@ -354,9 +382,11 @@ def removed_stretches(texts: DataFrame, length: int = 100) -> DataFrame:
     kept = written(shared.select("kmer", "sure", "doc_id", "rep", "start", "bytes"), "spans")
     seen = kept.filter("sure").select("doc_id", "rep", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("bytes")).cast("long").alias("hi"))
     per_text = kept.filter("not sure").groupBy("doc_id", "rep").agg(F.collect_list(F.struct("kmer", "start", "bytes")).alias("spans"))  # bounded by the text itself
-    sortable = written(_packed(texts).join(per_text, ["doc_id", "rep"]).mapInPandas(_with_bytes, "kmer long, doc_id long, rep long, start int, bytes binary"), "span-bytes")
+    found = written(_packed(texts).join(per_text, ["doc_id", "rep"]).mapInPandas(_with_bytes, "kmer long, doc_id long, rep long, start int, size int, bytes binary"), "span-bytes")
+    again = found.filter("bytes is null").select("doc_id", "rep", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("size")).cast("long").alias("hi"))
+    sortable = found.filter("bytes is not null").drop("size")
     hot = written(sortable.groupBy("kmer").count().filter(F.col("count") > HOT_SPANS).select("kmer"), "hot-anchors")
-    cold, parts = sortable, [seen]
+    cold, parts = sortable, [seen, again]
     if not hot.isEmpty():
         parts.append(_hot_windows(sortable.join(hot, "kmer", "left_semi"), length))
         cold = sortable.join(hot, "kmer", "left_anti")
