@@ -62,3 +62,23 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM rated
 """
+
+# CRC-32 over the bytes of a text: a table of 256 entries by the bitwise rule, then one step for each byte.
+ORACLES["op5_sharding"] = r"""
+WITH RECURSIVE R(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM R WHERE k < 8
+), T AS (SELECT list(c ORDER BY i) AS t FROM R WHERE k = 8),
+B AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+C AS (
+  SELECT doc_id, CAST(len(b) + 8 AS BIGINT) AS size,
+         CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32
+  FROM B, T
+), S AS (
+  SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS every_byte FROM C
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), P AS (SELECT *, CAST(least(23, (2 * upto - size) * 24 // (2 * every_byte)) AS INTEGER) AS shard FROM S)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM P
+"""
