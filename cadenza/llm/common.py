@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.002
 #: Rows of a hot key go to so many shuffle keys.
 SALTS = 64
+#: Tables written by this process and not yet released.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written so far and says how many; call it once their results have been used."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` by a reliable checkpoint in the shared folder; used inside iterations, Spark's cleaner drops old ones."""
     if not df.sparkSession.sparkContext.getCheckpointDir():

@@ -83,6 +83,18 @@ def test_hot_key_join(spark, monkeypatch):
     assert Counter(r.n for r in common.join_groups(rows, groups, "k", "n").collect()) == {4000: 4000, 1: 1000}
 
 
+def test_written_tables_are_released(spark):
+    import os
+
+    from cadenza.llm import common
+
+    common.release(spark)
+    out = common.written(spark.range(3), "some")
+    where = out.inputFiles()[0].removeprefix("file://")
+    assert out.count() == 3 and os.path.exists(where)
+    assert common.release(spark) == 1 and not os.path.exists(where) and common.release(spark) == 0
+
+
 # sharding
 
 
