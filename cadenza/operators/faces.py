@@ -12,9 +12,12 @@ FACE, BESIDE, LIPS = [1], [10], [11, 12, 13]
 
 
 def largest(df: DataFrame, keys: tuple[str, ...], pos: str, box: Column) -> DataFrame:
-    """keys, pos: of each frame the face of the largest area, the first of equal ones. `box` is struct(x1, y1, x2, y2)."""
+    """keys, pos: of each frame the face of the largest area, the first of equal ones; null where none has a box.
+
+    `box` is struct(x1, y1, x2, y2).
+    """
     area = (box["x2"] - box["x1"]) * (box["y2"] - box["y1"])
-    return df.groupBy(*keys).agg(F.max_by(pos, F.struct(area, -F.col(pos))).alias(pos))
+    return df.groupBy(*keys).agg(F.max_by(pos, F.when(area.isNotNull(), F.struct(area, -F.col(pos)))).alias(pos))
 
 
 def active(box: Column) -> Column:
