@@ -432,10 +432,12 @@ def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray,
     found_a, found_b = [], []
     for a in range(0, len(i), max(1, PAIRS // max(1, len(words)))):
         own = i[a : a + max(1, PAIRS // max(1, len(words)))]
-        far = np.bitwise_count(words[own, 0][:, None] ^ words[None, :, 0]).astype(np.uint16)
-        x, y = np.nonzero(far <= min(64, distance))
-        total = far[x, y]
-        for lane in range(1, LANES):
+        far = np.bitwise_count(words[own, 0][:, None] ^ words[None, :, 0])
+        for lane in (1, 2):  # unlike sketches are mostly told by three lanes
+            far += np.bitwise_count(words[own, lane][:, None] ^ words[None, :, lane])
+        x, y = np.nonzero(far <= distance)
+        total = far[x, y].astype(np.uint16)
+        for lane in range(3, LANES):
             total = total + np.bitwise_count(words[own[x], lane] ^ words[y, lane])
             keep = total <= distance
             x, y, total = x[keep], y[keep], total[keep]
