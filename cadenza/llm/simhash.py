@@ -254,8 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above u hang on u's smallest neighbour (or u)
         around = both(now)
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(around.filter("v > u"), low, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()  # hubs are salted
         # small star: u and its smaller neighbours hang on the smallest of them
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
