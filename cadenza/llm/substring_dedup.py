@@ -217,17 +217,18 @@ def _with_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out: list[tuple] = []
         for doc, rep, z, spans in zip(pdf["doc_id"].tolist(), pdf["rep"].tolist(), pdf["z"], pdf["spans"]):
-            text = unpack(z)
+            text, gone = unpack(z), []
             for s in spans:
                 kmer, at, size = s["kmer"], s["start"], s["bytes"]
                 own = text[at : at + size]
                 place = doc, rep, at
                 had = known.setdefault((kmer, own), place)
                 if had < place:
-                    out.append((kmer, doc, rep, at, size, None))
+                    gone.append((at, at + size))
                     continue
                 known[kmer, own] = place
                 out.append((kmer, doc, rep, at, size, own))
+            out += [(0, doc, rep, lo, hi - lo, None) for lo, hi in merged(gone)]
         if len(known) > 3 * KNOWN_SPANS:
             known.clear()
         yield pd.DataFrame(out, columns=["kmer", "doc_id", "rep", "start", "size", "bytes"])
