@@ -29,9 +29,9 @@ KEY, SLICE = "cadenza__key", "cadenza__slice"
 
 
 def sliced(df: DataFrame, t: Timeline) -> DataFrame:
-    """`df` dealt by key and slice, the one shuffle of its rows that an operator makes, and a window over each slice's own rows."""
+    """`df` with its key and slice, by which a window over a slice's own rows deals them."""
     slice_ = F.coalesce(F.expr(f"`{t.order[0]}` div {t.width}"), F.lit(-(2**62)))
-    return df.withColumns({KEY: F.struct(*t.keys), SLICE: slice_}).repartition(KEY, SLICE)
+    return df.withColumns({KEY: F.struct(*t.keys), SLICE: slice_})
 
 
 def own_rows(t: Timeline) -> WindowSpec:
@@ -39,8 +39,8 @@ def own_rows(t: Timeline) -> WindowSpec:
 
 
 def carry(dealt: DataFrame, aggs: list[Column], outs: Callable[[WindowSpec, WindowSpec], list[Column]]) -> DataFrame:
-    """`dealt` joined to values of its slice: `aggs` are made per slice from rows that are already together, `outs` turns them
-    into the values to join, over the slices of a key in order and as a whole. Only one row per slice is shuffled."""
+    """`dealt` joined to values of its slice: `aggs` are made per slice, before the shuffle as far as they can, and `outs` turns them
+    into the values to join, over the slices of a key in order and as a whole."""
     parts = dealt.groupBy(KEY, SLICE).agg(*aggs)
     upto = Window.partitionBy(KEY).orderBy(SLICE)
     return dealt.join(parts.select(KEY, SLICE, *outs(upto, Window.partitionBy(KEY))), [KEY, SLICE])

@@ -85,8 +85,8 @@ def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir)
     bounds = rows.groupBy("user_id").agg((F.min("s_us") - HOUR).alias("lo"), (F.max("e_us") + HOUR).alias("hi"))
     silences = intervals.merge(rows, SEGMENTS, "s_us", "e_us", MERGE_GAP).join(bounds, "user_id")
-    spans = intervals.complement(silences, Timeline(KEYS, ("start", "island")), "start", "end", "lo", "hi")
-    return spans.filter(F.col("end") - F.col("start") >= HOUR).join(bounds, "user_id")
+    spans = intervals.complement(silences, Timeline((*KEYS, "lo", "hi"), ("start", "island")), "start", "end", "lo", "hi")  # lo and hi go with the key
+    return spans.filter(F.col("end") - F.col("start") >= HOUR)
 
 
 @query(f"WITH {_SPEECH} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS pos, a AS s_us, b AS e_us FROM K")
