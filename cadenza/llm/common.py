@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,14 +17,14 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is set a local session uses its warehouse; on a cluster that is an error."""
+    """The folder that all executors share. Where none is set a local session takes a temporary one; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        where = tempfile.mkdtemp(prefix="cadenza-")  # one machine only
         spark.sparkContext.setCheckpointDir(where)
     return where
 
