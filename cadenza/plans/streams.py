@@ -1,10 +1,11 @@
-"""Queries that run as streams over the `events` table until all of it is read, written to the warehouse and read back.
+"""Queries that run as streams over the `events` table until all of it is read, written to the shared folder and read back.
 
 Jobs are users, stages are event types; a stream ends by itself and keeps nothing in the driver.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from .registry import query, six
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:  # a local session takes a temporary folder, a cluster's its warehouse, which is shared
+        where = tempfile.mkdtemp(prefix="cadenza-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{where}/{name}-{uuid.uuid4().hex}"
 
 
