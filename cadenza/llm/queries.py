@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, kd_search, language, mixing, sharding, simhash, substring_dedup, toxicity
+from . import bpe, chat, exact_dedup, filter_audit, kd_search, language, mixing, resampling, sharding, simhash, substring_dedup, toxicity, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.label_outcomes(table(spark, sf_dir, "labels")))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,5 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substring_dedup, op4_top_k, op5_sharding, op6_chat, op7_mixing, op8_simhash, op9_language, op10_exact_dedup, pipeline)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_bpe, op3_substring_dedup, op4_top_k, op5_sharding, op6_chat, op7_mixing, op8_simhash, op9_language, op10_exact_dedup,
+        op11_filter_audit, op12_resampling, op13_url_filter, pipeline,
+    )
+}
