@@ -47,7 +47,8 @@ def expanded_box(x1: Column, y1: Column, x2: Column, y2: Column, share: float, w
 
 
 def face_ok(w: Column, h: Column, score: Column) -> Column:
-    return (w >= 50) & (h >= 80) & (w / h).between(0.2, 1.5) & (score >= 0.5)
+    """False for a box without height."""
+    return (w >= 50) & (h >= 80) & F.coalesce(F.try_divide(w, h).between(0.2, 1.5), h.isNull()) & (score >= 0.5)
 
 
 def odd_kernel(ratio: Column, size: Column) -> Column:
@@ -58,7 +59,7 @@ def odd_kernel(ratio: Column, size: Column) -> Column:
 
 def stretch(current: Column, target: Column, least: float = 0.85) -> Column:
     """The time ratio that fits a clip to its target, null where none is needed or it is under `least`."""
-    ratio = target / current
+    ratio = F.try_divide(target, current)
     return F.when((current > target + 0.05) & (ratio >= least), ratio)
 
 
@@ -69,7 +70,8 @@ def mux_plan(video: Column, audio: Column, watermark: Column) -> Column:
 
 
 def length_normalised(logprob: Column, length: Column, alpha: float | None = None) -> Column:
-    return logprob / (length if alpha is None else F.pow((5 + length) / 6, F.lit(alpha)))
+    """Null where the divisor is 0: without tokens, or with `alpha` at a length of -5."""
+    return F.try_divide(logprob, length if alpha is None else F.pow((5 + length) / 6, F.lit(alpha)))
 
 
 def human_duration(seconds: Column) -> Column:
@@ -107,12 +109,13 @@ def elapsed_ms(start_s: Column, end_s: Column) -> Column:
 
 
 def clip_seconds(frames: Column, fps: Column) -> Column:
-    return frames / fps
+    """Null at 0 frames a second."""
+    return F.try_divide(frames, fps)
 
 
 def unnoised(sample: Column, noise: Column, alpha: Column, clip: bool = True) -> Column:
-    """The sample before noise of share 1 - alpha, in one step; held to -1..1 where `clip` is set."""
-    origin = (sample - F.sqrt(1 - alpha) * noise) / F.sqrt(alpha)
+    """The sample before noise of share 1 - alpha, in one step; held to -1..1 where `clip` is set; null at alpha 0."""
+    origin = F.try_divide(sample - F.sqrt(1 - alpha) * noise, F.sqrt(alpha))
     return clamp(origin, -1.0, 1.0) if clip else origin
 
 
@@ -127,8 +130,8 @@ def gaussian_sigma(kernel: Column) -> Column:
 
 
 def whole_ratio(a: Column, b: Column) -> Column:
-    """a / b where it has no remainder; an error where it has one."""
-    return F.when(a % b == 0, (a / b).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no whole ratio: "), a.cast("string"), F.lit(" / "), b.cast("string"))).cast("long"))
+    """a / b where it has no remainder; an error where it has one or b is 0."""
+    return F.when(F.try_mod(a, b) == 0, F.try_divide(a, b).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no whole ratio: "), a.cast("string"), F.lit(" / "), b.cast("string"))).cast("long"))
 
 
 def unit_range(x: Column, low: float, high: float) -> Column:

@@ -26,9 +26,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """`v` scaled to length 1."""
+    """`v` scaled to length 1; nulls in place of the components of a zero vector."""
     size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / size)
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), size))
 
 
 def with_codebook(vectors: DataFrame, codes: DataFrame, code: str, column: str) -> DataFrame:
@@ -47,9 +47,9 @@ def nearest_code(vectors: DataFrame, codes: DataFrame, id_: str, code: str, colu
 
 
 def cosine_top(vectors: DataFrame, codes: DataFrame, id_: str, code: str, column: str, k: int) -> DataFrame:
-    """id, code, rank: the k codes of the largest cosine, the lowest of equal ones first."""
+    """id, code, rank: the k codes of the largest cosine, the lowest of equal ones first; a zero vector is at cosine 0 to all."""
     own = F.col(column)
-    cosine = lambda c: dot(own, c["v"]) / F.sqrt(dot(own, own) * dot(c["v"], c["v"]))
+    cosine = lambda c: F.coalesce(F.try_divide(dot(own, c["v"]), F.sqrt(dot(own, own) * dot(c["v"], c["v"]))), F.lit(0.0))
     scored = F.transform("_codes", lambda c: F.struct((-F.round(cosine(c), 9)).alias("d"), c["code"].alias("code")))
     top = F.slice(F.array_sort(scored), 1, k)
     return with_codebook(vectors, codes, code, column).select(id_, F.posexplode(top).alias("_at", "_c")).select(id_, F.col("_c.code").alias("code"), (F.col("_at") + 1).alias("rank"))
