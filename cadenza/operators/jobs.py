@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,29 +101,6 @@ def admitted(queue: DataFrame, key: str, queued: str, most: int) -> DataFrame:
     return queue.orderBy(queued, key).limit(most)
 
 
-def monotone_progress(df: DataFrame, keys: tuple[str, ...], seq: str, value: str, step: float = 0.02) -> DataFrame:
-    """keys, seq, emitted: the progress values that are sent on.
-
-    What is emitted depends on the value emitted before, so each key is read once in order; a task holds two numbers.
-    """
-    known = df.filter(F.col(value).isNotNull())  # least and greatest pass over nulls
-    held = known.select(*keys, seq, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value))).cast("double").alias("emitted"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seen, last = None, 0.0, 0.0
-        for pdf in batches:
-            keep = []
-            for *k, p in pdf[[*keys, "emitted"]].itertuples(index=False):
-                if k != key:
-                    key, seen, last = k, 0.0, 0.0
-                ok = p >= seen and (p - last >= step or p >= 1.0)
-                seen, last = max(seen, p), p if ok else last
-                keep.append(ok)
-            yield pdf[keep]
-
-    return held.repartition(*keys).sortWithinPartitions(*keys, seq).mapInPandas(run, held.schema)
-
-
 def cap_per_key(df: DataFrame, keys: tuple[str, ...], order: list[Column], most: int) -> DataFrame:
     """At most `most` rows per key, the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)

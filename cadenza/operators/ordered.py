@@ -67,6 +67,14 @@ def running_sum(df: DataFrame, t: Timeline, cols: dict[str, Column]) -> DataFram
     return joined.select(*df.columns, *[(F.col(f"_prior_{n}") + F.coalesce(F.sum(c).over(upto_here), F.lit(0))).cast("long").alias(n) for n, c in cols.items()])
 
 
+def running_max(df: DataFrame, t: Timeline, cols: dict[str, Column]) -> DataFrame:
+    """`df` plus, by new name, the largest value of an expression in the rows before this one; null where there is none."""
+    aggs = [F.max(c).alias(f"_max_{n}") for n, c in cols.items()]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    joined, own = _attach(df, t, aggs, lambda upto, _: [F.max(f"_max_{n}").over(before(upto)).alias(f"_max_{n}") for n in cols])
+    return joined.select(*df.columns, *[F.greatest(F.col(f"_max_{n}"), F.max(c).over(before(own))).alias(n) for n, c in cols.items()])
+
+
 def numbered(df: DataFrame, t: Timeline, name: str = "idx") -> DataFrame:
     """`df` plus each row's position in its key, from 0."""
     return running_sum(df, t, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,28 +88,6 @@ def preemphasis(df: DataFrame, t: Timeline, value: str, factor: float = 0.97) ->
     return previous(df, t, {"_before": value}).withColumn("z", F.col(value) - F.lit(factor) * F.coalesce("_before", F.lit(0.0))).drop("_before")
 
 
-def recurrence(df: DataFrame, keys: tuple[str, ...], idx: str, value: str, out: str, decay: float, gain: float = 1.0, first_gain: float = 1.0) -> DataFrame:
-    """keys, idx, out: y[t] = gain * x[t] + decay * y[t - 1] in the order of `idx`, and first_gain * x[t] where a key starts.
-
-    Each value needs the one before it, so each key is read once in order; a task holds one number. Values are not null.
-    With decay = factor and gain = 1 it undoes `preemphasis`; with 0.2 and 0.8 it smooths a bias.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, y = None, 0.0
-        for pdf in batches:
-            done = []
-            for *k, x in pdf[[*keys, value]].itertuples(index=False):
-                y = first_gain * x if k != key else gain * x + decay * y
-                key = k
-                done.append(y)
-            yield pdf[[*keys, idx]].assign(**{out: done})
-
-    rows = df.select(*keys, idx, F.col(value).cast("double").alias(value))
-    schema = rows.select(*keys, idx, F.col(value).alias(out)).schema
-    return rows.repartition(*keys).sortWithinPartitions(*keys, idx).mapInPandas(run, schema)
-
-
 def triples(df: DataFrame, t: Timeline, value: str, before: str = "before", after: str = "after") -> DataFrame:
     """`df` plus the values of the rows before and after; null at a key's ends."""
     backwards = [f"cadenza__back{i}" for i in range(len(t.order))]

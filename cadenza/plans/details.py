@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal, text
-from ..operators import faces, gather, jobs, ordered, routing, series
+from ..operators import faces, gather, jobs, ordered, routing, scans, series
 from ..sources import files
 from .registry import micros, query, six, table
 from .timeline import FILLED, FRAMES, KEYS, Fr, filled_frames, frames
@@ -227,14 +227,14 @@ def frame_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FILLED}, L AS (SELECT user_id, list(x ORDER BY idx) AS xs, n FROM Fi JOIN N USING (user_id) GROUP BY user_id, n), K AS (SELECT *, unnest(range(1, n + 1)) AS k FROM L)
 SELECT user_id, k - 1 AS idx, round(list_reduce(xs[1:k], lambda p, b: p * 0.2 + b * 0.8), 6) + 0.0 AS bias FROM K""")
 def bias_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series.recurrence(filled_frames(spark, sf_dir), KEYS, "idx", "x", "bias", 0.2, 0.8)
+    rows = scans.recurrence(filled_frames(spark, sf_dir), KEYS, "idx", "x", "bias", 0.2, 0.8)
     return rows.select("user_id", "idx", six(F.col("bias")).alias("bias"))
 
 
 @query(f"WITH {FILLED} SELECT user_id, idx, round(x, 5) + 0.0 AS x FROM Fi")
 def emphasis_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = series.preemphasis(filled_frames(spark, sf_dir), FRAMES, "x")
-    return series.recurrence(there, KEYS, "idx", "z", "x", 0.97).select("user_id", "idx", (F.round("x", 5) + F.lit(0.0)).alias("x"))
+    return scans.recurrence(there, KEYS, "idx", "z", "x", 0.97).select("user_id", "idx", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query(f"""WITH {Fr}, C AS (SELECT user_id, 9 - (idx % 10) AS chunk, idx // 10 AS pos, event_id FROM Fr) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY chunk, pos) - 1 AS BIGINT) AS at FROM C""")

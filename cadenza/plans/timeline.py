@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gather, intervals, jobs, ordered, series, spectra, vectors
+from ..operators import gather, intervals, jobs, ordered, scans, series, spectra, vectors
 from ..operators.ordered import Timeline
 from .registry import micros, query, six, table
 
@@ -292,10 +292,14 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.illegal_transitions(frames(spark, sf_dir), FRAMES, "event_type", allowed).groupBy("user_id").agg(F.count("*").alias("illegal"))
 
 
-@query()
+@query("""WITH RECURSIVE E AS (SELECT user_id, event_id AS seq, greatest(0, least(1, value / 100)) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+R AS (SELECT user_id, rn, seq, p, p AS seen, CASE WHEN p >= 0.02 THEN p ELSE 0 END AS last, p >= 0.02 AS ok FROM E WHERE rn = 1
+  UNION ALL SELECT E.user_id, E.rn, E.seq, E.p, greatest(seen, E.p), CASE WHEN E.p >= seen AND (E.p - last >= 0.02 OR E.p >= 1) THEN E.p ELSE last END, E.p >= seen AND (E.p - last >= 0.02 OR E.p >= 1)
+  FROM R JOIN E ON E.user_id = R.user_id AND E.rn = R.rn + 1)
+SELECT user_id, seq, p AS emitted FROM R WHERE ok""")
 def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("p"))
-    return jobs.monotone_progress(rows, KEYS, "seq", "p")
+    return scans.throttled(rows, KEYS, "seq", "p")
 
 
 N_FFT, HOP = 16, 4

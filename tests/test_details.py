@@ -27,20 +27,13 @@ def test_negative_index(spark):
     assert got == {-5: (False, None), -4: (True, 0), -1: (True, 30), 0: (True, 0), 3: (True, 30), 4: (False, None)}
 
 
-def test_recurrence_and_triples(spark):
+def test_triples(spark):
     rows = [(k, i, float((i * 7 + len(k)) % 5)) for k in ("a", "bb") for i in range(9)]
     df = spark.createDataFrame(rows, "k string, i long, x double").repartition(3)
-    got = {(r.k, r.i): r.y for r in series.recurrence(df, ("k",), "i", "x", "y", 0.5, 2.0).collect()}
-    for k in ("a", "bb"):
-        y = None
-        for i, x in [(i, x) for kk, i, x in rows if kk == k]:
-            y = x if y is None else 2.0 * x + 0.5 * y
-            assert got[k, i] == pytest.approx(y)
     line = Timeline(("k",), ("i",), 4)
     for r in series.triples(df, line, "x").collect():
         own = {i: x for k, i, x in rows if k == r.k}
         assert (r.before, r.after) == (own.get(r.i - 1), own.get(r.i + 1))
-    assert series.recurrence(df.limit(0), ("k",), "i", "x", "y", 0.5).count() == 0
 
 
 def test_pads_trims_and_joins(spark):

@@ -116,28 +116,6 @@ def test_tail_trim(spark):
     assert [tuple(r) for r in got] == [("word-align", 9_080_000, "trim"), ("none", None, "no-endpoint"), ("word-align", 3_080_000, "below-floor"), ("word-align", 12_000_000, "little-gain")]
 
 
-def plain_progress(values):
-    seen = last = 0.0
-    out = []
-    for p in values:
-        p = min(1.0, max(0.0, p))
-        if p < seen:
-            continue
-        seen = p
-        if p - last >= 0.02 or p >= 1.0:
-            last = p
-            out.append(p)
-    return out
-
-
-def test_monotone_progress(spark):
-    rng = np.random.default_rng(1)
-    series_ = {k: [float(v) for v in np.round(np.sort(rng.random(n)) + rng.normal(0, 0.05, n), 3)] for k, n in (("a", 300), ("b", 1), ("c", 40))}
-    df = spark.createDataFrame([(k, i, v) for k, vs in series_.items() for i, v in enumerate(vs)] + [("c", 99, None)], "k string, i long, v double")
-    got = jobs.monotone_progress(df, ("k",), "i", "v").orderBy("k", "i").collect()
-    assert {k: [r.emitted for r in got if r.k == k] for k in series_} == {k: plain_progress(v) for k, v in series_.items()}
-
-
 def test_gather_pads_and_clamps(spark):
     features = spark.createDataFrame([("a", i, 10 + i) for i in range(3)], "k string, idx long, v long")
     frames = spark.createDataFrame([("a", f, 3) for f in range(3)], "k string, frame long, n long")
