@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .nearest import nearest_by_pivots
+
 CODEBOOK_ROWS = 10_000
 
 
@@ -34,14 +36,16 @@ def unit(v: Column) -> Column:
 def with_codebook(vectors: DataFrame, codes: DataFrame, code: str, column: str) -> DataFrame:
     """`vectors` plus _codes, the array of (code, v) of the whole codebook."""
     if codes.limit(CODEBOOK_ROWS + 1).count() > CODEBOOK_ROWS:
-        raise ValueError(f"a codebook has at most {CODEBOOK_ROWS} rows; use an index for more")
+        raise ValueError(f"a codebook has at most {CODEBOOK_ROWS} rows; nearest.nearest_by_pivots takes more")
     book = codes.select(F.struct(F.col(code).alias("code"), F.col(column).alias("v")).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("_codes"))
     keyed = vectors.withColumn("_one", F.lit(1))
     return keyed.join(F.broadcast(book.withColumn("_one", F.lit(1))), "_one").drop("_one")  # the book is one row
 
 
 def nearest_code(vectors: DataFrame, codes: DataFrame, id_: str, code: str, column: str) -> DataFrame:
-    """id, code: the code at the smallest Euclidean distance, the lowest of equal ones."""
+    """id, code: the code at the smallest Euclidean distance, the lowest of equal ones; a book too large to carry is searched by pivots."""
+    if codes.limit(CODEBOOK_ROWS + 1).count() > CODEBOOK_ROWS:
+        return nearest_by_pivots(vectors, codes, id_, code, column)
     scored = F.transform("_codes", lambda c: F.struct(squared_distance(F.col(column), c["v"]).alias("d"), c["code"].alias("code")))
     return with_codebook(vectors, codes, code, column).select(id_, F.array_min(scored)["code"].alias("code"))
 

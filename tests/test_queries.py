@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cadenza.plans import details, records, streams, timeline  # noqa: F401
+from cadenza.plans import details, exchange, records, streams, timeline  # noqa: F401
 from cadenza.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
