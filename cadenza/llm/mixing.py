@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 #: Weights by the sources' order, repeating.
 WEIGHTS = 3
+#: Rows that are equal are numbered in so many shares.
+SALTS = 64
 #: More distinct sources than this are joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -39,20 +41,44 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", F.round(F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(final * F.col("weight")), 6).alias("target"))
 
 
-def with_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """row (the columns of `docs`), size, source_size, target and copies, the times that the mix takes a row.
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` plus place: 0, 1, 2, .. among the rows of a key, in no particular order; keys that repeat may hold very many rows.
 
-    Null text and text without words have size 0; sources of size 0 get target 0 and no copies. The draw is a hash of
-    the seed and doc_id, so reruns agree; rows that repeat a doc_id share it. An empty table gives an empty result.
+    Rows are numbered in SALTS shares of a key, and the shares' counts added up. Nothing is shuffled but keys where none repeats.
     """
-    sized = boxed(docs).withColumn("size", F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"))
+    repeated = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.lit(True).alias("_more"))
+    if repeated.isEmpty():
+        return rows.withColumn("place", F.lit(0).cast("long"))
+    told = rows.withColumn("_tie", F.monotonically_increasing_id()).join(repeated, key, "left").withColumn("_salt", F.when(F.col("_more"), F.pmod("_tie", F.lit(SALTS))))
+    alone = told.filter(F.col("_more").isNull()).withColumn("place", F.lit(0).cast("long"))
+    more = told.filter("_more").withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_salt").orderBy("_tie")) - 1)
+    shares = told.filter("_more").groupBy(key, "_salt").agg(F.count("*").alias("_n"))  # at most SALTS a key
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = more.join(shares.select(key, "_salt", before.alias("_before")), [key, "_salt"]).withColumn("place", F.col("_before") + F.col("_nth"))
+    return alone.select(*rows.columns, "place").unionByName(numbered.select(*rows.columns, "place"))
+
+
+def with_copies(docs: DataFrame, seed: str = "mix", whole: bool = True) -> DataFrame:
+    """row (the columns of `docs`, or but doc_id and source where not `whole`), size, source_size, target and copies, the times that the mix takes a row.
+
+    Null text and text without words have size 0; sources of size 0 get target 0 and no copies. The draw is a hash of the seed,
+    doc_id, text and the row's place among rows that are equal in these and the source. So reruns agree, rows without a doc_id
+    or with the same one draw apart, and of equal rows as many are taken whatever their order. An empty table gives an empty result.
+    """
+    text = F.coalesce("row.text", F.lit(""))
+    own = F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.md5(text))
+    sized = boxed(docs).withColumns({"size": F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"), "own": own})
     targets = source_targets(sized.select("row.source", "size")).withColumnRenamed("source", "name")
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
-    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("name")))
-    return joined.drop("name").withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "own", F.col("place").cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
+    keyed = sized.withColumn("equal", F.md5(F.concat_ws(":", "own", F.coalesce(F.concat(F.lit("="), F.col("row.source")), F.lit("")))))
+    if not whole:
+        keyed = keyed.withColumn("row", F.struct("row.doc_id", "row.source"))
+    joined = placed(keyed, "equal").join(targets, F.col("row.source").eqNullSafe(F.col("name")))
+    copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return joined.withColumn("copies", copies).select("row", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -63,4 +89,4 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    return with_copies(docs.select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return with_copies(docs.select("doc_id", "text", "source"), whole=False).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

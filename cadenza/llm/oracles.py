@@ -39,7 +39,9 @@ FROM rows GROUP BY conv_id
 
 ORACLES["op7_mixing"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || CAST(row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1 AS VARCHAR) AS own
+  FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -55,7 +57,7 @@ WITH sized AS (
   FROM filled
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+         CAST(CAST('0x' || substr(md5('mix:' || own), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -1,10 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 A word enters as a vector of its hash bucket and as the end states of a gated network run over its characters both ways.
-Windows of WORDS words, each starting STRIDE words after the last, go through a bidirectional network over words;
-attention weighs the positions, and a document's score is that of its worst window. All parts are trained together
-in numpy by backpropagation, on windows of a bounded sample of labelled rows: first every window carries its document's
-label, then only the windows that the network itself finds worst.
+A bidirectional network over words runs through stretches of STRETCH words, which overlap so that every window of WORDS words in a row
+lies in one; attention weighs the positions of each window, whichever word it starts at, and a document's score is that of its
+worst window. All parts are trained together in numpy by backpropagation, on windows of a bounded sample of labelled rows: first
+every window carries its document's label, then only the windows that the network itself finds worst.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from .common import hash_sample
 from .gru import GATES, Adam, Fast, backward, ends_backward, ends_forward, forward, init_direction
 from .language import held_out
 
-WORDS, STRIDE = 16, 8
+#: Words of a window and of a stretch; HOP windows start in a stretch, one at each word.
+WORDS, STRETCH = 16, 32
+HOP = STRETCH - WORDS + 1
 UNITS, CHAR_UNITS, CHAR_DIM, BUCKETS = 12, 12, 8, 4_096
 #: Letters of a word that the character network reads at a time; a longer run of letters is several words.
 LETTERS = 20
 #: Labelled rows of each class that the network is fitted on, those of the smallest hashes, and characters of a row's text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_CHARS = 700, 1_100, 60_000
 #: Windows in a training step, steps of the phases, windows in a pass, words that a task remembers.
-BATCH, FIRST_STEPS, SECOND_STEPS, LAST_STEPS = 256, 250, 500, 100
+BATCH, FIRST_STEPS, SECOND_STEPS, LAST_STEPS = 128, 250, 500, 100
 PASS_ROWS = 4_096
 KNOWN_WORDS = 120_000
 #: What a missed toxic text costs in calibration, in false alarms. This and the steps were chosen by folds of rows that are not held out.
@@ -61,13 +63,24 @@ def char_ids(words: list[str]) -> np.ndarray:
     return np.ascontiguousarray(np.where(codes > 0, 1 + codes % (CHARS - 1), 0).reshape(-1, wide).T)
 
 
-def windows_of(n: int) -> np.ndarray:
-    """(windows, WORDS) positions of all overlapping windows over n words, -1 after the end; none for n = 0."""
-    starts = np.arange(0, max(1, n - WORDS + STRIDE), STRIDE) if n else np.zeros(0, np.int64)
-    at = starts[:, None] + np.arange(WORDS)
+def window_count(n: int) -> int:
+    """Windows of n words: one starts at every word that has a whole window before it ends; a shorter text is one, no words are none."""
+    return max(1, n - WORDS + 1) if n else 0
+
+
+def stretches_of(n: int) -> np.ndarray:
+    """(stretches, STRETCH) positions over n words, -1 after the end: window w lies in stretch w // HOP, from its word w % HOP on."""
+    starts = np.arange(0, window_count(n), HOP)
+    at = starts[:, None] + np.arange(STRETCH)
     return np.where(at < n, at, -1)
 
 
+def window_in(words: list[str], w: int) -> tuple[list[str], int, int]:
+    """The stretch of window w, and where in it the window starts and ends."""
+    first, at = w // HOP * HOP, w % HOP
+    return words[first : first + STRETCH], at, min(at + WORDS, len(words) - first)
+
+
 @dataclass
 class Model:
     p: dict[str, np.ndarray]
@@ -121,14 +134,15 @@ def _attend(p: dict[str, np.ndarray], h: np.ndarray, mask: np.ndarray):
     return pooled @ p["v"] + p["c"][0], (t, w, pooled)
 
 
-def gradients(model: Model, windows: list[list[str]], y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Gradients of the mean logistic loss of windows, and the loss."""
+def gradients(model: Model, windows: list[tuple[list[str], int, int]], y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    """Gradients of the mean logistic loss of windows, each a stretch's words and its bounds in it, and the loss."""
     p = model.p
-    vocab = sorted({w for x in windows for w in x}, key=lambda w: (-len(w), w))
+    vocab = sorted({w for x, _, _ in windows for w in x}, key=lambda w: (-len(w), w))
     number = {w: i for i, w in enumerate(vocab)}
-    ids = np.full((WORDS, len(windows)), -1, np.int64)
-    for r, x in enumerate(windows):
+    ids, own = np.full((STRETCH, len(windows)), -1, np.int64), np.zeros((STRETCH, len(windows)), np.float32)
+    for r, (x, start, end) in enumerate(windows):
         ids[: len(x), r] = [number[w] for w in x]
+        own[start:end, r] = 1
     mask = (ids >= 0).astype(np.float32)
     gates, (feature, buckets, active, tapes) = model.chars(vocab)
     runs, states = {}, []
@@ -138,7 +152,7 @@ def gradients(model: Model, windows: list[list[str]], y: np.ndarray) -> tuple[di
         runs[d] = seen, tape
         states.append(out if d == "f" else out[::-1])
     h = np.concatenate(states, axis=2)
-    logit, (t, w, pooled) = _attend(p, h, mask)
+    logit, (t, w, pooled) = _attend(p, h, own)
     dl = ((1 / (1 + np.exp(-logit))) - y).astype(np.float32) / len(y)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     grads["v"], grads["c"][0] = pooled.T @ dl, dl.sum()
@@ -153,8 +167,8 @@ def gradients(model: Model, windows: list[list[str]], y: np.ndarray) -> tuple[di
     dfeature = np.zeros_like(feature)
     for k, d in enumerate("fb"):
         seen, tape = runs[d]
-        own = dh[:, :, k * UNITS : (k + 1) * UNITS]
-        gU, gI = backward(own if d == "f" else own[::-1], tape, {f"U{g}": p[f"w{d}U{g}"] for g in GATES})
+        side = dh[:, :, k * UNITS : (k + 1) * UNITS]
+        gU, gI = backward(side if d == "f" else side[::-1], tape, {f"U{g}": p[f"w{d}U{g}"] for g in GATES})
         for name, v in gU.items():
             grads[f"w{d}{name}"] = v
         at = np.where(seen < 0, len(vocab), seen).ravel()
@@ -237,7 +251,7 @@ class Scorer:
         return out
 
     def _some(self, texts: list[list[str]]) -> list[np.ndarray]:
-        counts = [len(windows_of(len(t))) for t in texts]
+        counts = [window_count(len(t)) for t in texts]
         rows = []
         for t in texts:
             pieces = range(0, len(t), KNOWN_WORDS) if len(t) > KNOWN_WORDS else (0,)
@@ -254,33 +268,48 @@ class Scorer:
                 at.append(None)
                 continue
             flat.append(np.fromiter(map(get, t), np.intp, len(t)))
-            w = windows_of(len(t))
+            w = stretches_of(len(t))
             at.append(np.where(w < 0, -1, w + base))
             base += len(t)
         words = np.r_[np.concatenate(flat) if flat else np.zeros(0, np.intp), KNOWN_WORDS]
-        ids = np.concatenate([a for a in at if a is not None] or [np.zeros((0, WORDS), np.int64)])
-        got = np.concatenate([self._pass(words[ids[a : a + PASS_ROWS]]) for a in range(0, len(ids), PASS_ROWS)] or [np.zeros(0, np.float32)])
+        ids = np.concatenate([a for a in at if a is not None] or [np.zeros((0, STRETCH), np.int64)])
+        got = np.concatenate([self._pass(words[ids[a : a + PASS_ROWS]]) for a in range(0, len(ids), PASS_ROWS)] or [np.zeros((0, HOP))])
         out, k = [], 0
         for t, a, n in zip(texts, at, counts):
             if a is None:
-                step = KNOWN_WORDS // STRIDE * STRIDE - WORDS
-                out.append(np.concatenate([self._some([t[i : i + step + WORDS - STRIDE]])[0] for i in range(0, len(t), step)]))
+                step = (KNOWN_WORDS - STRETCH) // HOP * HOP
+                out.append(np.concatenate([self._some([t[i : i + step + WORDS - 1]])[0][:step] for i in range(0, n, step)]))
             else:
-                out.append(got[k : k + n])
-                k += n
+                out.append(got[k : k + len(a)].ravel()[:n])
+                k += len(a)
         return out
 
     def _pass(self, ids: np.ndarray) -> np.ndarray:
+        """The logits (stretches, HOP) of the windows that start in each stretch; those over a text's end are of no use."""
         p, n = self.model.p, len(ids)
         ids = np.ascontiguousarray(ids.T)
-        h = np.empty((WORDS, n, 2 * UNITS), np.float32)
-        for d, steps in (("f", range(WORDS)), ("b", range(WORDS - 1, -1, -1))):
+        h = np.empty((STRETCH, n, 2 * UNITS), np.float32)
+        for d, steps in (("f", range(STRETCH)), ("b", range(STRETCH - 1, -1, -1))):
             state = self.net[d].start(n)
             half = slice(0, UNITS) if d == "f" else slice(UNITS, 2 * UNITS)
             for t in steps:
                 self.net[d].step(ids[t], state)
                 h[t, :, half] = state
-        return _attend(p, h, (ids != KNOWN_WORDS).astype(np.float32))[0]
+        flat = h.reshape(-1, 2 * UNITS)
+        e = (np.clip(flat @ p["A"], -1, 1) @ p["a"]).reshape(STRETCH, n).astype(np.float64)
+        e[ids == KNOWN_WORDS] = -np.inf
+        weight = np.exp(e - e.max(axis=0))
+        worth = weight * (flat @ p["v"]).reshape(STRETCH, n)
+        return (self._sums(worth) / np.maximum(self._sums(weight), 1e-300) + p["c"][0]).T
+
+    @staticmethod
+    def _sums(x: np.ndarray) -> np.ndarray:
+        """(HOP, n) sums over WORDS steps in a row from each of the first HOP, by doubling; WORDS is a power of two."""
+        width = 1
+        while width < WORDS:
+            x = x[:-width] + x[width:]
+            width *= 2
+        return x
 
 
 def train(texts: list[str], toxic: list[int], rate: float = 0.5, seed: int = 11) -> Model:
@@ -297,12 +326,12 @@ def train(texts: list[str], toxic: list[int], rate: float = 0.5, seed: int = 11)
     aside = [side if few else side[::5] for side in sides]
     sides = [side if few else [w for i, w in enumerate(side) if i % 5] for side in sides]
 
-    def windows(side: list[list[str]], n: int, worst: list[np.ndarray] | None) -> list[list[str]]:
+    def windows(side: list[list[str]], n: int, worst: list[np.ndarray] | None) -> list[tuple[list[str], int, int]]:
         out = []
         for i in rng.integers(0, len(side), n):
-            count = len(windows_of(len(side[i])))
+            count = window_count(len(side[i]))
             k = int(rng.integers(0, count)) if worst is None else int(worst[i][rng.integers(0, len(worst[i]))])
-            out.append(side[i][k * STRIDE : k * STRIDE + WORDS])
+            out.append(window_in(side[i], k))
         return out
 
     def worst_of(side: list[list[str]], share: float) -> list[np.ndarray]:

@@ -161,6 +161,36 @@ def test_mixing(spark, docs):
     assert {i: n for i, n in taken.items() if n} == +words
 
 
+def test_mixing_draws_rows_apart(spark):
+    """Rows without a doc_id, with the same one, and rows that are wholly equal: a source's taken words come near its target."""
+    texts = [f"w{i} " * 4 for i in range(3_000)]
+    rows = [(None, t, "en", "a", 1) for t in texts] + [(7, t, "en", "b", 1) for t in texts] + [(8, "same words here now", "en", "c", 1)] * 3_000 + [(i, "x y", None, None, 1) for i in range(100, 150)]
+    for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(7)):
+        got = mixing.mix_plan(df).collect()
+        assert len(got) == len(rows)
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r.target, r.source_size] += r.taken
+            target[r.target, r.source_size] = r.target
+            assert r.taken <= 3 * r.size
+        for k, t in target.items():
+            assert abs(taken[k] - t) <= 0.06 * t + 30, (k, taken[k])
+        if df.rdd.getNumPartitions() == 7:
+            assert sorted((r.doc_id or -1, r.size, r.target, r.taken) for r in got) == before
+        before = sorted((r.doc_id or -1, r.size, r.target, r.taken) for r in got)
+    mixed = mixing.mix(frame(spark, rows))
+    assert mixed.columns == frame(spark, rows).columns and abs(mixed.filter("source = 'c'").count() * 4 - taken_of(got, 8)) == 0
+    mixing_alone = mixing.placed(frame(spark, rows).select("doc_id", "text"), "doc_id")
+    places = {}
+    for r in mixing_alone.collect():
+        places.setdefault(r.doc_id, []).append(r.place)
+    assert sorted(places[7]) == list(range(3_000)) and sorted(places[None]) in (list(range(3_000)), [0] * 3_000)
+
+
+def taken_of(rows, doc_id):
+    return sum(r.taken for r in rows if r.doc_id == doc_id and r.size == 4)
+
+
 # chat
 
 
@@ -446,14 +476,14 @@ def test_language(spark):
 
 
 def test_toxicity(spark):
-    """Held-out labels at sf0.1: bounds that hold for other seeds and machines, well below what is usual (README)."""
+    """Held-out labels at sf0.1, within the spread of the folds (README)."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     known = {r.doc_id: r.toxic for r in labels.collect()}
     got = [r for r in toxicity.score(docs, model).collect() if r.held_out and r.doc_id in known]
     toxic, clean = [[r.predicted for r in got if known[r.doc_id] == k] for k in (1, 0)]
     print(f"found {sum(toxic)} of {len(toxic)}, flagged {sum(clean)} of {len(clean)}")
-    assert sum(toxic) >= 0.7 * len(toxic) > 50 and sum(clean) <= 0.06 * len(clean)
+    assert sum(toxic) >= 0.84 * len(toxic) > 50 and sum(clean) <= 0.06 * len(clean)
     edge = {r.doc_id: r for r in toxicity.score(frame(spark), model).collect()}
     assert edge[1].score == edge[2].score == edge[4].score == 0.0 and len(edge) == len(EDGES)
     assert toxicity.toxicity(frame(spark, []), labels.limit(0)).count() == 0
@@ -463,7 +493,7 @@ def test_toxicity_gradients():
     """Every part of the network against differences of its loss."""
     model = toxicity.init(3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    windows = [["bad", "word", "here", "word"], ["fine", "words"], ["x"], ["other", "bad", "longerword"]]
+    windows = [(["bad", "word", "here", "word"], 0, 4), (["fine", "words"], 0, 1), (["x"], 0, 1), (["other", "bad", "longerword"], 1, 3)]
     y = np.array([1.0, 0.0, 0.0, 1.0])
     grads, _ = toxicity.gradients(model, windows, y)
     rng = np.random.default_rng(1)
@@ -485,9 +515,9 @@ def test_scorer_is_the_network():
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(60)]
     got = toxicity.Scorer(model).logits([words])[0]
-    for w, x in zip(toxicity.windows_of(len(words)), got):
-        own = [words[i] for i in w if i >= 0]
-        loss = toxicity.gradients(model, [own], np.zeros(1))[1]  # log(1 + exp(logit))
+    assert len(got) == len(words) - toxicity.WORDS + 1
+    for w, x in enumerate(got):
+        loss = toxicity.gradients(model, [toxicity.window_in(words, w)], np.zeros(1))[1]  # log(1 + exp(logit))
         assert loss == pytest.approx(np.logaddexp(0, x), abs=1e-4)
 
 
@@ -517,10 +547,15 @@ def test_language_scorer_is_the_network():
 
 
 def test_windows_cover_every_word():
+    """A window starts at every word, and lies whole in its stretch."""
     for n in range(1, 70):
-        w = toxicity.windows_of(n)
-        assert {int(i) for i in w.ravel() if i >= 0} == set(range(n))
-    assert len(toxicity.windows_of(0)) == 0
+        words = [str(i) for i in range(n)]
+        assert toxicity.window_count(n) == (n - toxicity.WORDS + 1 if n >= toxicity.WORDS else 1)
+        for w in range(toxicity.window_count(n)):
+            stretch, start, end = toxicity.window_in(words, w)
+            assert stretch[start:end] == words[w : w + toxicity.WORDS] and len(stretch) <= toxicity.STRETCH
+            assert [i for i in toxicity.stretches_of(n)[w // toxicity.HOP] if i >= 0] == list(map(int, stretch))
+    assert toxicity.window_count(0) == len(toxicity.stretches_of(0)) == 0
 
 
 def test_long_text_scores_like_its_parts(monkeypatch):
