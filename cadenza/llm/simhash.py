@@ -299,8 +299,9 @@ LANES = 8
 SKETCH = 64 * LANES
 #: The least probability with which two sketches at the bound of similarity meet in a partition.
 MEET = 0.97
-#: Standard deviations of the distance at the bound that are added to its mean: at the bound itself about 5 in 6 are linked.
-MARGIN = 1.0
+#: Standard deviations of the distance at the bound: sketches so far under its mean are alike without doubt, those so far over it are not;
+#: between them the shingle sets themselves decide.
+SURE, MARGIN = 4.0, 2.0
 #: Rows of a bucket that one task links at a time; those of a bucket that a sample shows to be larger are dealt to several tasks.
 LINK_ROWS = 40_000
 #: Rows up to which all pairs of a bucket are compared at once; more are first held against single ones.
@@ -427,9 +428,9 @@ def _dealt(layout: list[tuple[list[int], int]]):
     return run
 
 
-def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right) positions: rows `i` against all rows, those at most `distance` apart."""
-    found_a, found_b = [], []
+def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, distance) of positions: rows `i` against all rows, those at most `distance` apart."""
+    found_a, found_b, found_far = [], [], []
     for a in range(0, len(i), max(1, PAIRS // max(1, len(words)))):
         own = i[a : a + max(1, PAIRS // max(1, len(words)))]
         far = np.bitwise_count(words[own, 0][:, None] ^ words[None, :, 0])
@@ -443,34 +444,78 @@ def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray,
             x, y, total = x[keep], y[keep], total[keep]
         found_a.append(own[x])
         found_b.append(y)
-    return np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
+        found_far.append(total.astype(np.int64))
+    return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (found_a, found_b, found_far))
 
 
-def link_bucket(node: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links among the rows connect; never more than rows.
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that the edges connect each of n positions with."""
+    label = np.arange(n)
+    node, low = _forest(a, b) if len(a) else (a, b)
+    label[node] = low
+    return label
 
-    In a large bucket single rows are first held against all: what hangs together through them needs no pairs of its own, so only
-    the rows outside the largest group are then compared with all.
+
+def likeliest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of pairs between groups, the places of those to look at first: the nearest of each row, and a least spanning forest of the groups.
+
+    There are fewer than two a row.
+    """
+    order = np.argsort(far, kind="stable")
+    a, b = a[order], b[order]
+    rank = np.r_[np.arange(len(a)), np.arange(len(b))]
+    best = np.full(len(label), len(a))
+    np.minimum.at(best, np.r_[a, b], rank)
+    chosen = [best[best < len(a)]]
+    group = label.copy()
+    while True:
+        x, y = group[a], group[b]
+        cross = np.flatnonzero(x != y)
+        if not len(cross):
+            break
+        least = np.full(len(label), len(a))
+        np.minimum.at(least, np.r_[x[cross], y[cross]], np.r_[cross, cross])
+        taken = np.unique(least[least < len(a)])
+        chosen.append(taken)
+        group = _labels(len(label), x[taken], y[taken])[group]
+    return order[np.unique(np.concatenate(chosen))]
+
+
+def link_bucket(node: np.ndarray, words: np.ndarray, sure: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure) edges: some that connect what sketches at most `sure` apart connect, never more than rows; and of the pairs at most
+    `distance` apart between groups so connected, the likeliest, which are not sure.
+
+    In a large bucket single rows are first held against all: what surely hangs together through them needs no pairs of its own, so
+    only the rows outside the largest group are then compared with all.
     """
     n = len(node)
-    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right, far = (np.zeros(0, np.int64) for _ in range(3))
     rest = np.arange(n)
     if n > ALL_PAIRS:
         open_, seen = np.ones(n, bool), 0
         label = np.arange(n)
         while open_.any() and seen < 64:
-            a, b = _near(words, np.flatnonzero(open_)[:1], distance)
+            a, b, d = _near(words, np.flatnonzero(open_)[:1], sure)
             open_[b] = False
             label[np.isin(label, label[b])] = label[b].min()
-            left, right, seen = np.r_[left, a], np.r_[right, b], seen + 1
+            left, right, far, seen = np.r_[left, a], np.r_[right, b], np.r_[far, d], seen + 1
         rest = np.flatnonzero(label != np.bincount(label).argmax())
-    a, b = _near(words, rest, distance)
-    a, b = np.r_[left, a], np.r_[right, b]
+    a, b, d = _near(words, rest, distance)
+    a, b, d = np.r_[left, a], np.r_[right, b], np.r_[far, d]
     differ = node[a] != node[b]
-    return _forest(node[a[differ]], node[b[differ]]) if differ.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _linked(distance: int):
+    a, b, d = a[differ], b[differ], d[differ]
+    close = d <= sure
+    x, y = _forest(node[a[close]], node[b[close]]) if close.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    label = _labels(n, a[close], b[close])
+    a, b, d = a[~close], b[~close], d[~close]
+    between = label[a] != label[b]
+    a, b, d = a[between], b[between], d[between]
+    some = likeliest(label, a, b, d)
+    p, q = node[a[some]], node[b[some]]
+    return np.r_[x, np.minimum(p, q)], np.r_[y, np.maximum(p, q)], np.r_[np.ones(len(x), bool), np.zeros(len(p), bool)]
+
+
+def _linked(sure: int, distance: int):
     """Rows arrive by (bucket, i, j); emits edges."""
     key = ["bucket", "i", "j"]
 
@@ -482,14 +527,15 @@ def _linked(distance: int):
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             count = np.diff(np.r_[start, len(keys)])
             node, kept = table.column("node").to_numpy(), table.column("sketch")
-            found_a, found_b = [], []
+            found_a, found_b, found_sure = [], [], []
             for a, n in zip(start[count > 1].tolist(), count[count > 1].tolist()):
                 words = np.frombuffer(b"".join(kept.slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
-                x, y = link_bucket(node[a : a + n], words, distance)
+                x, y, s = link_bucket(node[a : a + n], words, sure, distance)
                 found_a.append(x)
                 found_b.append(y)
+                found_sure.append(s)
             if found_a and sum(map(len, found_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b, found_sure)], ["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -511,9 +557,11 @@ def _linked(distance: int):
 
 
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) among (node, sketch) rows: their components are those of all links that meet in a partition."""
+    """Edges (a, b, sure) among (node, sketch) rows that meet in a partition: the components of the sure ones are those of all sketches
+    that are alike without doubt; the others are pairs that may be alike."""
     differ = apart(similarity)
-    distance = int(SKETCH * differ + MARGIN * np.sqrt(SKETCH * differ * (1 - differ)))
+    mean, deviation = SKETCH * differ, np.sqrt(SKETCH * differ * (1 - differ))
+    sure, distance = int(mean - SURE * deviation), int(mean + MARGIN * deviation)
     n = nodes.count()
     some = nodes.filter(F.xxhash64("node") / 2.0**64 + 0.5 <= min(1.0, 2 * SEEN / max(1, n))).orderBy(F.xxhash64("node"), "node").limit(SEEN)
     sample = np.frombuffer(b"".join(r[0] for r in some.select("sketch").collect()), np.uint64).reshape(-1, LANES)  # SEEN rows
@@ -531,21 +579,64 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
         dealt = home.select("bucket", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "node", "sketch")
     else:
         dealt = dealt.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "sketch")
-    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked(distance), "a long, b long")
+    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked(sure, distance), "a long, b long, sure boolean")
     return written(met.distinct(), "similar-links")
 
 
+#: Rows up to which a list of documents to look at again is broadcast: two numbers each.
+BROADCAST_LEADS = 1_000_000
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (a, b) of `pairs` whose shingle sets have that Jaccard similarity; `nodes` has (node, lead struct(doc_id, text_hash)).
+
+    Only the texts of nodes in a pair are read again, one of each.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    leads = written(nodes.select("node", "lead.doc_id", "lead.text_hash").join(asked, "node"), "doubtful")
+    small = leads.count() <= BROADCAST_LEADS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("text_hash"), "text").alias("d")
+    same = (F.col("d.text_hash") == F.col("l.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    found = rows.join((F.broadcast(leads) if small else leads).alias("l"), same).select("l.node", "d.text")
+    sets = written(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(judged, "a long, b long")
+
+
 def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, with all their columns as they are, that stay: of each group the one of the smallest doc_id.
 
-    Texts are linked when their sketches speak for a Jaccard similarity of their shingle sets of `similarity` or more; groups are
-    what links connect. Sets of equal hashes are alike; texts without words are alike, and null counts as one. A null doc_id ranks
-    below all others. Of rows that share the smallest doc_id of a group, one of the smallest text hash stays; rows that repeat
-    whole are one document; an empty table stays empty.
+    Texts are linked when their shingle sets have a Jaccard similarity of `similarity` or more: by their sketches where these leave no
+    doubt, else by the sets themselves; groups are what links connect. Sets of equal hashes are alike; texts without words are
+    alike, and null counts as one. A null doc_id ranks below all others. Of rows that share the smallest doc_id of a group, one of
+    the smallest text hash stays; rows that repeat whole are one document; an empty table stays empty.
     """
     rows = written(sketches(docs, width), "sketches")
     nodes = written(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("lead")), "distinct-sketches")
-    parts = components(similar_links(nodes.select("node", "sketch"), similarity))
+    links = similar_links(nodes.select("node", "sketch"), similarity)
+    sure = links.filter("sure").select("a", "b")
+    parts = components(sure)
+    group = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    known = links.filter("not sure").join(group("a"), "a", "left").join(group("b"), "b", "left")
+    doubt = written(known.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "doubtful-pairs")
+    if not doubt.isEmpty():
+        parts = components(written(sure.unionByName(alike(docs, nodes, doubt, width, similarity)), "all-links"))
     leads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("lead").alias("lead"))
     return keep_leads(docs, written(leads.select("lead.doc_id", "lead.text_hash"), "leaders"))
 

@@ -59,6 +59,26 @@ def test_similar_texts_meet_and_others_stay(spark):
     assert {i: t for i, t in rows if i in kept} == kept
 
 
+def test_pairs_around_the_bound(spark):
+    """Pairs of 200 words of any similarity: those of 0.8 and more are found, and none below it goes."""
+    rng = np.random.default_rng(8)
+    rows, jaccard = [], {}
+    for k in range(900):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        other = list(own)
+        for at in rng.integers(0, 200, rng.integers(1, 12)):
+            other[at] = f"y{rng.integers(0, 10**6)}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        a, b = plain_set(rows[-2][1]), plain_set(rows[-1][1])
+        jaccard[2 * k + 1] = len(a & b) / len(a | b)
+    kept = stage(spark, rows)
+    near = [i for i, j in jaccard.items() if j >= 0.8]
+    close = [i for i in near if jaccard[i] < 0.82]
+    assert len(near) > 200 and len(close) > 20 and 900 - len(near) > 300
+    assert all(i in kept for i in range(0, 1_800, 2)) and all(i in kept for i, j in jaccard.items() if j < 0.8)
+    assert sum(i not in kept for i in close) >= 0.9 * len(close) and sum(i not in kept for i in near) >= 0.97 * len(near)
+
+
 def test_columns_and_empty(spark):
     names = ("node", "size", "component", "row", "text_hash", "sketch", "lead", "a", "b", "bucket", "_id", "_text")
     docs = spark.createDataFrame([(1, "a b", "en", "a", 1)] * 2 + [(None, "c d", "en", "a", 1)], DOCS).withColumns({c: F.col("doc_id") + 7 for c in names})
@@ -89,7 +109,7 @@ def test_links_of_a_bucket(monkeypatch, all_pairs):
             w[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
         words.append(w)
     words = np.array(words)
-    a, b = simhash.link_bucket(np.arange(200), words, 40)
+    a, b, sure = simhash.link_bucket(np.arange(200), words, 40, 70)
     far = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2)
 
     def components(pairs):
@@ -100,7 +120,16 @@ def test_links_of_a_bucket(monkeypatch, all_pairs):
         return label.tolist()
 
     x, y = np.nonzero(far <= 40)
-    assert len(a) < 200 and components(list(zip(a, b))) == components([p for p in zip(x, y) if p[0] < p[1]])
+    pairs = [p for p in zip(x, y) if p[0] < p[1]]
+    assert sure.sum() < 200 and components(list(zip(a[sure], b[sure]))) == components(pairs)
+    doubtful = list(zip(a[~sure], b[~sure]))
+    assert doubtful and all(40 < far[p] <= 70 for p in doubtful)
+    x, y = np.nonzero(far <= 70)
+    assert components(list(zip(a, b))) == components([p for p in zip(x, y) if p[0] < p[1]])  # if all were alike
+    label = components(pairs)
+    for i in range(200):  # each row's nearest of another group is looked at
+        others = [(far[i, j], j) for j in range(200) if label[i] != label[j] and far[i, j] <= 70]
+        assert not others or all_pairs == 3 or any(far[p] <= min(others)[0] for p in doubtful if i in p)
 
 
 def test_thresholds_reach_the_bound():
