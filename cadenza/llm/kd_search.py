@@ -2,8 +2,8 @@
 
 A coarse tree of median splits over a bounded sample deals vectors to cells, large cells to shards of bounded size; each shard
 holds a KD-tree of median splits whose nodes carry tight bounding boxes. A query first searches one shard of its own cell;
-the kth score found there is propagated: a shard whose root box is bounded below it is never sent, and in the others the
-open node with the largest box-to-query bound is expanded first until none can reach that score or a better kth one.
+the kth score found there is propagated: cells whose box is bounded below it are passed over with all their shards, of the
+others the shards whose root box is; and in those that are left the open node with the largest box-to-query bound is expanded first until none can reach that score or a better kth one.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ SHARD_ROWS = 4_096
 BLOCK_ROWS = 128
 LEAF_ROWS = 64
 SCALE = 1024
-#: Vectors and numbers of the sample that the cells are split on; the most cells.
-SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS = 8_192, 1 << 22, 1_024
-#: Numbers in the root boxes of all shards up to which they are sent to every task; beyond, every query visits every shard.
-BOX_NUMBERS = 1 << 23
+#: Vectors and numbers of the sample that the cells are split on; the most cells, and numbers in their boxes, which go to every task.
+SAMPLE_ROWS, SAMPLE_NUMBERS, CELLS, BOX_NUMBERS = 32_768, 1 << 22, 8_192, 1 << 23
 LEAST = -(2**63)
 
 
@@ -148,6 +146,16 @@ def _tree_of(dim: int, kind: str):
     return run
 
 
+def _cell_box(dim: int):
+    """The box around the root boxes of a cell's shards, and how many there are."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = (_matrix(pdf[c], dim, "int64") for c in ("low", "high"))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "subs": [len(pdf)], "low": [low.min(axis=0).tolist()], "high": [high.max(axis=0).tolist()]})
+
+    return run
+
+
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -196,7 +204,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     most = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, dim)))
     some = candidates.filter(F.xxhash64("vec_id") / 2.0**64 + 0.5 <= min(1.0, 4 * most / max(1, n))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
     sample = _matrix(pd.Series([np.array(r[0]) for r in some.select("v").collect()], dtype=object), dim, "int64")  # bounded by SAMPLE_ROWS
-    depth = min(CELLS.bit_length() - 1, max(0, -(-n // SHARD_ROWS) - 1).bit_length(), max(0, len(sample) // 4).bit_length())
+    most_cells = min(CELLS, max(1, BOX_NUMBERS // max(1, 2 * dim)))
+    depth = min(most_cells.bit_length() - 1, max(0, -(-n // SHARD_ROWS) - 1).bit_length(), max(0, len(sample) // 4).bit_length())
     cells = Cells(sample, depth)
     placed = written(_in_cells(candidates, cells, dim), "cells")
     subs = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2 * SHARD_ROWS)).cast("int").alias("subs"))  # at most CELLS rows
@@ -207,25 +216,32 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     first = written(_searched(home, trees, k, dim, kind), "home-scores")
     kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     bounded = home.drop("floor").join(kth, "vec_id", "left").select("cell", "vec_id", "v", F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(LEAST)).alias("floor"))
-    shards = trees.count()
-    if shards * dim * 2 <= BOX_NUMBERS:
-        boxes = trees.select("cell", "sub", "low", "high").orderBy("cell", "sub").toPandas()  # bounded by BOX_NUMBERS
-        sent = spark.sparkContext.broadcast((boxes["cell"].to_numpy(), boxes["sub"].to_numpy(), *(_matrix(boxes[c], dim, kind) for c in ("low", "high"))))
-
-        def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cell, sub, low, high = sent.value
-            for pdf in batches:
-                for a in range(0, len(pdf), BLOCK_ROWS):
-                    part = pdf.iloc[a : a + BLOCK_ROWS]
-                    near = box_bounds(_matrix(part["v"], dim, kind), low, high) >= part["floor"].to_numpy()[:, None]
-                    near &= (cell[None] != part["cell"].to_numpy()[:, None]) | (sub[None] != 0)
-                    i, j = np.nonzero(near)
-                    yield pd.DataFrame({"cell": cell[j], "sub": sub[j], "vec_id": part["vec_id"].to_numpy()[i], "v": part["v"].to_numpy()[i], "floor": part["floor"].to_numpy()[i]})
-
-        others = bounded.mapInPandas(reaching, "cell int, sub int, vec_id long, v array<long>, floor long")
-    else:
-        every = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(max(r[0] for r in subs.select("subs").collect()) - 1)), lambda s: F.struct(c.alias("cell"), s.alias("sub"))))))
-        others = bounded.withColumnRenamed("cell", "own").withColumn("to", every).filter("to.cell != own or to.sub != 0").select("to.cell", "to.sub", "vec_id", "v", "floor")
+    root = trees.select("cell", "sub", "low", "high")
+    boxes = root.groupBy("cell").applyInPandas(_cell_box(dim), "cell int, subs int, low array<long>, high array<long>").orderBy("cell").toPandas()  # at most CELLS rows
+    sent = spark.sparkContext.broadcast((boxes["cell"].to_numpy(), boxes["subs"].to_numpy(), *(_matrix(boxes[c], dim, kind) for c in ("low", "high"))))
+
+    def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, subs, low, high = sent.value
+        for pdf in batches:
+            for a in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[a : a + BLOCK_ROWS]
+                near = box_bounds(_matrix(part["v"], dim, kind), low, high) >= part["floor"].to_numpy()[:, None]
+                own = part["cell"].to_numpy()
+                near &= (cell[None] != own[:, None]) | (subs[None] > 1)
+                i, j = np.nonzero(near)
+                yield pd.DataFrame({"own": own[i], "cell": cell[j], "subs": subs[j], "vec_id": part["vec_id"].to_numpy()[i], "v": part["v"].to_numpy()[i], "floor": part["floor"].to_numpy()[i]})
+
+    def open_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            q, low, high = (_matrix(pdf[c], dim, kind) for c in ("v", "low", "high"))
+            keep = (np.maximum(q, 0) * high + np.minimum(q, 0) * low).sum(axis=1) >= pdf["floor"].to_numpy()
+            yield pdf[["cell", "sub", "vec_id", "v", "floor"]][keep]
+
+    asked = "cell int, sub int, vec_id long, v array<long>, floor long"
+    reached = written(bounded.mapInPandas(reaching, "own int, cell int, subs int, vec_id long, v array<long>, floor long"), "reached")
+    whole = reached.filter("subs = 1").select("cell", F.lit(0).alias("sub"), "vec_id", "v", "floor")
+    parts = reached.filter("subs > 1").join(root, "cell").filter("cell != own or sub != 0").drop("own", "subs").mapInPandas(open_boxes, asked)
+    others = whole.unionByName(parts)
     found = first.unionByName(_searched(written(others, "asked"), trees, k, dim, kind))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

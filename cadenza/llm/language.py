@@ -16,14 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, positional, quoted, renamed
+from .common import cut, hash_sample, positional, quoted, renamed
 from .gru import GATES, Adam, Fast, backward, forward, init_direction
 
 WINDOW = 64
 UNITS = 8
 #: Labelled rows of a language that the network is fitted on, those of the smallest hashes; languages, those of the most rows;
-#: characters of a row's text; windows drawn from each language.
-SAMPLE_ROWS, LANGS, FIT_CHARS = 600, 500, 20_000
+#: characters of a row's text, and of all rows together; windows drawn from each language.
+SAMPLE_ROWS, LANGS, FIT_CHARS, ALL_CHARS = 600, 500, 20_000, 1 << 26
 LANG_WINDOWS = 1_600
 EPOCHS = 6
 #: Windows in one pass, and bytes of text gathered before a pass.
@@ -158,15 +158,17 @@ class Scorer:
 def fit(docs: DataFrame) -> Model:
     """A model from labelled rows that are not held out: at most SAMPLE_ROWS of each of the LANGS most frequent labels.
 
-    Of a text over FIT_CHARS characters a stretch of that length, from a place given by its hash, is learned.
+    Of a text over FIT_CHARS characters a stretch of that length, from a place given by its hash, is learned; with so many rows that
+    they could pass ALL_CHARS, of shorter stretches.
     """
     digest = F.xxhash64("text")
     known = docs.select("doc_id", "lang", "text", digest.alias("digest")).filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     picked = hash_sample(known, ["doc_id", "digest"], SAMPLE_ROWS, "lang", LANGS)  # ids, not texts
-    at = 1 + F.pmod(F.col("digest"), F.greatest(F.lit(1), F.length("text") - FIT_CHARS + 1)).cast("int")
-    picked = picked.toDF("of", "id", "learned")
+    picked = cut(picked.toDF("of", "id", "learned"))
+    chars = max(WINDOW, min(FIT_CHARS, ALL_CHARS // max(1, picked.count())))
+    at = 1 + F.pmod(F.col("digest"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int")
     found = known.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("digest") == F.col("learned")))
-    pieces = found.select("id", "of", "learned", F.substring("text", at, F.lit(FIT_CHARS)).alias("text"))
+    pieces = found.select("id", "of", "learned", F.substring("text", at, F.lit(chars)).alias("text"))
     rows = pieces.dropDuplicates(["id", "of", "learned"]).orderBy("id", "of", "learned").collect()  # bounded by the sample
     return train([r.text for r in rows], [r.of for r in rows])
 

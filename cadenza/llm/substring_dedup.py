@@ -368,7 +368,7 @@ def _hot_windows(spans: DataFrame, length: int) -> DataFrame:
 def _hot_anchors(texts: DataFrame, length: int) -> DataFrame:
     """(kmer, hot) of the anchors that hold more than HOT_SHARE of the spans of about HOT_TEXTS texts."""
     step = max(1, texts.count() // HOT_TEXTS)
-    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    some = texts.filter(F.pmod(F.xxhash64("doc_id", "rep"), F.lit(step)) == 0)  # rows that share an id are sampled apart
     counts = written(some.mapInPandas(_spans(length), SPANS).filter("not sure").groupBy("kmer").count(), "anchor-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     return counts.filter(F.col("count") > max(4, int(total * HOT_SHARE))).select("kmer", F.lit(True).alias("hot"))

@@ -230,10 +230,9 @@ def plain_top(vectors, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("boxes", [1 << 23, 0])
-@pytest.mark.parametrize("scale", [8, 0.125, 2.0**-17])
+@pytest.mark.parametrize("boxes, scale", [(1 << 23, 8), (1 << 23, 2.0**-17), (0, 0.125), (80, 8)])
 def test_top_k(spark, monkeypatch, boxes, scale):
-    """Small, large and very large numbers, ties, a vector that a third of the rows share, with and without pruned shards."""
+    """Small, large and very large numbers, ties, a vector that a third of the rows share, with many cells, few of many shards, and one."""
     monkeypatch.setattr(kd_search, "SHARD_ROWS", 20)
     monkeypatch.setattr(kd_search, "BLOCK_ROWS", 2)
     monkeypatch.setattr(kd_search, "BOX_NUMBERS", boxes)
@@ -250,6 +249,22 @@ def test_exact_kinds():
     assert kd_search.box_bounds(q, np.array([[0, -(2**40)]]).astype("object"), np.array([[2**40, 2**40]]).astype("object"))[0, 0] == 2**80 + 2**81
 
 
+def test_shards_are_passed_over(spark, monkeypatch):
+    """In cells of several shards, too, a query is sent to few of them."""
+    monkeypatch.setattr(kd_search, "SHARD_ROWS", 25)
+    monkeypatch.setattr(kd_search, "CELLS", 16)
+    asked = []
+    searched = kd_search._searched
+    monkeypatch.setattr(kd_search, "_searched", lambda rows, *a: (asked.append(rows.count()), searched(rows, *a))[1])
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 9
+    vectors = [(i, [float(x) for x in centres[i % 16] + rng.normal(size=8) / 8]) for i in range(3_000)]
+    df = kd_search.scaled(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    got = kd_search.top_k(df, df.filter("vec_id % 100 = 0"))
+    assert sorted(rows_of(got)) == plain_top([(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors])
+    assert asked[0] == 30 and asked[1] < 30 * 16
+
+
 def test_top_k_edges(spark):
     odd = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (100, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [1.0, 1.0])]
     df = kd_search.scaled(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
