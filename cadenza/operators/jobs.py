@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Timeline, last_known, previous, running_sum
+from .ordered import Timeline, framed, last_known, previous
 from .routing import small
 
 # The stages in order, and wall seconds per source second of a lip-sync backend.
@@ -70,12 +70,12 @@ def observed_remaining(progress: Column, elapsed: Column) -> Column:
     return F.when((elapsed >= 3) & (progress > 0.02), F.bround((1 - progress) * elapsed / progress, 0))
 
 
-def stage_elapsed(df: DataFrame, t: Timeline, stage: str, at: str) -> DataFrame:
-    """`df` plus elapsed, the time since the running stage last changed."""
-    changed = F.when(F.col("_stage").eqNullSafe(F.col(stage)), 0).otherwise(1)
-    runs = running_sum(previous(df, t, {"_stage": stage}), t, {"_run": changed}).drop("_stage")
-    starts = runs.groupBy(*t.keys, "_run").agg(F.min(at).alias("_start"))
-    return runs.join(starts, [*t.keys, "_run"]).withColumn("elapsed", F.col(at) - F.col("_start")).drop("_run", "_start")
+def stage_elapsed(df: DataFrame, t: Timeline, stage: str, at: str, idx: str = "_pos") -> DataFrame:
+    """`df` plus elapsed, the time since the running stage last changed, and each row's number in its key where `idx` is named."""
+    told = framed(df, t, idx, before={"_stage": stage})
+    began = F.when((F.col(idx) == 0) | ~F.col("_stage").eqNullSafe(F.col(stage)), F.col(at))
+    rows = last_known(told, t, {"_start": began})
+    return rows.withColumn("elapsed", F.col(at) - F.col("_start")).drop("_stage", "_start", "_pos")
 
 
 def weighted_progress(phase: Column, share: Column) -> Column:

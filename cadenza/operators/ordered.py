@@ -120,6 +120,39 @@ def filled(df: DataFrame, t: Timeline, cols: list[str]) -> DataFrame:
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+def framed(df: DataFrame, t: Timeline, idx: str = "idx", fill: tuple[str, ...] = (), n: str | None = None, before: dict[str, str] | None = None) -> DataFrame:
+    """`numbered`, `filled`, `counted` and `previous` at once: rows are dealt, and their slices summed up, one time for all.
+
+    `before` takes column values, as they are after filling, from the row before.
+    """
+    place, before = F.struct(*t.order), before or {}
+    known = lambda c: F.when(F.col(c).isNotNull(), place)
+    aggs = [F.count("*").alias("_rows"), *[F.max_by(F.col(c), known(c)).alias(f"_last_{c}") for c in fill], *[F.min_by(F.col(c), known(c)).alias(f"_first_{c}") for c in fill]]
+    plain = [c for c in before.values() if c not in fill]
+    if plain:
+        aggs.append(F.max_by(F.struct(*plain), place).alias("_tail"))
+
+    def outs(upto: WindowSpec, whole: WindowSpec) -> list[Column]:
+        prior, every = upto.rowsBetween(Window.unboundedPreceding, -1), upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = [F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_prior"), F.sum("_rows").over(whole).alias("_n")]
+        for c in fill:
+            out += [F.last(f"_last_{c}", True).over(prior).alias(f"_last_{c}"), F.first(f"_first_{c}", True).over(every).alias(f"_first_{c}")]
+        return out + ([F.lag("_tail").over(upto).alias("_tail")] if plain else [])
+
+    joined, own = _attach(df, t, aggs, outs)
+    here = own.rowsBetween(Window.unboundedPreceding, 0)
+    held = {c: F.coalesce(F.last(c, True).over(here), F.col(f"_last_{c}"), F.col(f"_first_{c}")) for c in fill}
+    at = F.col("_prior") + F.row_number().over(own) - 1
+    rows = joined.withColumns({f"_held_{c}": e for c, e in held.items()} | {"_idx": at.cast("long")})
+    past = []
+    for name, c in before.items():
+        if c in fill:  # the row before, or what the slices before leave behind, or, before the first known value, that
+            past.append(F.when(F.col("_idx") > 0, F.coalesce(F.lag(f"_held_{c}").over(own), F.col(f"_last_{c}"), F.col(f"_first_{c}"))).alias(name))
+        else:
+            past.append(F.when(F.row_number().over(own) == 1, F.col("_tail")[c]).otherwise(F.lag(c).over(own)).alias(name))
+    return rows.select(*[F.col(f"_held_{c}").alias(c) if c in fill else F.col(c) for c in df.columns], F.col("_idx").alias(idx), *([F.col("_n").alias(n)] if n else []), *past)
+
+
 def neighbourhoods(df: DataFrame, keys: tuple[str, ...], idx: str, before: int, after: int, block: int = 4_096) -> tuple[DataFrame, WindowSpec]:
     """Rows dealt to blocks of `block` positions, with copies of the neighbours that a block needs.
 

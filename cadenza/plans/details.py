@@ -9,7 +9,7 @@ from ..functions import signal, text
 from ..operators import faces, gather, jobs, ordered, routing, scans, series
 from ..sources import files
 from .registry import micros, query, six, table
-from .timeline import FILLED, FRAMES, KEYS, Fr, filled_frames, frames
+from .timeline import FILLED, FRAMES, KEYS, SEGMENTS, Fr, emphasised, filled_frames, frames, points
 
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' WHEN 'click' THEN 'running' ELSE 'queued' END"
 
@@ -95,16 +95,20 @@ def media_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH P AS (SELECT unnest(range(0, 24)) AS pos), C AS (SELECT unnest(range(0, 8)) AS i)
-SELECT pos, 'halves' AS form, i AS channel, round(sin(pos * exp(-ln(10000.0::DOUBLE) / 7 * i)), 6) + 0.0 AS s, round(cos(pos * exp(-ln(10000.0::DOUBLE) / 7 * i)), 6) + 0.0 AS c FROM P, C
-UNION ALL SELECT pos, 'turns', i, round(sin(pos * exp(2 * i * (-ln(10000.0::DOUBLE) / 16))), 6) + 0.0, round(cos(pos * exp(2 * i * (-ln(10000.0::DOUBLE) / 16))), 6) + 0.0 FROM P, C""")
+@query(f"""WITH {Fr}, P AS (SELECT user_id, idx AS pos FROM Fr), C AS (SELECT unnest(range(0, 8)) AS i)
+SELECT user_id, pos, 'halves' AS form, i AS channel, round(sin(pos * exp(-ln(10000.0::DOUBLE) / 7 * i)), 6) + 0.0 AS s, round(cos(pos * exp(-ln(10000.0::DOUBLE) / 7 * i)), 6) + 0.0 AS c FROM P, C
+UNION ALL SELECT user_id, pos, 'turns', i, round(sin(pos * exp(2 * i * (-ln(10000.0::DOUBLE) / 16))), 6) + 0.0, round(cos(pos * exp(2 * i * (-ln(10000.0::DOUBLE) / 16))), 6) + 0.0 FROM P, C""")
 def position_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds of table, 24 positions of 16 channels."""
-    rows = spark.range(24).select(F.col("id").alias("pos"))
-    halves = rows.withColumn("t", signal.sinusoids(F.col("pos"), 16, True)).select("pos", F.lit("halves").alias("form"), F.posexplode(F.arrays_zip(F.slice("t", 1, 8).alias("s"), F.slice("t", 9, 8).alias("c"))).alias("channel", "v"))
+    """Both kinds of table row, of 16 channels, for the position of every frame."""
+    rows = frames(spark, sf_dir).select("user_id", F.col("idx").alias("pos"))
     at = F.sequence(F.lit(0), F.lit(7))
-    turns = rows.withColumn("t", signal.sinusoids(F.col("pos"), 16, False)).select("pos", F.lit("turns").alias("form"), F.posexplode(F.transform(at, lambda i: F.struct(F.element_at("t", 2 * i + 1).alias("s"), F.element_at("t", 2 * i + 2).alias("c")))).alias("channel", "v"))
-    return halves.unionByName(turns).select("pos", "form", F.col("channel").cast("long").alias("channel"), six(F.col("v.s")).alias("s"), six(F.col("v.c")).alias("c"))
+    halves, turns = signal.sinusoids(F.col("pos"), 16, True), signal.sinusoids(F.col("pos"), 16, False)
+    pair = lambda t, s, c: F.transform(at, lambda i: F.struct(F.element_at(t, s(i)).alias("s"), F.element_at(t, c(i)).alias("c")))
+    both = rows.withColumns({"h": halves, "t": turns}).select("user_id", "pos", F.explode(F.array(
+        F.struct(F.lit("halves").alias("form"), pair("h", lambda i: i + 1, lambda i: i + 9).alias("rows")), F.struct(F.lit("turns").alias("form"), pair("t", lambda i: 2 * i + 1, lambda i: 2 * i + 2).alias("rows"))
+    )).alias("of"))
+    out = both.select("user_id", "pos", "of.form", F.posexplode("of.rows").alias("channel", "v"))
+    return out.select("user_id", "pos", "form", F.col("channel").cast("long").alias("channel"), six(F.col("v.s")).alias("s"), six(F.col("v.c")).alias("c"))
 
 
 _FLAGS = ["1", "True", " off", "", None, "maybe"]
@@ -193,8 +197,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = filled_frames(spark, sf_dir).select("user_id", "idx", "c")
-    return ordered.counted(rows, FRAMES), rows
+    rows = ordered.framed(points(spark, sf_dir), SEGMENTS, fill=("x", "y", "c"), n="n").select("user_id", "idx", "c", "n")
+    return rows, rows.drop("n")
 
 
 @query(f"""WITH {FILLED}, A AS (SELECT user_id, n, unnest([-1, 0, 5, -n - 1, n]) AS asked FROM N), P AS (SELECT *, CASE WHEN asked < 0 THEN asked + n ELSE asked END AS idx FROM A)
@@ -233,7 +237,7 @@ def bias_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILLED} SELECT user_id, idx, round(x, 5) + 0.0 AS x FROM Fi")
 def emphasis_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = series.preemphasis(filled_frames(spark, sf_dir), FRAMES, "x")
+    there = emphasised(spark, sf_dir)
     return scans.recurrence(there, KEYS, "idx", "z", "x", 0.97).select("user_id", "idx", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 

@@ -4,7 +4,9 @@ timers, and selection over score rows. Queries write below the shared folder and
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..sources import files, progress
 from ..streaming import timers
 from .registry import query, six, table
 from .streams import finished, stream_of
-from .timeline import KEYS, filled_frames, frames
+from .timeline import KEYS, frames
 
 WAVES = 3
 
@@ -55,11 +57,11 @@ CHUNK = 7
 
 @query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS n, CAST(event_id AS VARCHAR) AS id,
 CASE event_type WHEN 'view' THEN 'stage_progress' WHEN 'purchase' THEN 'message' ELSE event_type END AS event,
-CASE WHEN event_id % 3 = 0 THEN props || chr(10) || 'é: ' || event_type ELSE props END AS data FROM events WHERE event_id % 5 <> 0 OR user_id % 2 = 0""")
+CASE WHEN event_id % 3 = 0 THEN props || chr(10) || 'é: ' || event_type ELSE props END AS data FROM events""")
 def sse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of users as frames, cut into pieces of seven bytes and parsed again; clients of odd users resume with what is not theirs left out."""
+    """Events of users as frames, some after a comment, cut into pieces of seven bytes and parsed again."""
     c = F.col
-    rows = table(spark, sf_dir, "events").filter("event_id % 5 <> 0 or user_id % 2 = 0")
+    rows = table(spark, sf_dir, "events")
     name = F.when(c("event_type") == "view", "stage_progress").when(c("event_type") != "purchase", c("event_type"))
     data = F.when(c("event_id") % 3 == 0, F.concat("props", F.lit("\r\né: "), "event_type")).otherwise(c("props"))
     wire = F.concat(F.when(c("event_id") % 4 == 0, ": a comment\n\n").otherwise(""), sse.frame(name, data, c("event_id"))).cast("binary")
@@ -189,3 +191,103 @@ SELECT l_orderkey, coalesce(ln(sum(exp(p)) FILTER (token >= 4)) > max(p) FILTER
 def timestamp_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("token"), (-F.col("l_discount").cast("double") * 10 - F.when(F.col("l_linenumber") < 4, 0).otherwise(1e-12)).alias("p"))
     return hypotheses.timestamps_forced(rows, ["l_orderkey"], "token", "p", 4)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS job_id, max(event_id) AS last, 'lipsynced.mp4' AS output_path, true AS passthrough FROM events WHERE user_id % 3 = 0 AND event_type <> 'error' GROUP BY user_id""")
+def passthrough_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs without a lip-sync backend hand their video on, with their provenance columns."""
+    rows = table(spark, sf_dir, "events").withColumn("backend", F.when(F.col("user_id") % 3 == 0, "none").otherwise("wav2lip"))
+    jobs_ = rows.groupBy(F.col("user_id").cast("string").alias("job_id"), "backend").agg(F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("last"))
+    handed = out.passthrough(jobs_, "job_id", "last", "backend")
+    folder = shared_path(spark, "passthrough")
+    out.outputs(handed, folder)
+    return spark.read.parquet(folder).select("job_id", "last", "output_path", "passthrough")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job documents of users: their event types as stages, in the order of their names; some users have none, or no status."""
+    rows = table(spark, sf_dir, "events")
+    stages = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    stage = F.struct(F.col("event_type").alias("name"), F.when(F.col("last") % 2 == 0, "done").otherwise("running").alias("status"), F.col("n").alias("duration_ms"))
+    docs = stages.groupBy("user_id").agg(F.array_sort(F.collect_list(stage)).alias("stages"), F.sum("n").alias("n"))  # an event type each
+    own = F.when(F.col("user_id") % 5 != 0, F.col("stages"))
+    return docs.select(F.col("user_id").cast("string").alias("job_id"), F.when(F.col("user_id") % 4 != 0, "running").alias("status"), F.col("n").cast("double").alias("source_duration_seconds"), own.alias("stages"))
+
+
+@query("""WITH S AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL), R AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INTEGER) AS pos, event_type AS name, CASE WHEN last % 2 = 0 THEN 'done' ELSE 'running' END AS stage_status, n AS duration_ms FROM S WHERE user_id % 5 <> 0),
+D AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS seconds FROM events GROUP BY user_id)
+SELECT CAST(D.user_id AS VARCHAR) AS job_id, CASE WHEN D.user_id % 4 <> 0 THEN 'running' END AS status, seconds, CAST(NULL AS VARCHAR) AS error, pos, name, stage_status, duration_ms FROM D LEFT JOIN R USING (user_id)""")
+def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job documents written as JSON and read back with the defaults of what they lack, and their stages."""
+    folder = shared_path(spark, "jobs")
+    out.as_json(_documents(spark, sf_dir)).write.text(folder)
+    docs = spark.read.schema(files.JOBS).json(folder).withColumn("stages", F.coalesce("stages", F.array().cast(f"array<{files.STAGE}>")))
+    stages = files.stages(docs).select("job_id", "pos", "name", F.col("status").alias("stage_status"), "duration_ms")
+    return docs.select("job_id", "status", F.col("source_duration_seconds").alias("seconds"), "error").join(stages, "job_id", "left").select("job_id", "status", "seconds", "error", "pos", "name", "stage_status", "duration_ms")
+
+
+@query(r"""WITH D AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n') AS l FROM documents), S AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS pos FROM D)
+SELECT CAST(doc_id AS VARCHAR) AS job_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(pos AS DOUBLE) AS start, text, len(string_split(text, ' ')) AS words FROM S""")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as the segments of transcripts, written as JSON and read by the next stage."""
+    rows = table(spark, sf_dir, "documents")
+    words = lambda t: F.transform(F.split(t, " "), lambda w: F.struct(F.lit(None).cast("double").alias("start"), w.alias("text")))
+    segments = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct((i + 1).cast("double").alias("start"), (i + 2).cast("double").alias("end"), t.alias("text"), words(t).alias("words")))
+    folder = shared_path(spark, "transcripts")
+    out.as_json(rows.select(F.col("doc_id").cast("string").alias("job_id"), F.col("lang").alias("language"), segments.alias("segments"))).write.text(folder)
+    back = files.segments(spark.read.schema(files.TRANSCRIPTS).json(folder))
+    return back.select("job_id", "pos", "start", "text", F.size("words").cast("long").alias("words"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS clip, idx, CAST(event_id % 300 AS INTEGER) AS x1, CASE WHEN event_id % 7 <> 0 THEN value / 100 END AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx FROM events) WHERE user_id % 4 > 1""")
+def detection_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of clips as cached documents: of a quarter of the clips the version is old, of another the text is cut off."""
+    rows = frames(spark, sf_dir)
+    box = F.array(*[(F.col("event_id") % 300 + k).cast("int") for k in (0, 10, 50, 90)])
+    frame = F.struct(F.col("idx").alias("index"), box.alias("bbox"), (F.col("x") / 100).alias("score"))
+    docs = rows.groupBy("user_id").agg(F.collect_list(frame).alias("frames"))  # one document holds one clip
+    doc = F.to_json(F.struct(F.when(F.col("user_id") % 4 == 0, 1).otherwise(files.CACHE_VERSION).alias("schema"), F.lit("scrfd").alias("detector"), F.col("user_id").cast("string").alias("video"), "frames"))
+    cut = F.when(F.col("user_id") % 4 == 1, F.substring(doc, F.lit(1), F.length(doc) - 3)).otherwise(doc)
+    return files.detections(docs.select(cut.alias("value"))).select("clip", "idx", F.col("bbox")[0].alias("x1"), "score")
+
+
+@query("""WITH L AS (SELECT user_id, CAST(sum(length(event_type) + 1) - 1 AS BIGINT) AS n FROM events GROUP BY user_id)
+SELECT 'job-' || user_id || CASE WHEN user_id % 3 = 0 THEN '.mp4' ELSE '.txt' END AS name, n AS length, true AS safe, CASE WHEN user_id % 3 <> 0 THEN 'extension' WHEN n > 400 THEN 'size' END AS reject_reason FROM L""")
+def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of its event types for each user, listed without being read, and which of them could be uploaded again."""
+    folder = shared_path(spark, "artifacts")
+    home = plain_path(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            os.makedirs(home, exist_ok=True)
+            for name, text in zip(pdf["name"], pdf["text"]):
+                with open(f"{home}/{name}", "w") as f:
+                    f.write(text)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    name = F.concat(F.lit("job-"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 == 0, ".mp4").otherwise(".txt"))
+    texts = table(spark, sf_dir, "events").groupBy(name.alias("name")).agg(F.array_join(F.collect_list("event_type"), "\n").alias("text"))  # a file is one text
+    texts.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    listed = files.uploads(files.artifacts(spark, folder), 400)
+    return listed.select("name", "length", files.safe_name(F.col("name")).alias("safe"), "reject_reason")
+
+
+@query("""WITH D AS (SELECT doc_id, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n FROM documents)
+SELECT 'tsv' AS form, lang || chr(9) || count(*) || chr(9) || sum(n) AS line FROM D GROUP BY lang
+UNION ALL SELECT 'json', '{"lang":"' || lang || '","n":' || count(*) || ',"chars":' || sum(n) || '}' FROM D GROUP BY lang""")
+def report_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures as a TSV list and as JSON, as they stand in the files written."""
+    rows = table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    tsv, json = shared_path(spark, "report-tsv"), shared_path(spark, "report-json")
+    out.tsv(rows, tsv)
+    out.as_json(rows).write.text(json)
+    both = [spark.read.text(path).select(F.lit(form).alias("form"), F.col("value").alias("line")) for form, path in (("tsv", tsv), ("json", json))]
+    return both[0].unionByName(both[1])
+
+
+@query("""WITH E AS (SELECT count(value) AS n, avg(value) AS m, max(value) AS x FROM events), L AS (SELECT [('mean', m), ('max', x)] AS l FROM E)
+SELECT CAST(0 AS INTEGER) AS pos, 'Values' AS text UNION ALL SELECT 1, '  mean:  ' || lpad(printf('%.2f', m), 8, ' ') || '   max:   ' || lpad(printf('%.2f', x), 8, ' ') FROM E UNION ALL SELECT 2, '  none:         -' """)
+def readable_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = table(spark, sf_dir, "events").agg(F.avg("value").alias("m"), F.max("value").alias("x"), F.lit(None).cast("double").alias("nothing"))
+    return out.stability_report(stats, {"mean": "m", "max": "x", "none": "nothing"}, "Values")

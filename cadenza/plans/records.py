@@ -197,12 +197,23 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("item_id", F.size("w").cast("long").alias("heard"), align.align(F.col("words"), F.col("expected")).alias("a")).select("item_id", "heard", "a.*")
 
 
-@query()
+_TOKENS = lambda c: rf"""list_filter(list_transform(regexp_split_to_array({c}, '\s+'), lambda w: regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: w <> '')"""
+_ALIGNED = f"""B AS (SELECT item_id, {_TOKENS('b.text')} AS x, {_TOKENS('d.text')} AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+A AS (SELECT item_id, x, w, 0 AS i, 0 AS pos, 0 AS misses, CAST(NULL AS BIGINT) AS last_end, false AS done FROM B
+  UNION ALL SELECT item_id, x, w, i + 1, CASE WHEN hit THEN pos + 1 ELSE pos END, CASE WHEN hit THEN 0 ELSE misses + 1 END, CASE WHEN hit THEN (i + 1) * 250000 ELSE last_end END, NOT hit AND misses + 1 >= 3 AND last_end IS NOT NULL
+  FROM (SELECT *, coalesce(w[i + 1] = x[pos + 1] OR (length(w[i + 1]) >= 3 AND starts_with(x[pos + 1], w[i + 1])) OR (length(x[pos + 1]) >= 3 AND starts_with(w[i + 1], x[pos + 1])), false) AS hit FROM A) WHERE i < len(w) AND pos < len(x) AND NOT done),
+R AS (SELECT item_id, len(w) AS heard, CAST(pos AS BIGINT) AS matched, len(x) AS expected_n, last_end FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i DESC) AS r FROM A) WHERE r = 1)"""
+
+
+@query(f"WITH RECURSIVE {_ALIGNED} SELECT * FROM R")
 def align_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ALIGNED}, T AS (SELECT *, CASE WHEN matched / greatest(1, expected_n) >= 0.5 THEN last_end END AS tier1, CASE WHEN heard % 3 <> 0 THEN heard * 200000 END AS seg, heard * 300000 AS current, expected_n * 250000 AS source FROM R),
+C AS (SELECT *, CASE WHEN tier1 IS NULL THEN seg WHEN seg IS NULL THEN tier1 ELSE greatest(tier1, seg) END AS chosen FROM T), X AS (SELECT *, CASE WHEN chosen IS NOT NULL THEN least(current, chosen + 80000) END AS trim_to FROM C)
+SELECT item_id, CASE WHEN chosen IS NULL THEN 'none' WHEN coalesce(chosen = tier1, false) THEN 'word-align' ELSE 'vad-segment' END AS tier, CAST(trim_to AS BIGINT) AS trim_to,
+  CASE WHEN chosen IS NULL THEN 'no-endpoint' WHEN source > 0 AND trim_to < source * 0.5 THEN 'below-floor' WHEN current - trim_to < 100000 THEN 'little-gain' ELSE 'trim' END AS action FROM X""")
 def tail_trim_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _aligned(spark, sf_dir)
     current = F.col("heard") * 300_000

@@ -51,8 +51,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.numbered(points(spark, sf_dir), SEGMENTS)
 
 
+def emphasised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`filled_frames` plus z, x less what its factor leaves of the frame before."""
+    rows = ordered.framed(points(spark, sf_dir), SEGMENTS, fill=("x", "y", "c"), before={"px": "x"})
+    return rows.withColumn("z", F.col("x") - F.lit(0.97) * F.coalesce("px", F.lit(0.0))).drop("px")
+
+
 def filled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.filled(frames(spark, sf_dir), FRAMES, ["x", "y", "c"])
+    return ordered.framed(points(spark, sf_dir), SEGMENTS, fill=("x", "y", "c"))
 
 
 @query(f"WITH {_islands(ISLAND_GAP)} SELECT user_id, island, s AS first_s, e AS last_e, n FROM P")
@@ -195,7 +201,7 @@ def missing_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(user_id, frame, n) of every frame, and the features (user_id, idx, c)."""
-    rows = ordered.counted(filled_frames(spark, sf_dir), FRAMES)
+    rows = ordered.framed(points(spark, sf_dir), SEGMENTS, fill=("x", "y", "c"), n="n")
     return rows.select("user_id", F.col("idx").alias("frame"), "n"), rows.select("user_id", "idx", "c")
 
 
@@ -258,7 +264,7 @@ def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILLED} SELECT user_id, idx, round(x - 0.97 * coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY idx), 0), 6) + 0.0 AS z FROM Fi")
 def preemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.preemphasis(filled_frames(spark, sf_dir), FRAMES, "x").select("user_id", "idx", six(F.col("z")).alias("z"))
+    return emphasised(spark, sf_dir).select("user_id", "idx", six(F.col("z")).alias("z"))
 
 
 @query(f"""WITH {Fr}, T AS (SELECT user_id, idx // 3 AS g, x AS x1, y AS y1, CASE idx % 3 WHEN 1 THEN 10 ELSE 0 END AS x2, CASE idx % 3 WHEN 2 THEN 10 ELSE 0 END AS y2 FROM Fr WHERE x IS NOT NULL),
@@ -277,7 +283,7 @@ def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 R AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY idx) AS run FROM L), E AS (SELECT *, (s_us - min(s_us) OVER (PARTITION BY user_id, run)) // 1000000 AS e, (idx % 50) / 50.0::DOUBLE AS p FROM R)
 SELECT user_id, idx, CASE WHEN e >= 3 AND p > 0.02 THEN round_even((1 - p) * e / p, 0) + 0.0 END AS remaining FROM E""")
 def eta_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs.stage_elapsed(frames(spark, sf_dir), FRAMES, "event_type", "s_us")
+    rows = jobs.stage_elapsed(points(spark, sf_dir), SEGMENTS, "event_type", "s_us", "idx")
     return rows.select("user_id", "idx", (jobs.observed_remaining((F.col("idx") % 50) / F.lit(50.0), F.expr("elapsed div 1000000")) + F.lit(0.0)).alias("remaining"))
 
 
@@ -314,15 +320,38 @@ def stft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("user_id", "frame", F.posexplode("magnitude").alias("bin", "m")).select("user_id", "frame", F.col("bin").cast("long").alias("bin"), (F.round("m", 4) + F.lit(0.0)).alias("magnitude"))
 
 
-@query()
+def _basis(low: float = 0.0, high: float | None = None) -> str:
+    """The bands' weights as SQL rows (band, bin, w); `spectra.mel_basis` is tested by itself."""
+    rows = [(b, k, float(w)) for b, row in enumerate(spectra.mel_basis(64, N_FFT, 4, low, high)) for k, w in enumerate(row)]
+    return "(VALUES " + ", ".join(f"({b}, {k}, {w!r}::DOUBLE)" for b, k, w in rows) + ") M(band, bin, w)"
+
+
+_HANN, _DFT = f"(0.5 - 0.5 * cos(2 * pi() * p / {N_FFT}))", f"pow(sum(v * cos(2 * pi() * bin * p / {N_FFT})), 2) + pow(sum(v * sin(2 * pi() * bin * p / {N_FFT})), 2)"
+
+
+@query(f"""WITH {FILLED}, X AS (SELECT Fi.user_id, n, idx, unnest(list_distinct([idx, CASE WHEN idx BETWEEN 1 AND {N_FFT // 2} THEN -idx END, CASE WHEN 2 * (n - 1) - idx BETWEEN n AND n + {N_FFT // 2 - 1} THEN 2 * (n - 1) - idx END])) AS place, x FROM Fi JOIN N USING (user_id) WHERE n > {N_FFT // 2}),
+A AS (SELECT *, unnest(range(0, n // {HOP})) AS frame FROM X WHERE place IS NOT NULL), W AS (SELECT user_id, frame, p, x * {_HANN} AS v FROM (SELECT *, place - (frame * {HOP} - {N_FFT // 2}) AS p FROM A) WHERE p >= 0 AND p < {N_FFT}),
+B AS (SELECT unnest(range(0, {N_FFT // 2 + 1})) AS bin), P AS (SELECT user_id, frame, bin, {_DFT} AS power FROM W, B GROUP BY ALL),
+L AS (SELECT user_id, frame, band, log10(greatest(1e-10::DOUBLE, sum(power * w))) AS level FROM P JOIN {_basis()} USING (bin) GROUP BY ALL)
+SELECT user_id, frame, CAST(band AS BIGINT) AS band, round((greatest(level, max(level) OVER (PARTITION BY user_id) - 8) + 4) / 4, 5) + 0.0 AS mel FROM L""")
 def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra.log_mel_spectrogram(filled_frames(spark, sf_dir), KEYS, "idx", "x", rate=64, n_fft=N_FFT, hop=HOP, bands=4)
+    mel = spectra.log_mel_spectrogram(filled_frames(spark, sf_dir), KEYS, "idx", "x", rate=64, n_fft=N_FFT, hop=HOP, bands=4)
+    return _by_band(mel)
 
 
-@query()
+def _by_band(mel: DataFrame) -> DataFrame:
+    rows = mel.select("user_id", "frame", F.posexplode("mel").alias("band", "m"))
+    return rows.select("user_id", "frame", F.col("band").cast("long").alias("band"), (F.round("m", 5) + F.lit(0.0)).alias("mel"))
+
+
+@query(f"""WITH {FILLED}, Z AS (SELECT user_id, idx, n, x - 0.97::DOUBLE * coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY idx), 0) AS z FROM Fi JOIN N USING (user_id)),
+A AS (SELECT *, unnest(range(0, n // {HOP} + 1)) AS frame FROM Z), W AS (SELECT user_id, frame, p, z * {_HANN} AS v FROM (SELECT *, idx - (frame * {HOP} - {N_FFT // 2}) AS p FROM A) WHERE p >= 0 AND p < {N_FFT}),
+B AS (SELECT unnest(range(0, {N_FFT // 2 + 1})) AS bin), P AS (SELECT user_id, frame, bin, sqrt({_DFT}) AS magnitude FROM W, B GROUP BY ALL),
+L AS (SELECT user_id, frame, band, sum(magnitude * w) AS m FROM P JOIN {_basis(1.0, 30.0)} USING (bin) GROUP BY ALL)
+SELECT user_id, frame, CAST(band AS BIGINT) AS band, round(least(1, greatest(0, (20 * log10(greatest(1e-5::DOUBLE, m)) - 20 + 100) / 100)), 5) + 0.0 AS mel FROM L""")
 def mel_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = series.preemphasis(filled_frames(spark, sf_dir), FRAMES, "x")
-    return spectra.mel_spectrogram(signal, KEYS, "idx", "z", rate=64, n_fft=N_FFT, hop=HOP, bands=4, low=1.0, high=30.0)
+    signal = emphasised(spark, sf_dir)
+    return _by_band(spectra.mel_spectrogram(signal, KEYS, "idx", "z", rate=64, n_fft=N_FFT, hop=HOP, bands=4, low=1.0, high=30.0))
 
 
 #: Where the five points of a face lie in its picture of 512 by 512 pixels. Fixed values.

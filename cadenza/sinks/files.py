@@ -32,3 +32,20 @@ def tsv(df: DataFrame, path: str) -> None:
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text per row, null fields left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def passthrough(jobs: DataFrame, job: str, source: str, backend: str, name: str = "lipsynced.mp4") -> DataFrame:
+    """job, source, output_path, passthrough, watermark, metadata_comment: jobs whose backend is none hand their input on as it is.
+
+    The copy keeps its provenance columns like any other output; nothing is made of it yet, so it needs no comment of its own.
+    """
+    own = jobs.filter((F.col(backend) == "none") & F.col(source).isNotNull())
+    return own.select(job, source, F.lit(name).alias("output_path"), F.lit(True).alias("passthrough"), F.lit(False).alias("watermark"), F.lit(None).cast("string").alias("metadata_comment"))
+
+
+def stability_report(stats: DataFrame, columns: dict[str, str], title: str) -> DataFrame:
+    """line (pos, text): a row of figures as a person reads it, two to a line; null figures say that there is none."""
+    cell = lambda n: F.concat(F.rpad(F.lit(f"{n}:"), 7, " "), F.when(F.col(columns[n]).isNotNull(), F.lpad(F.format_string("%.2f", F.col(columns[n]).cast("double")), 8, " ")).otherwise(F.lit("       -")))
+    names = list(columns)
+    pairs = [F.concat_ws("   ", *map(cell, names[i : i + 2])) for i in range(0, len(names), 2)]
+    return stats.select(F.posexplode(F.array(F.lit(title), *[F.concat(F.lit("  "), p) for p in pairs])).alias("pos", "text"))
