@@ -108,3 +108,22 @@ def timestamps_forced(scores: DataFrame, keys: list[str], token: str, logprob: s
     stamp, p = F.col(token) >= first_timestamp, F.col(logprob)
     together = F.log(F.sum(F.when(stamp, F.exp(p))))
     return scores.groupBy(*keys).agg(F.coalesce(together > F.max(F.when(~stamp, p)), F.count_if(stamp) > 0).alias("forced"))
+
+
+def temperature_ladder(first: float = 0.0, increment: float | None = 0.2, last: float = 1.0) -> list[float]:
+    """The temperatures that a decoder tries in turn; without an increment but the first."""
+    return [first] if increment is None else [first + i * increment for i in range(int((last + 1e-6 - first) / increment) + 1)]
+
+
+def accepted(results: DataFrame, keys: list[str], temperature: str, ratio: str, logprob: str, silence: str, most_ratio: float | None = 2.4, least_logprob: float | None = -1.0, most_silence: float | None = 0.6) -> DataFrame:
+    """The row of `results` that counts for each of `keys`, plus failed and silent: of the first temperature whose text neither repeats itself
+    nor is unlikely, or, where all fail, of the last.
+
+    A threshold that is None is not asked for; unknown figures pass. A text that is unlikely and likely to be silence is silent.
+    """
+    over = F.lit(False) if most_ratio is None else F.coalesce(F.col(ratio) > most_ratio, F.lit(False))
+    unlikely = F.lit(False) if least_logprob is None else F.coalesce(F.col(logprob) < least_logprob, F.lit(False))
+    quiet = F.lit(False) if most_silence is None else F.coalesce(F.col(silence) > most_silence, F.lit(False))
+    told = results.withColumns({"failed": over | unlikely, "silent": quiet & unlikely})
+    order = F.struct("failed", F.when(F.col("failed"), -F.col(temperature)).otherwise(F.col(temperature)))
+    return told.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in told.columns if c not in keys]), order).alias("cadenza__row")).select(*keys, "cadenza__row.*")

@@ -291,3 +291,31 @@ SELECT CAST(0 AS INTEGER) AS pos, 'Values' AS text UNION ALL SELECT 1, '  mean:
 def readable_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = table(spark, sf_dir, "events").agg(F.avg("value").alias("m"), F.max("value").alias("x"), F.lit(None).cast("double").alias("nothing"))
     return out.stability_report(stats, {"mean": "m", "max": "x", "none": "nothing"}, "Values")
+
+
+@query("""WITH G AS (SELECT l_orderkey, l_linenumber, max(l_quantity) / 10 AS ratio, -20 * max(l_discount) AS p, max(l_tax) * 10 AS quiet FROM lineitem GROUP BY ALL),
+R AS (SELECT l_orderkey, (l_linenumber - 1) * 0.2::DOUBLE AS t, ratio > 2.4 OR p < -1 AS failed, quiet > 0.6 AND p < -1 AS silent FROM G)
+SELECT l_orderkey, round(arg_min(t, o), 6) + 0.0 AS temperature, arg_min(failed, o) AS failed, arg_min(silent, o) AS silent FROM (SELECT *, struct_pack(f := failed, t := CASE WHEN failed THEN -t ELSE t END) AS o FROM R) GROUP BY l_orderkey""")
+def temperature_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the results of an order's decodings at rising temperatures."""
+    c = lambda n: F.col(n).cast("double")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(n).alias(n) for n in ("l_quantity", "l_discount", "l_tax")])
+    rows = lines.select("l_orderkey", ((F.col("l_linenumber") - 1) * F.lit(0.2)).alias("t"), (c("l_quantity") / 10).alias("ratio"), (-20 * c("l_discount")).alias("p"), (c("l_tax") * 10).alias("quiet"))
+    best = hypotheses.accepted(rows, ["l_orderkey"], "t", "ratio", "p", "quiet")
+    return best.select("l_orderkey", six(F.col("t")).alias("temperature"), "failed", "silent")
+
+
+_AT = lambda ms, mark: f"printf('%02d:%02d:%02d{mark}%03d', {ms} // 3600000, ({ms} // 60000) % 60, ({ms} // 1000) % 60, {ms} % 1000)"
+_BLOCK = lambda head, mark: f"string_agg({head}{_AT('a', mark)} || ' --> ' || {_AT('b', mark)} || chr(10) || t || chr(10) || chr(10), '' ORDER BY n)"
+
+
+@query(f"""WITH S AS (SELECT user_id, event_type || ' -> ' || event_id AS t, 3600000 + event_id * 1000 AS a, 3600500 + event_id * 1000 AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+F AS (SELECT user_id, string_agg(replace(t, ' -> ', ' --> ') || chr(10), '' ORDER BY n) AS txt, 'WEBVTT' || chr(10) || chr(10) || {_BLOCK('', '.')} AS vtt, {_BLOCK("n || chr(10) || ", ',')} AS srt FROM S GROUP BY user_id)
+SELECT user_id || '.txt' AS name, txt AS text FROM F UNION ALL SELECT user_id || '.vtt', vtt FROM F UNION ALL SELECT user_id || '.srt', srt FROM F""")
+def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as segments, a second apart from the first hour on, in the three forms of subtitle files."""
+    folder = shared_path(spark, "subtitles")
+    start = 3_600_000 + F.col("event_id") * 1000
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), start.alias("start"), (start + 500).alias("end"), F.concat(F.lit(" "), "event_type", F.lit(" --> "), F.col("event_id").cast("string"), F.lit(" ")).alias("text"))
+    published.subtitle_files(rows, folder, "file", "start", "end", "text")
+    return spark.read.option("pathGlobFilter", "*.[tvs][xtr]t").text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))

@@ -1,7 +1,7 @@
 """Files that appear whole or not at all: tasks stage them, and the driver's commit makes them visible in one step.
 
 `cache`: entries by key, in Parquet; a manifest names the files of a commit, the last commit of a key wins, and what no manifest names
-(a task that died, a job that was aborted) is a miss. `npy`: one array file for each group of rows. The folder must be mounted at
+(a task that died, a job that was aborted) is a miss. `npy`, `lines`: one array or text file for each group of rows. The folder must be mounted at
 the same place on driver and executors.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..functions import text as forms_of
+from ..operators.ordered import Timeline, numbered
 from ..operators.shared import plain_path
 
 COMMIT = "version long, files array<string>"
@@ -109,6 +111,36 @@ class ArrayWriter(_Staging):
                 os.replace(path, f"{self.folder}/{place}")
 
 
+class LineWriter(_Staging):
+    """Rows (place, line) in order, a file's together; each line ends with a line end."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        done, out, now = [], None, None
+        for batch in iterator:
+            for place, line in zip(batch.column("place").to_pylist(), batch.column("line").to_pylist()):
+                if place != now:
+                    if out:
+                        out.close()
+                    now = place
+                    done.append((self.staged(".lines"), place))
+                    out = open(done[-1][0], "w", encoding="utf-8")  # noqa: SIM115  closed when the next file begins
+                out.write(f"{line}\n")
+        if out:
+            out.close()
+        return StagedFiles(done)
+
+    commit = ArrayWriter.commit
+
+
+class LineFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "line_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> _Staging:
+        return LineWriter(self.options)
+
+
 class PublishedCache(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -152,6 +184,21 @@ def published(spark: SparkSession, path: str, key: str, schema: str | StructType
     return rows.groupBy(F.col(f"row.{key}").alias("cadenza__key")).agg(F.max_by("row", F.struct("version", "cadenza__file")).alias("row")).select("row.*")
 
 
+def subtitle_files(segments: DataFrame, path: str, file: str, start: str, end: str, text: str, width: int = 3_600_000) -> None:
+    """`<file>.txt`, `.vtt` and `.srt` below `path` of the segments of each file in the order of `start`, all files of a job or none.
+
+    Times are whole milliseconds, of which `width` make a slice; equal starts go by end, then text. A null text is an empty one.
+    """
+    segments.sparkSession.dataSource.register(LineFiles)
+    rows = numbered(segments.select(F.col(file).alias("file"), F.col(start).alias("at"), F.col(end).alias("to"), F.coalesce(F.col(text), F.lit("")).alias("text")), Timeline(("file",), ("at", "to", "text"), width))
+    begin, stop = F.col("at") / 1000, F.col("to") / 1000
+    forms = {"txt": forms_of.strip(F.col("text")), "vtt": forms_of.vtt_block(begin, stop, F.col("text")), "srt": forms_of.srt_block(F.col("idx") + 1, begin, stop, F.col("text"))}
+    lines = rows.select("file", "idx", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("line")) for k, v in forms.items()])).alias("l")).select("file", "idx", "l.*")
+    heads = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("idx"), F.lit("vtt").alias("form"), F.lit("WEBVTT\n").alias("line"))
+    placed = lines.unionByName(heads).select(F.concat("file", F.lit("."), "form").alias("place"), "idx", "line")
+    placed.repartition("place").sortWithinPartitions("place", "idx").write.format("line_files").mode("append").save(path)
+
+
 def dump_arrays(df: DataFrame, path: str) -> None:
     """`.npy` files `<folder>/<name>.npy` below `path`, of (folder, name, idx, values): rows of one width in the order of idx.
 

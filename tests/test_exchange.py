@@ -136,6 +136,25 @@ def test_array_dumps(spark, tmp_path):
     assert not [p for p in (tmp_path / "bad").rglob("*.npy") if "staged" not in str(p)]
 
 
+def test_subtitle_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1_500, 2_000, " one --> two "), ("a", 0, 1_500, "first"), ("b", 3_600_000, 3_601_001, None)], "f string, s long, e long, t string").repartition(3)
+    published.subtitle_files(rows, str(tmp_path), "f", "s", "e", "t")
+    read = lambda n: (tmp_path / n).read_text()
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_file()) == ["a.srt", "a.txt", "a.vtt", "b.srt", "b.txt", "b.vtt"]
+    assert read("a.txt") == "first\none --> two\n" and read("b.txt") == "\n"
+    assert read("a.vtt") == "WEBVTT\n\n00:00.000 --> 00:01.500\nfirst\n\n00:01.500 --> 00:02.000\none -> two\n\n"
+    assert read("b.srt") == "1\n01:00:00,000 --> 01:00:01,001\n\n\n"
+
+
+def test_ladder(spark):
+    assert hypotheses.temperature_ladder() == pytest.approx([0, 0.2, 0.4, 0.6, 0.8, 1.0]) and hypotheses.temperature_ladder(0.3, None) == [0.3]
+    rows = [("a", 0.0, 3.0, -0.5, 0.1), ("a", 0.2, 2.0, -0.5, 0.1), ("a", 0.4, 1.0, -0.1, 0.1), ("b", 0.0, 1.0, -2.0, 0.9), ("b", 0.2, 1.0, -1.5, 0.7), ("c", 0.0, None, None, None)]
+    df = spark.createDataFrame(rows, "k string, t double, r double, p double, q double")
+    got = {x.k: (x.t, x.failed, x.silent) for x in hypotheses.accepted(df, ["k"], "t", "r", "p", "q").collect()}
+    assert got == {"a": (0.2, False, False), "b": (0.2, True, True), "c": (0.0, False, False)}
+    assert {x.k: x.t for x in hypotheses.accepted(df, ["k"], "t", "r", "p", "q", None, None, None).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+
+
 # codebooks
 
 
