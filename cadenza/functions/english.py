@@ -60,10 +60,9 @@ def _lexicon() -> dict[str, tuple[str, int, str]]:
 LEXICON = _lexicon()
 # How written numbers stand beside letters, endings and money, and what is said for a half.
 DIGITS = re.compile(r"\d+(\.\d+)?\Z")
-HALF = re.compile(r"\band\s+a\s+half\b")
+HALF = ["and", "a", "half"]
 APART = [(re.compile(r"([a-z])([0-9])"), r"\1 \2"), (re.compile(r"([0-9])([a-z])"), r"\1 \2"), (re.compile(r"([0-9])\s+(st|nd|rd|th|s)\b"), r"\1\2")]
-WHOLE_AND_CENTS = re.compile(r"([€£$])([0-9]+) (?:and )?¢([0-9]{1,2})\b")
-ONLY_CENTS = re.compile(r"[€£$]0.([0-9]{1,2})\b")
+WHOLE, CENTS, LESS_THAN_ONE = re.compile(r"[€£$]\d+"), re.compile(r"¢(\d{1,2})"), re.compile(r"[€£$]0\.(\d{1,2})")
 ALONE = re.compile(r"\b1(s?)\b")
 MARKS = "-+£€$¢"
 
@@ -95,19 +94,31 @@ def _kind_of(word: str) -> Token:
 
 
 def typed(words: list[str]) -> list[Token]:
-    """The tokens of a text: words whose part depends on their neighbours are settled here, once."""
-    raw, out, skip = [_kind_of(w) for w in words], [], False
+    """The tokens of a text: words whose part depends on their neighbours are settled here, once.
+
+    A half after a spelled-out number is its decimal place; after another word it stays as it is said, and with nothing before it, or
+    but another half, it says nothing.
+    """
+    raw, out, skip, halved = [_kind_of(w) for w in words], [], 0, True
     for i, t in enumerate(raw):
         if skip:
-            skip = False
+            skip -= 1
+            continue
+        if words[i : i + 3] == HALF:
+            before, skip = raw[i - 1] if i else None, 2
+            if not halved:
+                counted = before.kind in ("zero", "unit", "ten", "scale") and not before.ending
+                out += [Token("point", "point"), Token("unit", "five", 5)] if counted else [Token("word", w) for w in HALF]
+            halved = True
             continue
+        halved = False
         ahead = raw[i + 1] if i + 1 < len(raw) else Token("end", "")
         numeric = ahead.kind in NUMERIC and not (ahead.kind == "digits" and ahead.word[0] in MARKS)
         plain = ahead.kind if not ahead.ending else ""
         if t.kind == "sign" and not numeric:
             t = t._replace(kind="word")
         elif t.kind == "per":
-            skip = ahead.word == "cent"
+            skip = int(ahead.word == "cent")
             t = Token("percent", "per cent") if skip else t._replace(kind="word")
         elif t.kind == "and":
             joins = numeric and i > 0 and raw[i - 1].kind == "scale" and not raw[i - 1].ending
@@ -115,7 +126,7 @@ def typed(words: list[str]) -> list[Token]:
         elif t.kind == "point" and numeric:
             t = t if plain in ("zero", "unit", "ten", "digits") else t._replace(kind="link")
         elif t.kind in ("double", "triple") and numeric and plain in ("zero", "unit"):
-            t, skip = Token("repeat", f"{ahead.amount}" * (2 if t.kind == "double" else 3)), True
+            t, skip = Token("repeat", f"{ahead.amount}" * (2 if t.kind == "double" else 3)), 1
         elif t.kind in ("point", "double", "triple"):
             t = t._replace(kind="word")
         out.append(t)
@@ -222,27 +233,23 @@ def read_numbers(words: list[str]) -> list[str]:
     return out
 
 
-def _halves(text: str) -> str:
-    """`<number> and a half` as `<number> point five`; after other words it stays, and with nothing before it it goes."""
-    parts, at = [], 0
-    for m in HALF.finditer(text):
-        head = text[at : m.start()]
-        at = m.end()
-        if head.strip():
-            last = _kind_of(head.split()[-1])
-            counted = last.kind in ("zero", "unit", "ten", "scale") and not last.ending
-            parts += [head, "point five" if counted else "and a half"]
-    return " ".join([*parts, text[at:]] if text[at:].strip() else parts)
+def with_cents(words: list[str]) -> list[str]:
+    """Whole money and the cents said after it, with `and` between or not, as one sum; sums under one as cents."""
+    out: list[str] = []
+    for w in words:
+        cents, back = CENTS.fullmatch(w), 2 if out[-1:] == ["and"] else 1
+        if cents and len(out) >= back and WHOLE.fullmatch(out[-back]):
+            w = f"{out[-back]}.{int(cents[1]):02d}"
+            del out[-back:]
+        less = LESS_THAN_ONE.fullmatch(w)
+        out.append(f"¢{int(less[1])}" if less else w)
+    return out
 
 
 def numbers_as_digits(text: str) -> str:
-    text = _halves(text)
     for pattern, to in APART:
         text = pattern.sub(to, text)
-    text = " ".join(read_numbers(text.split()))
-    text = WHOLE_AND_CENTS.sub(lambda m: f"{m[1]}{m[2]}.{int(m[3]):02d}", text)
-    text = ONLY_CENTS.sub(lambda m: f"¢{int(m[1])}", text)
-    return ALONE.sub(r"one\1", text)
+    return ALONE.sub(r"one\1", " ".join(with_cents(read_numbers(text.split()))))
 
 
 def english_normal(c: Column, spellings: dict[str, str] | None = None) -> Column:
