@@ -125,7 +125,7 @@ def test_number_words_in_a_row():
     assert read("nineteen twenty one") == "1921" and read("one twenty three") == "123" and read("one two three") == "123"
     assert read("three and a half million") == "3500000" and read("so and a half") == "so and a half" and read("and a half") == ""
     assert read("minus foo") == "minus foo" and read("two and two") == "2 and 2" and read("one point") == "one point" and read("b747") == "b 747"
-    assert read("two and a half and a half") == "2.5" and read("a dog and a half") == "a dog and a half" and read("firsts and a half") == "1sts and a half"
+    assert read("two and a half and a half") == "2.5" and read("a dog and a half") == "a dog and a half" and read("first and a half") == "1st and a half"
     assert read("zero dollars and seven cents") == "¢7" and read("$20 ¢3 and ¢4") == "$20.03 and ¢4" and read("two and a half dollars") == "$2.5" and read("half and a half") == "half and a half"
     assert read("2.5.3 point") == "2.5.3 point" and read("$20 and five cents") == "$20.05"
     assert read("0 seventy") == "70" and read("point twenty thousand") == "200" and read("twenty 0 nineteen") == "20 19"
