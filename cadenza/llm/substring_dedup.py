@@ -31,10 +31,13 @@ SLAB = 1 << 19
 HOT_SPANS = 1_500
 #: Windows in one in-memory sort.
 SORT_ROWS = 1 << 20
-#: Texts from which hot anchors are told, and the share of all spans that makes one hot: at most 1 / HOT_SHARE are. Being
-#: hot changes where an anchor's spans are dealt, not what is removed.
-HOT_TEXTS = 4_000
-HOT_SHARE = 0.0005
+#: Hot anchors are told from about HOT_TEXTS texts, and from one in LEAST_SHARE at the least. One is hot that holds so large a share of
+#: all spans, or so many of them; there are no more than 1 / HOT_SHARE and one for each HOT_ROWS spans. Being hot changes where an
+#: anchor's spans are dealt, not what is removed.
+HOT_TEXTS, LEAST_SHARE = 4_000, 1_000
+HOT_SHARE, HOT_ROWS = 0.0005, 1_000_000
+#: Hot anchors up to which their list is broadcast.
+BROADCAST_ANCHORS = 1_000_000
 #: Repeated spans, with their bytes, that a task remembers.
 KNOWN_SPANS = 100_000
 
@@ -366,17 +369,18 @@ def _hot_windows(spans: DataFrame, length: int) -> DataFrame:
 
 
 def _hot_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(kmer, hot) of the anchors that hold more than HOT_SHARE of the spans of about HOT_TEXTS texts."""
-    step = max(1, texts.count() // HOT_TEXTS)
+    """(kmer, hot) of the anchors that hold more than HOT_SHARE of all spans or HOT_ROWS of them, as a sample of texts tells it."""
+    step = max(1, min(LEAST_SHARE, texts.count() // HOT_TEXTS))
     some = texts.filter(F.pmod(F.xxhash64("doc_id", "rep"), F.lit(step)) == 0)  # rows that share an id are sampled apart
     counts = written(some.mapInPandas(_spans(length), SPANS).filter("not sure").groupBy("kmer").count(), "anchor-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return counts.filter(F.col("count") > max(4, int(total * HOT_SHARE))).select("kmer", F.lit(True).alias("hot"))
+    hot = counts.filter(F.col("count") > max(4, int(min(total * HOT_SHARE, HOT_ROWS / step)))).select("kmer", F.lit(True).alias("hot"))
+    return F.broadcast(hot) if hot.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS else hot
 
 
 def removed_stretches(texts: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, rep, lo, hi): byte stretches, not yet merged, that cover every byte to remove from (doc_id, rep, text)."""
-    spans = texts.mapInPandas(_spans(length), SPANS).join(F.broadcast(_hot_anchors(texts, length)), "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spans = texts.mapInPandas(_spans(length), SPANS).join(_hot_anchors(texts, length), "kmer", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     # Rows that need no others, and those of anchors known to be shared, are dealt anywhere, all others by their anchor.
     dealt = spans.withColumn("deal", F.when(F.col("sure") | F.col("hot"), F.xxhash64("doc_id", "rep", "start", "sure")).otherwise(F.col("kmer")))
     shared = dealt.repartition("deal").withColumn("n", F.count("*").over(Window.partitionBy("deal"))).filter("sure or hot or n > 1")
