@@ -246,7 +246,7 @@ def detection_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.array(*[(F.col("event_id") % 300 + k).cast("int") for k in (0, 10, 50, 90)])
     frame = F.struct(F.col("idx").alias("index"), box.alias("bbox"), (F.col("x") / 100).alias("score"))
     docs = rows.groupBy("user_id").agg(F.collect_list(frame).alias("frames"))  # one document holds one clip
-    doc = F.to_json(F.struct(F.when(F.col("user_id") % 4 == 0, 1).otherwise(files.CACHE_VERSION).alias("schema"), F.lit("scrfd").alias("detector"), F.col("user_id").cast("string").alias("video"), "frames"))
+    doc = F.to_json(F.struct(F.when(F.col("user_id") % 4 == 0, 1).otherwise(files.CACHE_VERSION).alias("schema"), F.lit("faces").alias("detector"), F.col("user_id").cast("string").alias("video"), "frames"))
     cut = F.when(F.col("user_id") % 4 == 1, F.substring(doc, F.lit(1), F.length(doc) - 3)).otherwise(doc)
     return files.detections(docs.select(cut.alias("value"))).select("clip", "idx", F.col("bbox")[0].alias("x1"), "score")
 

@@ -20,6 +20,12 @@ LAST_EVENTS = ["job_completed", "error", "stream_end"]
 IDLE_MS, FORGET_MS = 30_000, 86_400_000
 
 
+def in_order(frames: Iterable[pd.DataFrame], *columns: str) -> pd.DataFrame:
+    """A batch's rows of one job by seq: of what a trigger admits, just the columns that are looked at."""
+    parts = [pdf[["seq", *columns]] for pdf in frames]
+    return pd.concat(parts, ignore_index=True).sort_values("seq", kind="stable")
+
+
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each (job_id, seq) once, however often it is delivered within `late`."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "seq"])
@@ -37,8 +43,7 @@ def emitted_progress(events: DataFrame, step: float = 0.02) -> DataFrame:
             return
         seen, last = state.get if state.exists else (0.0, 0.0)
         out = []
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq") if frames else pd.DataFrame()
-        for p in rows["percent"]:
+        for p in in_order(frames, "percent")["percent"]:
             p = min(1.0, max(0.0, float(p)))
             if p >= seen:
                 seen = p
@@ -64,7 +69,7 @@ def with_heartbeats(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             return
         if state.exists and state.get[0]:
             return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        rows = in_order(frames, "event")
         over = rows["event"].isin(LAST_EVENTS).to_numpy()
         kept = rows.iloc[: int(over.argmax()) + 1] if over.any() else rows
         state.update((bool(over.any()),))
@@ -97,7 +102,7 @@ def with_ticks(events: DataFrame, every_ms: int = 5_000, cap: float = 0.99) -> D
             if value is not None:
                 yield pd.DataFrame({"job_id": [key[0]], "percent": [value]})
             return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
+        rows = in_order(frames, "ts", "event", "percent", "eta_seconds")
         if rows["event"].isin([*LAST_EVENTS, "stage_completed"]).any():
             if state.exists:
                 state.remove()
