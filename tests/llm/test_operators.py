@@ -344,6 +344,17 @@ def test_substring_dedup(spark, docs, monkeypatch, slab, hot, sort):
     assert sorted(rows_of(substring_dedup.substring_dedup(both).drop("removed").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))) == want
 
 
+@pytest.mark.parametrize("texts, rows, listed", [(10, 1, 0), (4_000, 2, 10**6)])
+def test_hot_anchors_change_nothing(spark, docs, monkeypatch, texts, rows, listed):
+    """Anchors that count as hot from a few spans on, told from a few texts or all, their list joined or broadcast."""
+    for k, v in (("HOT_TEXTS", texts), ("HOT_ROWS", rows), ("HOT_SHARE", 0.0), ("BROADCAST_ANCHORS", listed)):
+        monkeypatch.setattr(substring_dedup, k, v)
+    both = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2_000)).select("doc_id", "text")
+    many = both.unionByName(spark.createDataFrame([(5_000 + i, f"{PASSAGE} {i} {PASSAGE}") for i in range(12)], both.schema))
+    want = plain_substrings(rows_of(many), 100)
+    assert sorted(rows_of(substring_dedup.substring_dedup(many).drop("removed").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))) == want
+
+
 @pytest.mark.parametrize("bits", [0, 2, 40])
 @pytest.mark.parametrize("known", [0, 100_000])
 def test_substring_hashes_only_find_candidates(monkeypatch, bits, known):
@@ -561,6 +572,17 @@ def test_language_scorer_is_the_network():
     assert np.allclose(language.Scorer(model).probabilities([text])[0], want, atol=1e-4)
 
 
+@pytest.mark.parametrize("most", [1, 5_000, 1 << 26])
+def test_language_sample_is_bounded_as_a_whole(spark, monkeypatch, most):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(texts))
+    monkeypatch.setattr(language, "ALL_CHARS", most)
+    docs = spark.createDataFrame([(i, f"{'ab cd '[i % 5:]}" * 200, "xy"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    language.fit(docs)
+    n = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(60))
+    assert len(seen[0]) == n and sum(map(len, seen[0])) <= max(most, n * language.WINDOW) and all(seen[0])
+
+
 def test_windows_cover_every_word():
     """A window starts at every word, and lies whole in its stretch."""
     for n in range(1, 70):
