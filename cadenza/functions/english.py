@@ -104,7 +104,7 @@ def typed(words: list[str]) -> list[Token]:
         if skip:
             skip -= 1
             continue
-        if words[i : i + 3] == HALF:
+        if t.kind == "and" and words[i : i + 3] == HALF:
             before, skip = raw[i - 1] if i else None, 2
             if not halved:
                 counted = before.kind in ("zero", "unit", "ten", "scale") and not before.ending
