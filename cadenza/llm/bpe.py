@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -22,14 +22,14 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import positional, quoted, renamed
 
-#: Words that a task remembers before it starts anew: bounds its memory.
+#: Entries in a table of words, or of stretches of words without a space; a task holds two tables of each, which bounds its memory.
 KNOWN_WORDS = 200_000
 #: Rows that are encoded before they are handed on: bounds the ids that a task holds besides those of one text.
 CHUNK_ROWS = 256
-#: A longer word is not remembered.
+#: A longer one is not remembered.
 KNOWN_CHARS = 64
 NO_RANK = 1 << 60
-#: Words of a text whose ids are joined and hashed at once.
+#: Words or stretches of a text whose ids are joined and hashed at once.
 HASH_WORDS = 4_096
 #: Ranks in a block of a long word's array, or their number's root if that is more: the minimum is sought in the blocks' minima, then in one block.
 BLOCK = 64
@@ -43,6 +43,29 @@ def byte_symbols() -> list[str]:
     return [moved.get(b, chr(b)) for b in range(256)]
 
 
+#: Of a word or a stretch of words: number of tokens, ids as text, decoded text.
+Entry = tuple[int, str, str]
+
+
+class Known(dict[str, Entry]):
+    """Entries, learned when first asked for; long keys are not kept.
+
+    A full table becomes the one before it, from which keys still asked for are taken over, so rare ones go first.
+    """
+
+    def __init__(self, learn: Callable[[str], Entry]) -> None:
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, key: str) -> Entry:
+        entry = self.before.get(key) or self.learn(key)
+        if len(key) <= KNOWN_CHARS:
+            if len(self) >= KNOWN_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[key] = entry
+        return entry
+
+
 class WordBpe:
     """The tokenizer of a vocabulary file with lower case, dropped white space and word ends."""
 
@@ -66,17 +89,14 @@ class WordBpe:
         self.beyond = regex.compile(r"[^\x00-\u024f]")
         self.forms = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.splitter = pre_tokenizers.Split(Regex(self.words.pattern), "removed", invert=True)
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known, self.stretches = Known(self._learn_word), Known(self._learn_stretch)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word, by the rank array."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.END
-        text, bounds = "".join(symbols), [0]
-        for s in symbols:
-            bounds.append(bounds[-1] + len(s))
-        ranks, rank_of = self.ranks, lambda i: ranks.get((text[bounds[i] : bounds[i + 1]], text[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
-        pair = [rank_of(i) for i in range(len(bounds) - 2)]
+        text = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        parts, bounds = [*text[:-1], text[-1] + self.END], [*range(len(text)), len(text) + len(self.END)]
+        text, rank = text + self.END, self.ranks.get
+        pair = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]
         if len(pair) > 4 * BLOCK:
             return self._merge_long(text, bounds, pair)
         while pair:
@@ -86,10 +106,12 @@ class WordBpe:
             i = pair.index(low)
             del bounds[i + 1]
             del pair[i]
+            a, b = bounds[i], bounds[i + 1]
+            part = text[a:b]
             if i < len(pair):
-                pair[i] = rank_of(i)
+                pair[i] = rank((part, text[b : bounds[i + 2]]), NO_RANK)
             if i:
-                pair[i - 1] = rank_of(i - 1)
+                pair[i - 1] = rank((text[bounds[i - 1] : a], part), NO_RANK)
         return [self.vocab[text[a:b]] for a, b in zip(bounds, bounds[1:])]
 
     def _merge_long(self, text: str, bounds: list[int], pair: list[int]) -> list[int]:
@@ -143,31 +165,38 @@ class WordBpe:
             return [w for w, _ in self.splitter.pre_tokenize_str(self.forms.normalize_str(text))]
         return self.words.findall(text.lower())
 
-    def _learn(self, word: str) -> tuple[int, str, str]:
+    def _learn_word(self, word: str) -> Entry:
         ids = self.merge(word)
-        entry = len(ids), " ".join(map(str, ids)), self.decode_ids(ids)
-        if len(word) <= KNOWN_CHARS:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            self.known[word] = entry
-        return entry
+        return len(ids), " ".join(map(str, ids)), self.decode_ids(ids)
 
-    def entries(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """(tokens, ids as text, decoded text) of each word of `text`, in order."""
-        known, learn, split = self.known, self._learn, self.split
+    def _learn_stretch(self, stretch: str) -> Entry:
+        entries = list(map(self.known.__getitem__, self.words.findall(stretch)))
+        return entries[0] if len(entries) == 1 else (sum(e[0] for e in entries), " ".join(e[1] for e in entries), " ".join(e[2] for e in entries))
+
+    def blocks(self, text: str) -> Iterator[list[Entry]]:
+        """The entries of `text` in order, in lists of up to `HASH_WORDS`; none is without tokens.
+
+        No word holds a space, so what stands between two of them is split alike wherever it occurs, and its entry is
+        looked up whole; texts beyond Latin go word by word.
+        """
         for k, piece in enumerate(self.split_special.split(text)):
             if k % 2:
-                yield 1, str(self.special[piece]), self.decode_ids([self.special[piece]])
+                yield [(1, str(self.special[piece]), self.decode_ids([self.special[piece]]))]
+                continue
+            if self.beyond.search(piece):
+                units, known = self.split(piece), self.known
             else:
-                for word in split(piece):
-                    yield known.get(word) or learn(word)
+                units, known = piece.lower().replace("\n", " ").split(" "), self.stretches
+            for a in range(0, len(units), HASH_WORDS):
+                if some := [e for e in map(known.__getitem__, units[a : a + HASH_WORDS]) if e[0]]:
+                    yield some
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split()]
+        return [int(i) for some in self.blocks(text) for _, ids, _ in some for i in ids.split()]
 
     def encode_array(self, text: str) -> np.ndarray:
         """The ids as a compact array, for columns of them."""
-        ids = " ".join(ids for _, ids, _ in self.entries(text))
+        ids = " ".join(ids for some in self.blocks(text) for _, ids, _ in some)
         return np.array(ids.split(), np.int32)
 
     def decode_ids(self, ids: list[int]) -> str:
@@ -221,7 +250,7 @@ def decode_column(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFra
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text (null: empty); other columns are ignored.
 
-    Ids and decoded text are hashed word by word as they are made; no list of them is held.
+    Ids and decoded text are hashed as they are made; no list of all of them is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,19 +258,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             counts, ids_sha, words_sha = [], [], []
             for text in batch.column("text").to_pylist():
-                n, ids, words, some = 0, hashlib.sha256(), hashlib.sha256(), []
-                for entry in bpe.entries(text) if text is not None else ():
-                    n += entry[0]
-                    some.append(entry)
-                    if len(some) == HASH_WORDS:
-                        _, i, w = zip(*some)
-                        ids.update((" ".join(i) + " ").encode())
-                        words.update((" ".join(w) + " ").encode())
-                        some = []
-                if some:
-                    _, i, w = zip(*some)
-                    ids.update(" ".join(i).encode())
-                    words.update(" ".join(w).encode())
+                n, ids, words = 0, hashlib.sha256(), hashlib.sha256()
+                for some in bpe.blocks(text) if text is not None else ():
+                    c, i, w = zip(*some, strict=True)
+                    gap = b" " if n else b""
+                    n += sum(c)
+                    ids.update(gap + " ".join(i).encode())
+                    words.update(gap + " ".join(w).encode())
                 counts.append(n)
                 ids_sha.append(ids.hexdigest())
                 words_sha.append(words.hexdigest())
