@@ -30,7 +30,18 @@ def strip(c: Column) -> Column:
 
 def timestamp(seconds: Column, hours: bool = False, marker: str = ".") -> Column:
     """[HH:]MM:SS.mmm, milliseconds rounded half to even; hours only if asked for or not zero."""
-    ms = F.bround(seconds * 1000, 0).cast("long")
+    return clock(F.bround(seconds * 1000, 0), hours, marker)
+
+
+def whole_ms(micros: Column) -> Column:
+    """Milliseconds of whole microseconds, halves to even; no product of seconds moves a half."""
+    low, rest = F.floor(micros / 1000), F.pmod(micros, F.lit(1000))
+    return low + F.when((rest > 500) | ((rest == 500) & (F.pmod(low, F.lit(2)) == 1)), 1).otherwise(0)
+
+
+def clock(milliseconds: Column, hours: bool = False, marker: str = ".") -> Column:
+    """As `timestamp`, of whole milliseconds."""
+    ms = milliseconds.cast("long")
     h = F.floor(ms / 3_600_000)
     m, s, r = F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000
     rest = F.format_string(f"%02d:%02d{marker}%03d", m, s, r)
@@ -40,7 +51,12 @@ def timestamp(seconds: Column, hours: bool = False, marker: str = ".") -> Column
 
 def srt_block(number: Column, start: Column, end: Column, text: Column) -> Column:
     """One subtitle: number, times in seconds, text with its arrows broken."""
-    arrow = F.concat(timestamp(start, True, ","), F.lit(" --> "), timestamp(end, True, ","))
+    return srt_block_ms(number, F.bround(start * 1000, 0), F.bround(end * 1000, 0), text)
+
+
+def srt_block_ms(number: Column, start: Column, end: Column, text: Column) -> Column:
+    """`srt_block` of times in whole milliseconds."""
+    arrow = F.concat(clock(start, True, ","), F.lit(" --> "), clock(end, True, ","))
     return F.concat_ws("\n", number.cast("string"), arrow, F.replace(strip(text), F.lit("-->"), F.lit("->")), F.lit(""))
 
 

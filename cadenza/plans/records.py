@@ -184,8 +184,8 @@ def srt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .timeline import SEGMENTS
 
     rows = first_known(numbered(segments(spark, sf_dir), SEGMENTS, "n"), SEGMENTS, {"zero": F.col("s_us")})
-    seconds = lambda c: (F.col(c) - F.col("zero")) / 1_000_000
-    return rows.select("user_id", "event_id", text.srt_block(F.col("n") + 1, seconds("s_us"), seconds("e_us"), F.col("event_type")).alias("line"))
+    ms = lambda c: text.whole_ms(F.col(c) - F.col("zero"))
+    return rows.select("user_id", "event_id", text.srt_block_ms(F.col("n") + 1, ms("s_us"), ms("e_us"), F.col("event_type")).alias("line"))
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
