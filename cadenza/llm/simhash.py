@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -298,10 +299,10 @@ def near_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
 LANES = 8
 SKETCH = 64 * LANES
 #: The least probability with which two sketches at the bound of similarity meet in a partition.
-MEET = 0.97
+MEET = 0.99
 #: Standard deviations of the distance at the bound: sketches so far under its mean are alike without doubt, those so far over it are not;
 #: between them the shingle sets themselves decide.
-SURE, MARGIN = 4.0, 2.0
+SURE, MARGIN = 4.0, 3.0
 #: Rows of a bucket that one task links at a time; those of a bucket that a sample shows to be larger are dealt to several tasks.
 LINK_ROWS = 40_000
 #: Rows up to which all pairs of a bucket are compared at once; more are first held against single ones.
@@ -415,7 +416,7 @@ def _values(words: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def _dealt(layout: list[tuple[list[int], int]]):
-    """A row per partition and probed value: (bucket, node, sketch)."""
+    """A row per partition and probed value: its bucket, and the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,7 +424,7 @@ def _dealt(layout: list[tuple[list[int], int]]):
             for part, (bits, threshold) in enumerate(layout):
                 value = _values(words, bits)
                 for flip in (0, *(1 << k for k in range(len(bits)) if threshold)):
-                    yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * 1_024 + part), batch.column("node"), batch.column("sketch")], ["bucket", "node", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * 1_024 + part), *batch.columns], ["bucket", *batch.schema.names])
 
     return run
 
@@ -481,9 +482,10 @@ def likeliest(label: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray)
     return order[np.unique(np.concatenate(chosen))]
 
 
-def link_bucket(node: np.ndarray, words: np.ndarray, sure: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def link_bucket(node: np.ndarray, words: np.ndarray, sure: int, distance: int, left_open: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, sure) edges: some that connect what sketches at most `sure` apart connect, never more than rows; and of the pairs at most
-    `distance` apart between groups so connected, the likeliest, which are not sure.
+    `distance` apart between groups so connected, the likeliest, which are not sure. The nodes of the other pairs go to `left_open`:
+    `open_pairs` looks at these pairs once it is known what the likeliest connect.
 
     In a large bucket single rows are first held against all: what surely hangs together through them needs no pairs of its own, so
     only the rows outside the largest group are then compared with all.
@@ -511,12 +513,27 @@ def link_bucket(node: np.ndarray, words: np.ndarray, sure: int, distance: int) -
     between = label[a] != label[b]
     a, b, d = a[between], b[between], d[between]
     some = likeliest(label, a, b, d)
+    if left_open is not None:
+        other = np.ones(len(a), bool)
+        other[some] = False
+        left_open.append(node[np.union1d(a[other], b[other])])
     p, q = node[a[some]], node[b[some]]
     return np.r_[x, np.minimum(p, q)], np.r_[y, np.maximum(p, q)], np.r_[np.ones(len(x), bool), np.zeros(len(p), bool)]
 
 
+def open_pairs(node: np.ndarray, words: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) of nodes of different groups whose sketches are at most `distance` apart."""
+    number = np.unique(group, return_inverse=True)[1]
+    a, b, _ = _near(words, np.flatnonzero(number != np.bincount(number).argmax()), distance)
+    apart_ = number[a] != number[b]
+    a, b = node[a[apart_]], node[b[apart_]]
+    both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def _linked(sure: int, distance: int):
-    """Rows arrive by (bucket, i, j); emits edges."""
+    """Rows arrive by (bucket, i, j); emits edges, and the nodes of pairs left open as (node, node, null). Rows with a group are of an
+    earlier look: all pairs between groups are emitted."""
     key = ["bucket", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,15 +544,25 @@ def _linked(sure: int, distance: int):
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             count = np.diff(np.r_[start, len(keys)])
             node, kept = table.column("node").to_numpy(), table.column("sketch")
-            found_a, found_b, found_sure = [], [], []
+            group = table.column("group").to_numpy() if "group" in table.schema.names else None
+            found_a, found_b, found_sure, left_open = [], [], [], []
             for a, n in zip(start[count > 1].tolist(), count[count > 1].tolist()):
+                if group is not None and (group[a : a + n] == group[a]).all():
+                    continue
                 words = np.frombuffer(b"".join(kept.slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
-                x, y, s = link_bucket(node[a : a + n], words, sure, distance)
+                if group is None:
+                    x, y, s = link_bucket(node[a : a + n], words, sure, distance, left_open)
+                else:
+                    x, y = open_pairs(node[a : a + n], words, group[a : a + n], distance)
+                    s = np.zeros(len(x), bool)
                 found_a.append(x)
                 found_b.append(y)
                 found_sure.append(s)
             if found_a and sum(map(len, found_a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b, found_sure)], ["a", "b", "sure"])
+            if left_open and sum(map(len, left_open)):
+                some = pa.array(np.unique(np.concatenate(left_open)))
+                yield pa.RecordBatch.from_arrays([some, some, pa.nulls(len(some), pa.bool_())], ["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -556,12 +583,19 @@ def _linked(sure: int, distance: int):
     return run
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b, sure) among (node, sketch) rows that meet in a partition: the components of the sure ones are those of all sketches
-    that are alike without doubt; the others are pairs that may be alike."""
+class Meeting(NamedTuple):
+    """How sketches meet: bits and threshold of the partitions, the distances of what is sure and of what is looked at, and into how
+    many blocks large buckets are dealt."""
+
+    layout: list[tuple[list[int], int]]
+    sure: int
+    distance: int
+    large: list[tuple[int, int]]
+
+
+def meeting(nodes: DataFrame, similarity: float) -> Meeting:
     differ = apart(similarity)
     mean, deviation = SKETCH * differ, np.sqrt(SKETCH * differ * (1 - differ))
-    sure, distance = int(mean - SURE * deviation), int(mean + MARGIN * deviation)
     n = nodes.count()
     some = nodes.filter(F.xxhash64("node") / 2.0**64 + 0.5 <= min(1.0, 2 * SEEN / max(1, n))).orderBy(F.xxhash64("node"), "node").limit(SEEN)
     sample = np.frombuffer(b"".join(r[0] for r in some.select("sketch").collect()), np.uint64).reshape(-1, LANES)  # SEEN rows
@@ -571,20 +605,34 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
         value, count = np.unique(_values(sample, bits), return_counts=True)
         rows = count * (n / max(1, len(sample))) * (1 + threshold)
         large += [(int(v) * 1_024 + part, int(-(-r // LINK_ROWS))) for v, r, c in zip(value, rows, count) if r > LINK_ROWS and c > 3]
-    dealt = nodes.mapInArrow(_dealt(layout), "bucket long, node long, sketch binary")
-    if large:  # at most SEEN / 4 of each partition
-        split = nodes.sparkSession.createDataFrame(large, "bucket long, blocks int")
+    return Meeting(layout, int(mean - SURE * deviation), int(mean + MARGIN * deviation), large)
+
+
+def met(nodes: DataFrame, how: Meeting) -> DataFrame:
+    """(a, b, sure) of the (node, sketch) rows that meet in a partition, and the nodes of pairs left open; of (node, sketch, group) rows
+    all pairs between groups."""
+    columns = nodes.columns
+    dealt = nodes.mapInArrow(_dealt(how.layout), "bucket long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema))
+    if how.large:  # at most SEEN / 4 of each partition
+        split = nodes.sparkSession.createDataFrame(how.large, "bucket long, blocks int")
         dealt = dealt.join(F.broadcast(split), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         home = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = home.select("bucket", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "node", "sketch")
+        dealt = home.select("bucket", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), *columns)
     else:
-        dealt = dealt.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "sketch")
-    met = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked(sure, distance), "a long, b long, sure boolean")
-    return written(met.distinct(), "similar-links")
+        dealt = dealt.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked(how.sure, how.distance), "a long, b long, sure boolean").distinct()
+
+
+def similar_links(nodes: DataFrame, similarity: float, how: Meeting | None = None) -> DataFrame:
+    """Edges (a, b, sure) among (node, sketch) rows that meet in a partition: the components of the sure ones are those of all sketches
+    that are alike without doubt; the others are pairs that may be alike. Rows (a, a, null) are nodes of more such pairs."""
+    return written(met(nodes, how or meeting(nodes, similarity)), "similar-links")
 
 
 #: Rows up to which a list of documents to look at again is broadcast: two numbers each.
 BROADCAST_LEADS = 1_000_000
+#: Shingle sets of one block, of which a task holds two.
+SET_ROWS = 512
 
 
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -607,16 +655,33 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, simil
     sets = written(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive by (i, j), the sets of a pair of blocks before its pairs."""
+        now, held = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(c)) for n, c in (("a", "x"), ("b", "y")))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(judged, "a long, b long")
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("i", "j", "a", "b")]
+            for row, (i, j, a, b) in enumerate(zip(*columns)):
+                if (i, j) != now:
+                    now, held = (i, j), {}
+                if b is None:
+                    held[a] = np.frombuffer(batch.column("shingles")[row].as_py(), np.uint64)
+                    continue
+                x, y = held[a], held[b]
+                least = similarity * max(len(x), len(y))
+                if min(len(x), len(y)) >= least and (shared := len(np.intersect1d(x, y, assume_unique=True))) >= similarity * (len(x) + len(y) - shared):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    # A node's block is that of its smallest neighbour, cut where that has many: a set goes once to each pair of blocks, not to each pair.
+    both = pairs.select(F.col("a").alias("node"), F.least("a", "b").alias("hub")).unionByName(pairs.select(F.col("b").alias("node"), F.least("a", "b").alias("hub")))
+    hubs = both.groupBy("node").agg(F.min("hub").alias("hub"))
+    cuts = hubs.groupBy("hub").agg(F.ceil(F.count("*") / SET_ROWS).alias("cuts"))
+    block = written(hubs.join(cuts, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block")), "set-blocks")
+    side = lambda n, to: block.select(F.col("node").alias(n), F.col("block").alias(to))
+    asked_pairs = written(pairs.select("a", "b").join(side("a", "i"), "a").join(side("b", "j"), "b").select("i", "j", "a", "b"), "block-pairs")
+    needs = asked_pairs.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = needs.select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(asked_pairs.withColumn("shingles", F.lit(None).cast("binary")))
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").isNotNull()).mapInArrow(judged, "a long, b long")
 
 
 def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -629,14 +694,22 @@ def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     """
     rows = written(sketches(docs, width), "sketches")
     nodes = written(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("lead")), "distinct-sketches")
-    links = similar_links(nodes.select("node", "sketch"), similarity)
+    how = meeting(nodes.select("node", "sketch"), similarity)
+    links = similar_links(nodes.select("node", "sketch"), similarity, how)
     sure = links.filter("sure").select("a", "b")
     parts = components(sure)
     group = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     known = links.filter("not sure").join(group("a"), "a", "left").join(group("b"), "b", "left")
     doubt = written(known.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "doubtful-pairs")
     if not doubt.isEmpty():
-        parts = components(written(sure.unionByName(alike(docs, nodes, doubt, width, similarity)), "all-links"))
+        found = written(sure.unionByName(alike(docs, nodes, doubt, width, similarity)), "all-links")
+        parts = components(found)
+        # The likeliest pairs have connected what they do; all other pairs that are still between groups are looked at now.
+        at = F.coalesce("component", "node").alias("group")
+        open_ = links.filter("sure is null").select(F.col("a").alias("node")).join(nodes.select("node", "sketch"), "node").join(parts, "node", "left").select("node", "sketch", at)
+        further = written(met(written(open_, "open-sketches"), how).select("a", "b").join(doubt, ["a", "b"], "left_anti"), "open-pairs")
+        if not further.isEmpty():
+            parts = components(written(found.unionByName(alike(docs, nodes, further, width, similarity)), "further-links"))
     leads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("lead").alias("lead"))
     return keep_leads(docs, written(leads.select("lead.doc_id", "lead.text_hash"), "leaders"))
 
