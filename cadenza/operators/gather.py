@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Features of a block, about as many as a frame wants.
+BLOCK = 16
+
+
+def _ranged(frames: DataFrame, features: DataFrame, keys: tuple[str, ...], idx: str, low: Column, high: Column) -> DataFrame:
+    """`frames` once for each feature whose index is a whole number of [low, high].
+
+    Features are gathered in blocks of BLOCK indexes, and a frame is dealt to the blocks that it touches instead of to each index: of a
+    frame that wants k features about k / BLOCK + 1 rows are shuffled, and its features lie together. A block grows with the features
+    that share an index, of which a key has one.
+    """
+    rest = [c for c in features.columns if c not in keys]
+    blocks = features.withColumn("_block", F.expr(f"floor(`{idx}` / {BLOCK})")).groupBy(*keys, "_block").agg(F.collect_list(F.struct(*rest)).alias("_held"))
+    asked = frames.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).filter("_low <= _high")
+    dealt = asked.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_low") / BLOCK), F.floor(F.col("_high") / BLOCK))))
+    at = lambda f: (f[idx] >= F.col("_low")) & (f[idx] <= F.col("_high"))
+    met = dealt.join(blocks, [*keys, "_block"]).withColumn("_f", F.explode(F.filter("_held", at)))
+    return met.select(*[F.col(c) for c in frames.columns if c != idx], *[F.col("_f")[c].alias(c) for c in rest])
+
+
 def _wanted(frames: DataFrame, low: Column, high: Column) -> DataFrame:
     """`frames` once for each whole number of [low, high]; none where high < low."""
     return frames.withColumn("_at", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
@@ -20,8 +40,14 @@ def _index(frame: Column, rate: tuple[int, int]) -> Column:
 def clamped(frames: DataFrame, features: DataFrame, keys: tuple[str, ...], frame: str, idx: str, rate: tuple[int, int], left: int, right: int, length: str = "n") -> DataFrame:
     """Each frame with the features int(frame * rate) - left .. + right - 1, the index clamped to [0, length - 1]."""
     centre = _index(F.col(frame), rate)
-    asked = _wanted(frames, centre - left, centre + right - 1)
-    return asked.withColumn(idx, F.least(F.greatest(F.lit(0), F.col("_at")), F.col(length) - 1)).drop("_at").join(features, [*keys, idx])
+    low, high, last = centre - left, centre + right - 1, F.col(length) - 1
+    edge = lambda c: F.least(F.greatest(F.lit(0), c), last)
+    met = _ranged(frames, features, keys, idx, edge(low), F.when(high >= low, edge(high)).otherwise(-1))
+    # the first and the last feature stand for all indexes beyond them
+    before = F.when(F.col(idx) == 0, F.least(high, F.lit(0)) - low).otherwise(0)
+    after = F.when(F.col(idx) == last, high - F.greatest(low, last)).otherwise(0)
+    times = F.greatest(F.lit(1), 1 + F.greatest(F.lit(0), before) + F.greatest(F.lit(0), after)).cast("int")
+    return met.withColumn("_again", F.explode(F.array_repeat(F.lit(0), times))).drop("_again")
 
 
 def sparse(frames: DataFrame, features: DataFrame, keys: tuple[str, ...], frame: str, idx: str, rate: tuple[int, int], left: int, right: int, length: str = "n") -> DataFrame:
@@ -44,7 +70,7 @@ def last_clamped_windows(frames: DataFrame, features: DataFrame, keys: tuple[str
     """Each frame with `size` features from int(frame * rate), or the last `size` where that goes past the end."""
     start = F.least(_index(F.col(frame), rate), F.greatest(F.lit(0), F.col(length) - size))
     asked = frames.withColumn("start", start)
-    return _wanted(asked, F.col("start"), F.least(F.col("start") + size, F.col(length)) - 1).withColumnRenamed("_at", idx).join(features, [*keys, idx])
+    return _ranged(asked, features, keys, idx, F.col("start"), F.least(F.col("start") + size, F.col(length)) - 1)
 
 
 def sliding(lengths: DataFrame, size: int, hop: int, tail: int, length: str = "n") -> DataFrame:
@@ -55,7 +81,7 @@ def sliding(lengths: DataFrame, size: int, hop: int, tail: int, length: str = "n
 
 def window_rows(windows: DataFrame, features: DataFrame, keys: tuple[str, ...], idx: str, size: int) -> DataFrame:
     """The features i .. i + size - 1 of each window."""
-    return _wanted(windows, F.col("i"), F.col("i") + size - 1).withColumnRenamed("_at", idx).join(features, [*keys, idx])
+    return _ranged(windows, features, keys, idx, F.col("i"), F.col("i") + size - 1)
 
 
 def pingpong(keys: DataFrame, frames: DataFrame, on: tuple[str, ...], idx: str, n: int, m: int) -> DataFrame:
