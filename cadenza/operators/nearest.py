@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Pivots, codes of a block and vectors of a share, about.
-PIVOTS, BLOCK_ROWS, SHARE_ROWS = 256, 2_048, 4_096
+PIVOTS, BLOCK_ROWS, SHARE_ROWS = 256, 8_192, 16_384
+#: Distances that are held at once.
+HELD = 1 << 22
 #: Bounds hold up to rounding; cells are searched when they miss by less than this share.
 SLACK = 1e-9
 
@@ -32,6 +34,33 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, place) of the nearest row of `b`, the first of equal ones, to each row of `a`; as `squared` tells it.
+
+    Products of matrices leave, up to their rounding, few rows of `b` that may be nearest; only these are measured.
+    """
+    at, best = np.zeros(len(a), np.int64), np.zeros(len(a))
+    norm = (b * b).sum(axis=1)
+    error = 8 * (a.shape[1] + 4) * np.finfo(float).eps
+    step = max(1, HELD // len(b))
+    for i in range(0, len(a), step):
+        own = a[i : i + step]
+        far = norm - 2 * (own @ b.T)
+        bound = far.min(axis=1) + error * ((own * own).sum(axis=1) + norm.max())
+        row, col = np.nonzero(far <= bound[:, None])
+        for k in range(0, len(row), HELD // 4):  # at least one candidate a row, in order of row and place
+            r, c = row[k : k + HELD // 4], col[k : k + HELD // 4]
+            d = np.zeros(len(r))
+            for x, y in zip(own.T, b.T):
+                e = x[r] - y[c]
+                d += e * e
+            order = np.lexsort((c, d, r))
+            lead = order[np.r_[True, r[order][1:] != r[order][:-1]]]
+            new = np.ones(len(lead), bool) if not k else (r[lead] != row[k - 1]) | (d[lead] < best[i + r[lead]])
+            at[i + r[lead[new]]], best[i + r[lead[new]]] = c[lead[new]], d[lead[new]]
+    return best, at
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), float).reshape(len(column), -1)
 
@@ -81,10 +110,9 @@ def _search(asked: DataFrame, codes: DataFrame, id_: str, code: str, blocks: dic
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({id_: [], "d2": [], code: []})
-        c = c.sort_values(code)  # argmin takes the lowest of equal ones
-        d = squared(np.array(q["v"].tolist(), float), np.array(c["v"].tolist(), float))
-        at = d.argmin(axis=1)
-        return pd.DataFrame({id_: q[id_].to_numpy(), "d2": d[np.arange(len(d)), at], code: c[code].to_numpy()[at]})
+        c = c.sort_values(code)  # the first of equal ones is the lowest
+        d, at = nearest_rows(np.array(q["v"].tolist(), float), np.array(c["v"].tolist(), float))
+        return pd.DataFrame({id_: q[id_].to_numpy(), "d2": d, code: c[code].to_numpy()[at]})
 
     met = left.select(*by, id_, "v").groupBy(*by).cogroup(right.select(*by, code, "v").groupBy(*by)).applyInPandas(best, f"`{id_}` {id_type}, d2 double, `{code}` {code_type}")
     return met.groupBy(id_).agg(F.min(F.struct("d2", F.col(code).alias("code"))).alias("best"))
