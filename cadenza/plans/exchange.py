@@ -111,9 +111,9 @@ def array_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = rows.select("folder", F.lit("boxes_pre_smooth").alias("name"), "idx", F.array("x", "y").alias("values"))
     affines = rows.filter("user_id % 2 = 0").select("folder", F.lit("affines_post_smooth").alias("name"), "idx", F.array("y", "y", "y").alias("values"))
     published.dump_arrays(boxes.unionByName(affines), folder)
-    back = files.arrays(spark, folder)
+    back = files.arrays_of(rows.select("folder").distinct(), folder)
     total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
-    return back.select(F.element_at(F.split("folder", "/"), -1).cast("long").alias("user_id"), "name", "idx", six(F.col("values")[0]).alias("first"), six(total).alias("total"))
+    return back.select(F.col("folder").cast("long").alias("user_id"), "name", "idx", six(F.col("values")[0]).alias("first"), six(total).alias("total"))
 
 
 IDLE = 12 * 3_600_000
@@ -318,4 +318,5 @@ def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = 3_600_000 + F.col("event_id") * 1000
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), start.alias("start"), (start + 500).alias("end"), F.concat(F.lit(" "), "event_type", F.lit(" --> "), F.col("event_id").cast("string"), F.lit(" ")).alias("text"))
     published.subtitle_files(rows, folder, "file", "start", "end", "text")
-    return spark.read.option("pathGlobFilter", "*.[tvs][xtr]t").text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))
+    forms = F.explode(F.array(*map(F.lit, published.FORMS)))
+    return files.texts(rows.select("file").distinct().select("file", forms.alias("form")).select(F.concat("file", F.lit("."), "form").alias("name")), folder)

@@ -12,6 +12,7 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,10 @@ from ..operators.ordered import Timeline, numbered
 from ..operators.shared import plain_path
 
 COMMIT = "version long, files array<string>"
+#: Threads of a commit.
+COMMITTERS = 16
+#: Forms of subtitle files.
+FORMS = ["txt", "vtt", "srt"]
 
 
 @dataclass
@@ -105,10 +110,10 @@ class ArrayWriter(_Staging):
         return StagedFiles(done)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            for path, place in m.files if isinstance(m, StagedFiles) else ():
-                os.makedirs(os.path.dirname(f"{self.folder}/{place}"), exist_ok=True)
-                os.replace(path, f"{self.folder}/{place}")
+        staged = [f for m in messages if isinstance(m, StagedFiles) for f in m.files]
+        with ThreadPoolExecutor(COMMITTERS) as pool:  # file calls wait for the file system, not for one another
+            list(pool.map(lambda home: os.makedirs(home, exist_ok=True), {os.path.dirname(f"{self.folder}/{place}") for _, place in staged}))
+            list(pool.map(lambda f: os.replace(f[0], f"{self.folder}/{f[1]}"), staged, chunksize=1_000))
 
 
 class LineWriter(_Staging):

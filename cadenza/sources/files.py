@@ -7,9 +7,14 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import plain_path
+
+#: Files, and rows of arrays, of a batch.
+FILES, ROWS = 256, 10_000
 VIDEO = [".mp4", ".mov", ".webm", ".mkv", ".m4v"]
 CACHE_VERSION = 2
 
@@ -70,6 +75,58 @@ def uploads(files: DataFrame, most_bytes: int) -> DataFrame:
 DUMPS = ["affines_pre_smooth", "affines_post_smooth", "boxes_pre_smooth", "boxes_post_smooth"]
 
 
+def texts(places: DataFrame, path: str) -> DataFrame:
+    """name, text of the files that `places` (name) tells below a mounted folder: each is opened where its name is, and no folder is listed.
+
+    A file that is not there is an error.
+    """
+    home = plain_path(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, FILES):
+                names, found = batch.column("name").slice(a, FILES), []
+                for name in names.to_pylist():
+                    with open(f"{home}/{name}", encoding="utf-8", newline="") as f:
+                        found.append(f.read())
+                yield pa.RecordBatch.from_arrays([names, pa.array(found, pa.string())], ["name", "text"])
+
+    return places.select("name").mapInArrow(run, "name string, text string")
+
+
+def arrays_of(folders: DataFrame, path: str, names: list[str] = DUMPS) -> DataFrame:
+    """As `arrays`, of the folders that `folders` (folder) tells below a mounted one, which is not listed."""
+    home = plain_path(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("folder", pa.string()), ("name", pa.string()), ("idx", pa.int64()), ("values", pa.list_(pa.float64()))])
+        for batch in batches:
+            out: list[tuple] = []
+            for folder in batch.column("folder").to_pylist():
+                for name in names:
+                    try:
+                        array = np.atleast_1d(np.load(f"{home}/{folder}/{name}.npy", allow_pickle=False)).astype(float)
+                    except (FileNotFoundError, ValueError, EOFError):
+                        continue
+                    rows = array.reshape(len(array), -1)
+                    for a in range(0, len(rows), ROWS):
+                        part = rows[a : a + ROWS]
+                        ends = pa.array(np.arange(0, part.size + 1, max(1, rows.shape[1]), dtype=np.int32)[: len(part) + 1])
+                        out.append((folder, name, np.arange(a, a + len(part)), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))))
+                        if sum(len(x[2]) for x in out) >= ROWS:
+                            yield joined(out, schema)
+                            out = []
+            if out:
+                yield joined(out, schema)
+
+    def joined(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        size = [len(x[2]) for x in out]
+        columns = [pa.array(np.repeat(np.array([x[k] for x in out], object), size), pa.string()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([x[2] for x in out])), pa.concat_arrays([x[3] for x in out])], schema=schema)
+
+    return folders.select("folder").mapInArrow(run, "folder string, name string, idx long, values array<double>")
+
+
 def arrays(spark: SparkSession, path: str, names: list[str] = DUMPS) -> DataFrame:
     """folder, name, idx, values: each first-axis row of the `.npy` files of these names below a folder, flattened.
 
