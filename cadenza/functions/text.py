@@ -6,8 +6,8 @@ import hashlib
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -100,34 +100,43 @@ def http_outcome(status: Column) -> Column:
     return F.when(status < 400, "ok").when(status == 400, "bad request").when(status == 422, "invalid input").when(status == 501, "not implemented").when(status == 503, "not ready").otherwise("failed")
 
 
-@F.pandas_udf(StringType())
-def plain_text(column: pd.Series) -> pd.Series:
+# Functions of whole texts take rows a hundred at a time: a batch of Arrow is ten thousand, which long texts fill with gigabytes.
+_by_rows = lambda returns: F.udf(returnType=returns, useArrow=False)
+ODD = regex.compile(r"[\p{M}\p{S}\p{P}]")
+LETTER = regex.compile(r"\X")
+
+
+@_by_rows(StringType())
+def plain_text(t: str | None) -> str | None:
     """Compatibility form with marks, symbols and punctuation as spaces, letters kept."""
-    odd = regex.compile(r"[\p{M}\p{S}\p{P}]")
-    return column.map(lambda t: None if t is None else odd.sub(" ", unicodedata.normalize("NFKC", t)))
+    return None if t is None else ODD.sub(" ", unicodedata.normalize("NFKC", t))
 
 
 def without_diacritics_but(kept: str = ""):
     """Decomposed, then special letters spelled out, non-spacing marks dropped, and other marks, symbols and punctuation but `kept` as spaces."""
 
-    @F.pandas_udf(StringType())
-    def run(column: pd.Series) -> pd.Series:
-        table = str.maketrans(PLAIN_LETTERS)
-        gone, odd = regex.compile(r"\p{Mn}"), regex.compile((f"(?![{regex.escape(kept)}])" if kept else "") + r"[\p{M}\p{S}\p{P}]")
-        return column.map(lambda t: None if t is None else odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t).translate(table))))
+    return _by_rows(StringType())(lambda t: None if t is None else bare(t, kept))
+
+
+@cache
+def _marks(kept: str) -> tuple[dict[int, str], regex.Pattern, regex.Pattern]:
+    return str.maketrans(PLAIN_LETTERS), regex.compile(r"\p{Mn}"), regex.compile((f"(?![{regex.escape(kept)}])" if kept else "") + r"[\p{M}\p{S}\p{P}]")
+
 
-    return run
+def bare(t: str, kept: str = "") -> str:
+    """What `without_diacritics_but` makes of one text."""
+    table, gone, odd = _marks(kept)
+    return odd.sub(" ", gone.sub("", unicodedata.normalize("NFKD", t).translate(table)))
 
 
 def without_diacritics(c: Column) -> Column:
     return without_diacritics_but()(c)
 
 
-@F.pandas_udf(StringType())
-def spaced_letters(column: pd.Series) -> pd.Series:
+@_by_rows(StringType())
+def spaced_letters(t: str | None) -> str | None:
     """A space between the letters as they are seen: a base with its marks is one."""
-    letter = regex.compile(r"\X")
-    return column.map(lambda t: None if t is None else " ".join(letter.findall(t)))
+    return None if t is None else " ".join(LETTER.findall(t))
 
 
 def basic_normal(c: Column, diacritics: bool = True, letters: bool = False) -> Column:
@@ -139,10 +148,10 @@ def basic_normal(c: Column, diacritics: bool = True, letters: bool = False) -> C
     return F.regexp_replace(spaced_letters(plain) if letters else plain, r"(?U)\s+", " ")
 
 
-@F.pandas_udf(DoubleType())
-def compression_ratio(column: pd.Series) -> pd.Series:
+@_by_rows(DoubleType())
+def compression_ratio(t: str | None) -> float | None:
     """Characters of a text for each byte of it compressed."""
-    return column.map(lambda t: None if t is None else len(t) / len(zlib.compress(t.encode())))
+    return None if t is None else len(t) / len(zlib.compress(t.encode()))
 
 
 def utc_iso(micros: Column) -> Column:
