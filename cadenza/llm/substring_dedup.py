@@ -28,8 +28,8 @@ KMER = 32
 #: Bytes that are hashed at a time; longer texts are taken in overlapping pieces.
 SLAB = 1 << 19
 #: Spans under one anchor that a task sorts at once; under more, windows are sorted where they are and their groups' firsts again.
-HOT_SPANS = 1_500
-#: Windows in one in-memory sort.
+HOT_SPANS = 15_000
+#: Windows in one in-memory sort: about those of HOT_SPANS spans.
 SORT_ROWS = 1 << 20
 #: Hot anchors are told from about HOT_TEXTS texts, and from one in LEAST_SHARE at the least. One is hot that holds so large a share of
 #: all spans, or so many of them; there are no more than 1 / HOT_SHARE and one for each HOT_ROWS spans. Being hot changes where an
