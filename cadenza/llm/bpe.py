@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import isqrt
 
 import numpy as np
@@ -26,6 +28,8 @@ from .common import positional, quoted, renamed
 KNOWN_WORDS = 200_000
 #: Rows that are encoded before they are handed on: bounds the ids that a task holds besides those of one text.
 CHUNK_ROWS = 256
+#: Seconds after a task's end at which a worker that has got no other one empties its tables.
+IDLE_SECONDS = 3.0
 #: A longer one is not remembered.
 KNOWN_CHARS = 64
 NO_RANK = 1 << 60
@@ -47,16 +51,16 @@ def byte_symbols() -> list[str]:
 Entry = tuple[int, str, str]
 
 
-class Known(dict[str, Entry]):
+class Known[T](dict[str, T]):
     """Entries, learned when first asked for; long keys are not kept.
 
     A full table becomes the one before it, from which keys still asked for are taken over, so rare ones go first.
     """
 
-    def __init__(self, learn: Callable[[str], Entry]) -> None:
+    def __init__(self, learn: Callable[[str], T]) -> None:
         self.learn, self.before = learn, {}
 
-    def __missing__(self, key: str) -> Entry:
+    def __missing__(self, key: str) -> T:
         entry = self.before.get(key) or self.learn(key)
         if len(key) <= KNOWN_CHARS:
             if len(self) >= KNOWN_WORDS:
@@ -65,6 +69,10 @@ class Known(dict[str, Entry]):
             self[key] = entry
         return entry
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 class WordBpe:
     """The tokenizer of a vocabulary file with lower case, dropped white space and word ends."""
@@ -90,6 +98,10 @@ class WordBpe:
         self.forms = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.splitter = pre_tokenizers.Split(Regex(self.words.pattern), "removed", invert=True)
         self.known, self.stretches = Known(self._learn_word), Known(self._learn_stretch)
+        # For columns of ids, only these are kept, four bytes each.
+        self.special_ids = {s: np.int32(i).tobytes() for s, i in self.special.items()}
+        self.word_ids, self.stretch_ids = Known(lambda word: np.array(self.merge(word), np.int32).tobytes()), Known(lambda stretch: b"".join(map(self.word_ids.__getitem__, self.words.findall(stretch))))
+        self.idle: threading.Timer | None = None
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word, by the rank array."""
@@ -179,25 +191,36 @@ class WordBpe:
         No word holds a space, so what stands between two of them is split alike wherever it occurs, and its entry is
         looked up whole; texts beyond Latin go word by word.
         """
-        for k, piece in enumerate(self.split_special.split(text)):
-            if k % 2:
-                yield [(1, str(self.special[piece]), self.decode_ids([self.special[piece]]))]
+        for kind, units in self.spans(text):
+            if kind == "special":
+                yield [(1, str(self.special[s]), self.decode_ids([self.special[s]])) for s in units]
                 continue
-            if self.beyond.search(piece):
-                units, known = self.split(piece), self.known
-            else:
-                units, known = piece.lower().replace("\n", " ").split(" "), self.stretches
+            known = self.known if kind == "words" else self.stretches
             for a in range(0, len(units), HASH_WORDS):
                 if some := [e for e in map(known.__getitem__, units[a : a + HASH_WORDS]) if e[0]]:
                     yield some
 
+    def spans(self, text: str) -> Iterator[tuple[str, list[str]]]:
+        """The parts of `text` in order: a special token, or words, or stretches between spaces."""
+        for k, piece in enumerate(self.split_special.split(text)):
+            if k % 2:
+                yield "special", [piece]
+            elif self.beyond.search(piece):
+                yield "words", self.split(piece)
+            else:
+                yield "stretches", piece.lower().replace("\n", " ").split(" ")
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for some in self.blocks(text) for _, ids, _ in some for i in ids.split()]
 
     def encode_array(self, text: str) -> np.ndarray:
         """The ids as a compact array, for columns of them."""
-        ids = " ".join(ids for some in self.blocks(text) for _, ids, _ in some)
-        return np.array(ids.split(), np.int32)
+        tables = {"special": self.special_ids, "words": self.word_ids, "stretches": self.stretch_ids}
+        return np.frombuffer(b"".join(ids for kind, units in self.spans(text) for ids in map(tables[kind].__getitem__, units)), np.int32)
+
+    def forget(self) -> None:
+        for table in (self.known, self.stretches, self.word_ids, self.stretch_ids):
+            table.forget()
 
     def decode_ids(self, ids: list[int]) -> str:
         """The pieces of ids, as the file's missing decoder leaves them: joined by spaces."""
@@ -214,6 +237,20 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
+@contextmanager
+def lent(path: str) -> Iterator[WordBpe]:
+    """The worker's tokenizer for one task. If no other task follows soon, its tables are emptied: a worker lives on in later stages."""
+    bpe = tokenizer(path)
+    if bpe.idle:
+        bpe.idle.cancel()
+    try:
+        yield bpe
+    finally:
+        bpe.idle = threading.Timer(IDLE_SECONDS, bpe.forget)
+        bpe.idle.daemon = True
+        bpe.idle.start()
+
+
 def encode_column(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` plus token_ids array<int> of each whole text, in place of a column of that name; null text has no tokens.
 
@@ -224,13 +261,13 @@ def encode_column(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     source = f"c{kept.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for whole in batches:
-            for a in range(0, whole.num_rows, CHUNK_ROWS):
-                part = whole.slice(a, CHUNK_ROWS)
-                ids = [bpe.encode_array(t) if t is not None else np.zeros(0, np.int32) for t in part.column(source).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                yield part.append_column("token_ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+        with lent(path) as bpe:
+            for whole in batches:
+                for a in range(0, whole.num_rows, CHUNK_ROWS):
+                    part = whole.slice(a, CHUNK_ROWS)
+                    ids = [bpe.encode_array(t) if t is not None else np.zeros(0, np.int32) for t in part.column(source).to_pylist()]
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    yield part.append_column("token_ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
 
     schema = rows.select("*", F.array().cast("array<int>").alias("token_ids")).schema
     return renamed(rows.mapInArrow(run, schema), kept, "token_ids")
@@ -254,21 +291,21 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for batch in batches:
-            counts, ids_sha, words_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                n, ids, words = 0, hashlib.sha256(), hashlib.sha256()
-                for some in bpe.blocks(text) if text is not None else ():
-                    c, i, w = zip(*some, strict=True)
-                    gap = b" " if n else b""
-                    n += sum(c)
-                    ids.update(gap + " ".join(i).encode())
-                    words.update(gap + " ".join(w).encode())
-                counts.append(n)
-                ids_sha.append(ids.hexdigest())
-                words_sha.append(words.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(words_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with lent(path) as bpe:
+            for batch in batches:
+                counts, ids_sha, words_sha = [], [], []
+                for text in batch.column("text").to_pylist():
+                    n, ids, words = 0, hashlib.sha256(), hashlib.sha256()
+                    for some in bpe.blocks(text) if text is not None else ():
+                        c, i, w = zip(*some, strict=True)
+                        gap = b" " if n else b""
+                        n += sum(c)
+                        ids.update(gap + " ".join(i).encode())
+                        words.update(gap + " ".join(w).encode())
+                    counts.append(n)
+                    ids_sha.append(ids.hexdigest())
+                    words_sha.append(words.hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(words_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.select(F.col("doc_id").cast("long"), "text")
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -37,6 +37,8 @@ PROBE_COST = 60.0
 BUCKET_ROWS = 20_000
 #: Candidates verified at a time.
 PAIRS = 1 << 21
+#: Pairs of sketches compared at a time; of the near ones among them a task holds no more than two a row of its bucket beside.
+NEAR_PAIRS = 1 << 19
 
 
 def fingerprint_bytes(text: bytes, width: int) -> int:
@@ -347,8 +349,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, made = [], []
-            for text in batch.column("text").to_pylist():
-                own = shingle_set(text, width)
+            for text in batch.column("text"):  # one by one, not all as strings at once
+                own = shingle_set(text.as_py(), width)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 made.append(sketch(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(made, pa.binary())], ["doc_id", "text_hash", "node", "sketch"])
@@ -429,11 +431,11 @@ def _dealt(layout: list[tuple[list[int], int]]):
     return run
 
 
-def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, distance) of positions: rows `i` against all rows, those at most `distance` apart."""
-    found_a, found_b, found_far = [], [], []
-    for a in range(0, len(i), max(1, PAIRS // max(1, len(words)))):
-        own = i[a : a + max(1, PAIRS // max(1, len(words)))]
+def _near(words: np.ndarray, i: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, distance) of positions: rows `i` against all rows, those at most `distance` apart; NEAR_PAIRS are compared at a time."""
+    step = max(1, NEAR_PAIRS // max(1, len(words)))
+    for a in range(0, len(i), step):
+        own = i[a : a + step]
         far = np.bitwise_count(words[own, 0][:, None] ^ words[None, :, 0])
         for lane in (1, 2):  # unlike sketches are mostly told by three lanes
             far += np.bitwise_count(words[own, lane][:, None] ^ words[None, :, lane])
@@ -443,10 +445,7 @@ def _near(words: np.ndarray, i: np.ndarray, distance: int) -> tuple[np.ndarray,
             total = total + np.bitwise_count(words[own[x], lane] ^ words[y, lane])
             keep = total <= distance
             x, y, total = x[keep], y[keep], total[keep]
-        found_a.append(own[x])
-        found_b.append(y)
-        found_far.append(total.astype(np.int64))
-    return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (found_a, found_b, found_far))
+        yield own[x], y, total.astype(np.int64)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -491,44 +490,53 @@ def link_bucket(node: np.ndarray, words: np.ndarray, sure: int, distance: int, l
     only the rows outside the largest group are then compared with all.
     """
     n = len(node)
-    left, right, far = (np.zeros(0, np.int64) for _ in range(3))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rest = np.arange(n)
     if n > ALL_PAIRS:
         open_, seen = np.ones(n, bool), 0
         label = np.arange(n)
         while open_.any() and seen < 64:
-            a, b, d = _near(words, np.flatnonzero(open_)[:1], sure)
-            open_[b] = False
-            label[np.isin(label, label[b])] = label[b].min()
-            left, right, far, seen = np.r_[left, a], np.r_[right, b], np.r_[far, d], seen + 1
+            for a, b, _ in _near(words, np.flatnonzero(open_)[:1], sure):
+                open_[b] = False
+                label[np.isin(label, label[b])] = label[b].min()
+                left, right, seen = [*left, a], [*right, b], seen + 1
         rest = np.flatnonzero(label != np.bincount(label).argmax())
-    a, b, d = _near(words, rest, distance)
-    a, b, d = np.r_[left, a], np.r_[right, b], np.r_[far, d]
+    # Near pairs grow with the square of like rows: what they connect is kept as a forest, and a large bucket is compared twice.
+    once = [*_near(words, rest, distance)] if len(rest) * n <= NEAR_PAIRS else None
+    for a, b, d in _near(words, rest, sure) if once is None else once:
+        close = (d <= sure) & (node[a] != node[b])
+        left, right = [*left, a[close]], [*right, b[close]]
+        if sum(map(len, left)) > NEAR_PAIRS:
+            left, right = map(lambda e: [e], _forest(np.concatenate(left), np.concatenate(right)))
+    a, b = np.concatenate(left), np.concatenate(right)
     differ = node[a] != node[b]
-    a, b, d = a[differ], b[differ], d[differ]
-    close = d <= sure
-    x, y = _forest(node[a[close]], node[b[close]]) if close.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    label = _labels(n, a[close], b[close])
-    a, b, d = a[~close], b[~close], d[~close]
-    between = label[a] != label[b]
-    a, b, d = a[between], b[between], d[between]
-    some = likeliest(label, a, b, d)
+    a, b = a[differ], b[differ]
+    x, y = _forest(node[a], node[b]) if len(a) else (a, b)
+    label = _labels(n, a, b)
+    pairs = np.zeros(n, np.int64)
+    some = [np.zeros(0, np.int64)] * 3
+    for a, b, d in _near(words, rest, distance) if once is None else once:
+        between = (d > sure) & (node[a] != node[b]) & (label[a] != label[b])
+        a, b, d = a[between], b[between], d[between]
+        pairs += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        some = [np.r_[old, new] for old, new in zip(some, (a, b, d))]
+        first = likeliest(label, *some)  # of these and of all before: what a part leaves out the whole does not take either
+        some = [e[first] for e in some]
+    a, b, _ = some
     if left_open is not None:
-        other = np.ones(len(a), bool)
-        other[some] = False
-        left_open.append(node[np.union1d(a[other], b[other])])
-    p, q = node[a[some]], node[b[some]]
+        left_open.append(node[pairs > np.bincount(a, minlength=n) + np.bincount(b, minlength=n)])
+    p, q = node[a], node[b]
     return np.r_[x, np.minimum(p, q)], np.r_[y, np.maximum(p, q)], np.r_[np.ones(len(x), bool), np.zeros(len(p), bool)]
 
 
-def open_pairs(node: np.ndarray, words: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a, b) of nodes of different groups whose sketches are at most `distance` apart."""
+def open_pairs(node: np.ndarray, words: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a, b) of nodes of different groups whose sketches are at most `distance` apart, some at a time."""
     number = np.unique(group, return_inverse=True)[1]
-    a, b, _ = _near(words, np.flatnonzero(number != np.bincount(number).argmax()), distance)
-    apart_ = number[a] != number[b]
-    a, b = node[a[apart_]], node[b[apart_]]
-    both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-    return both[:, 0], both[:, 1]
+    outside = number != np.bincount(number).argmax()
+    for a, b, _ in _near(words, np.flatnonzero(outside), distance):
+        met = (number[a] != number[b]) & ((a < b) | ~outside[b])  # a pair of two rows outside comes from either side
+        p, q = node[a[met]], node[b[met]]
+        yield np.minimum(p, q), np.maximum(p, q)
 
 
 def _linked(sure: int, distance: int):
@@ -539,6 +547,12 @@ def _linked(sure: int, distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
+        def edges(*found: list[np.ndarray]) -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["a", "b", "sure"])
+            for x in found:
+                x.clear()
+            return batch
+
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.column_stack([table.column(c).to_numpy() for c in key])
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
@@ -551,15 +565,17 @@ def _linked(sure: int, distance: int):
                     continue
                 words = np.frombuffer(b"".join(kept.slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
                 if group is None:
-                    x, y, s = link_bucket(node[a : a + n], words, sure, distance, left_open)
+                    found = [link_bucket(node[a : a + n], words, sure, distance, left_open)]
                 else:
-                    x, y = open_pairs(node[a : a + n], words, group[a : a + n], distance)
-                    s = np.zeros(len(x), bool)
-                found_a.append(x)
-                found_b.append(y)
-                found_sure.append(s)
-            if found_a and sum(map(len, found_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_a, found_b, found_sure)], ["a", "b", "sure"])
+                    found = ((x, y, np.zeros(len(x), bool)) for x, y in open_pairs(node[a : a + n], words, group[a : a + n], distance))
+                for x, y, s in found:
+                    found_a.append(x)
+                    found_b.append(y)
+                    found_sure.append(s)
+                    if sum(map(len, found_a)) > NEAR_PAIRS:
+                        yield edges(found_a, found_b, found_sure)
+            if found_a:
+                yield edges(found_a, found_b, found_sure)
             if left_open and sum(map(len, left_open)):
                 some = pa.array(np.unique(np.concatenate(left_open)))
                 yield pa.RecordBatch.from_arrays([some, some, pa.nulls(len(some), pa.bool_())], ["a", "b", "sure"])
@@ -648,7 +664,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, simil
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     found = rows.join((F.broadcast(leads) if small else leads).alias("l"), same).select("l.node", "d.text")
