@@ -14,7 +14,7 @@ are compared where the sets share a band of least hashes, which unlike sets do n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 from typing import NamedTuple
@@ -502,82 +502,78 @@ def open_pairs(node: np.ndarray, words: np.ndarray, group: np.ndarray, distance:
         yield np.minimum(p, q), np.maximum(p, q)
 
 
-def few_rows(node: np.ndarray, sketch: pa.ChunkedArray, start: np.ndarray, count: np.ndarray, sure: int, distance: int, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sure) of all pairs at most `distance` apart in buckets of few rows, between groups where there are any."""
+def few_rows(node: np.ndarray, sketch: pa.ChunkedArray, start: np.ndarray, count: np.ndarray, sure: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure) of all pairs at most `distance` apart in buckets of few rows."""
     pairs = [(start[count == n] + i, start[count == n] + j) for n in range(2, FEW_ROWS + 1) for i in range(n) for j in range(i + 1, n)]
     x, y = (np.concatenate(e) for e in zip(*pairs))
-    other = (node[x] != node[y]) & (True if group is None else group[x] != group[y])
-    x, y = x[other], y[other]
+    x, y = x[node[x] != node[y]], y[node[x] != node[y]]
     used, at = np.unique(np.r_[x, y], return_inverse=True)
     words = np.frombuffer(b"".join(sketch.take(used).to_pylist()), np.uint64).reshape(-1, LANES)
     far = np.bitwise_count(words[at[: len(x)]] ^ words[at[len(x) :]]).sum(axis=1, dtype=np.int64)
     near = far <= distance
     p, q = node[x[near]], node[y[near]]
-    return np.minimum(p, q), np.maximum(p, q), (far[near] <= sure) & (group is None)
+    return np.minimum(p, q), np.maximum(p, q), far[near] <= sure
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Of rows that arrive by `key`: tables that hold all rows of their keys, with the start and the number of rows of each."""
+
+    def whole(some: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(some)
+        keys = np.column_stack([table.column(c).to_numpy() for c in key])
+        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        return table, start, np.diff(np.r_[start, len(keys)])
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(c).to_numpy() for c in key])
+        other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        cutoff = int(other[-1]) + 1 if len(other) else 0
+        if rest and (keys[0] != [rest[0].column(c)[0].as_py() for c in key]).any():
+            yield whole(rest)
+            rest = []
+        if cutoff:
+            yield whole([*rest, batch.slice(0, cutoff)])
+            rest = []
+        rest.append(batch.slice(cutoff))
+    if rest:
+        yield whole(rest)
 
 
 def _linked(sure: int, distance: int):
-    """Rows arrive by (bucket, i, j); emits edges, and the nodes of pairs left open as (node, node, null). Rows with a group are of an
-    earlier look: all pairs between groups are emitted."""
-    key = ["bucket", "i", "j"]
+    """Rows arrive by (bucket, i, j); emits edges, and the nodes of pairs left open as (node, node, null)."""
+
+    def edges(*found: list[np.ndarray]) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["a", "b", "sure"])
+        for x in found:
+            x.clear()
+        return batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def edges(*found: list[np.ndarray]) -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["a", "b", "sure"])
-            for x in found:
-                x.clear()
-            return batch
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.column_stack([table.column(c).to_numpy() for c in key])
-            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            count = np.diff(np.r_[start, len(keys)])
+        for table, start, count in whole_keys(batches, ["bucket", "i", "j"]):
             node, kept = table.column("node").to_numpy(), table.column("sketch")
-            group = table.column("group").to_numpy() if "group" in table.schema.names else None
             found_a, found_b, found_sure, left_open = [], [], [], []
             few = (count > 1) & (count <= FEW_ROWS)
             if few.any():
-                x, y, s = few_rows(node, kept, start[few], count[few], sure, distance, group)
+                x, y, s = few_rows(node, kept, start[few], count[few], sure, distance)
                 found_a, found_b, found_sure = [x], [y], [s]
-            many = count > FEW_ROWS
+            many = (count > 1) & ~few
             for a, n in zip(start[many].tolist(), count[many].tolist()):
-                if group is not None and (group[a : a + n] == group[a]).all():
-                    continue
                 words = np.frombuffer(b"".join(kept.slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
-                if group is None:
-                    found = [link_bucket(node[a : a + n], words, sure, distance, left_open)]
-                else:
-                    found = ((x, y, np.zeros(len(x), bool)) for x, y in open_pairs(node[a : a + n], words, group[a : a + n], distance))
-                for x, y, s in found:
-                    found_a.append(x)
-                    found_b.append(y)
-                    found_sure.append(s)
-                    if sum(map(len, found_a)) > NEAR_PAIRS:
-                        yield edges(found_a, found_b, found_sure)
+                x, y, s = link_bucket(node[a : a + n], words, sure, distance, left_open)
+                found_a.append(x)
+                found_b.append(y)
+                found_sure.append(s)
+                if sum(map(len, found_a)) > NEAR_PAIRS:
+                    yield edges(found_a, found_b, found_sure)
             if found_a:
                 yield edges(found_a, found_b, found_sure)
             if left_open and sum(map(len, left_open)):
                 some = pa.array(np.unique(np.concatenate(left_open)))
                 yield pa.RecordBatch.from_arrays([some, some, pa.nulls(len(some), pa.bool_())], ["a", "b", "sure"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.column_stack([batch.column(c).to_numpy() for c in key])
-            other = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            cutoff = int(other[-1]) + 1 if len(other) else 0
-            if rest and (keys[0] != [rest[0].column(c)[0].as_py() for c in key]).any():
-                yield from solve(pa.Table.from_batches(rest))
-                rest = []
-            if cutoff:
-                yield from solve(pa.Table.from_batches([*rest, batch.slice(0, cutoff)]))
-                rest = []
-            rest.append(batch.slice(cutoff))
-        if rest:
-            yield from solve(pa.Table.from_batches(rest))
-
     return run
 
 
@@ -599,8 +595,7 @@ def meeting(nodes: DataFrame, similarity: float) -> Meeting:
 
 
 def met(nodes: DataFrame, how: Meeting) -> DataFrame:
-    """(a, b, sure) of the (node, sketch, bands) rows that meet in a band, and the nodes of pairs left open; of (node, sketch, bands, group)
-    rows all pairs between groups."""
+    """(a, b, sure) of the (node, sketch, bands) rows that meet in a band, and the nodes of pairs left open."""
     columns = [c for c in nodes.columns if c != "bands"]
     dealt = nodes.select(F.explode("bands").alias("bucket"), *columns)
     if how.large:  # at most SEEN / 4 of each band
@@ -623,14 +618,12 @@ def similar_links(nodes: DataFrame, similarity: float, how: Meeting | None = Non
 BROADCAST_LEADS = 1_000_000
 #: Shingle sets of one block, of which a task holds two.
 SET_ROWS = 512
+#: Words of bits in which a task holds sets to compare them; larger ones are compared two by two.
+HELD_WORDS = 1 << 22
 
 
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (a, b) of `pairs` whose shingle sets have that Jaccard similarity; `nodes` has (node, lead struct(doc_id, text_hash)).
-
-    Only the texts of nodes in a pair are read again, one of each.
-    """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes in `asked`; `nodes` has (node, lead struct(doc_id, text_hash)). Only their texts are read again, one of each."""
     leads = written(nodes.select("node", "lead.doc_id", "lead.text_hash").join(asked, "node"), "doubtful")
     small = leads.count() <= BROADCAST_LEADS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("text_hash"), "text").alias("d")
@@ -646,7 +639,12 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, simil
                 row += len(texts)
 
     found = rows.join((F.broadcast(leads) if small else leads).alias("l"), same).select("l.node", "d.text")
-    sets = written(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    return written(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (a, b) of `pairs` whose shingle sets have that Jaccard similarity; `nodes` has (node, lead struct(doc_id, text_hash))."""
+    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive by (i, j), the sets of a pair of blocks before its pairs."""
@@ -678,6 +676,76 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, simil
     return rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").isNotNull()).mapInArrow(judged, "a long, b long")
 
 
+def shared_of(sets: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of positions x, y: how many hashes each two sets share. Hashes that two sets or more hold are numbered, and a set is a row of bits."""
+    whole = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    number = np.unique(whole, return_inverse=True)[1]
+    common = np.bincount(number) > 1
+    kept = common[number]
+    row, column = row[kept], (np.cumsum(common) - 1)[number[kept]]
+    width = int(common.sum()) // 64 + 1
+    if len(sets) * width > HELD_WORDS:
+        return lambda x, y: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())], np.int64)
+    bits = np.zeros((len(sets), width), np.uint64)
+    np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    step = max(1, NEAR_PAIRS // width)
+    return lambda x, y: np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[x[a : a + step]] & bits[y[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(x), step))])
+
+
+def alike_rows(bucket: int, words: np.ndarray, own: np.ndarray, group: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (x, y), connecting all pairs of one bucket that lie in different groups, are at most `distance` apart and whose sets are alike.
+
+    `own` holds the rows' bands: a pair is judged in the first band that it shares. Of rows of two blocks only pairs across count.
+    """
+    size, shared = np.array([len(x) for x in sets]), None
+    found = [(np.zeros(0, np.int64),) * 2]
+    for x, y in open_pairs(np.arange(len(words)), words, group, distance):
+        asked = (block[x] != block[y]) | (block[0] == block).all()
+        asked &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+        x, y = x[asked], y[asked]
+        same = own[x] == own[y]
+        here = own[x, same.argmax(axis=1)] == bucket
+        x, y = x[here], y[here]
+        if len(x):
+            shared = shared or shared_of(sets)
+            both = shared(x, y)
+            like = both >= similarity * (size[x] + size[y] - both)
+            found = [_forest(np.r_[found[0][0], x[like]], np.r_[found[0][1], y[like]])] if like.any() else found
+    return found[0]
+
+
+def alike_between(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, width: int, similarity: float, distance: int) -> DataFrame:
+    """(a, b) that connect what pairs of `grouped` (node, sketch, bands, group) connect that share a band, lie in different groups, are at most
+    `distance` apart and whose shingle sets have that Jaccard similarity.
+
+    Pairs are judged where a bucket's sets lie and are no rows of their own; a bucket of many rows is cut into blocks, of which a task holds two.
+    """
+    met_in = grouped.select(F.explode("bands").alias("bucket"), "node", "group")
+    mixed = met_in.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi")
+    sizes = written(mixed.select("bucket", F.ceil(F.col("n") / SET_ROWS).cast("int").alias("blocks")), "open-buckets")
+    sets = sets_of(docs, nodes, grouped.select("node"), width).join(grouped, "node")
+    home = met_in.select("bucket", "node").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = home.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "block", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, start, count in whole_keys(batches, ["bucket", "i", "j"]):
+            bucket, node, group, block = (table.column(c).to_numpy() for c in ("bucket", "node", "group", "block"))
+            found = [(np.zeros(0, np.int64),) * 2]
+            for a, n in zip(start[count > 1].tolist(), count[count > 1].tolist()):
+                if (group[a : a + n] == group[a]).all():
+                    continue
+                words = np.frombuffer(b"".join(table.column("sketch").slice(a, n).to_pylist()), np.uint64).reshape(-1, LANES)
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles").slice(a, n)]
+                own = np.array(table.column("bands").slice(a, n).to_pylist(), np.int64)
+                x, y = alike_rows(bucket[a], words, own, group[a : a + n], block[a : a + n], sets, similarity, distance)
+                found.append((np.minimum(node[a + x], node[a + y]), np.maximum(node[a + x], node[a + y])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(e)) for e in zip(*found)], ["a", "b"])
+
+    rows = dealt.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.select("bucket", "i", "j", "block", "node", "group", "sketch", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
+
+
 def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, with all their columns as they are, that stay: of each group the one of the smallest doc_id.
 
@@ -701,10 +769,11 @@ def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
         parts = components(found)
         # The likeliest pairs have connected what they do; all other pairs that are still between groups are looked at now.
         at = F.coalesce("component", "node").alias("group")
-        open_ = links.filter("sure is null").select(F.col("a").alias("node")).join(nodes.select("node", "sketch", "bands"), "node").join(parts, "node", "left").select("node", "sketch", "bands", at)
-        further = written(met(written(open_, "open-sketches"), how).select("a", "b").join(doubt, ["a", "b"], "left_anti"), "open-pairs")
+        left = links.filter("sure is null").select(F.col("a").alias("node")).distinct()
+        open_ = written(left.join(nodes.select("node", "sketch", "bands"), "node").join(parts, "node", "left").select("node", "sketch", "bands", at), "open-sketches")
+        further = written(alike_between(docs, nodes, open_, width, similarity, how.distance), "further-links") if not open_.isEmpty() else open_
         if not further.isEmpty():
-            parts = components(written(found.unionByName(alike(docs, nodes, further, width, similarity)), "further-links"))
+            parts = components(found.unionByName(further))
     leads = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("lead").alias("lead"))
     return keep_leads(docs, written(leads.select("lead.doc_id", "lead.text_hash"), "leaders"))
 

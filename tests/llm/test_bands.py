@@ -75,3 +75,62 @@ def test_small_buckets_are_linked_as_large_ones(spark, monkeypatch, few):
             rows.append((g * 10 + v, " ".join([*own[: 119 - v], f"v{v}"])))
     got = {r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {g * 10 for g in range(40)}
+
+
+def family(seed=6, texts=45):
+    """Sets that share most of 400 hashes, in three groups, with sketches and bands."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: 400 - k], rng.integers(0, 1 << 63, k, dtype=np.uint64)]) for k in rng.integers(8, 50, texts)]
+    whole, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    return sets, shingles.sketches(whole, at), shingles.bands(whole, at, 12), np.arange(texts) % 3
+
+
+def joined(n, x, y):
+    label = np.arange(n)
+    for _ in range(n):
+        for a, b in zip(x, y):
+            label[a] = label[b] = min(label[a], label[b])
+    return label.tolist()
+
+
+@pytest.mark.parametrize("held", [1 << 22, 1])
+def test_pairs_of_a_bucket_are_judged_where_they_lie(monkeypatch, held):
+    """What a bucket's sets connect is what all its pairs do, each judged in the first band that it shares, in blocks as at once."""
+    monkeypatch.setattr(simhash, "HELD_WORDS", held)
+    monkeypatch.setattr(simhash, "NEAR_PAIRS", 700)
+    sets, words, own, group = family()
+    n = len(sets)
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    size = np.array([len(s) for s in sets])
+    alike = (both >= 0.8 * (size[:, None] + size[None] - both)) & (group[:, None] != group[None]) & (own[:, None] == own[None]).any(axis=2)
+    alike &= np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= 101
+    assert 50 < alike.sum() < n * n / 2
+    for blocks in (1, 3):
+        links = []
+        for bucket in np.unique(own):
+            at = np.flatnonzero((own == bucket).any(axis=1))
+            for i in range(blocks):
+                for j in range(i, blocks):
+                    some = at[(at % blocks == i) | (at % blocks == j)]
+                    if len(some) > 1:
+                        x, y = simhash.alike_rows(bucket, words[some], own[some], group[some], some % blocks, [sets[k] for k in some], 0.8, 101)
+                        assert len(x) < len(some)
+                        links += zip(some[x].tolist(), some[y].tolist())
+        assert joined(n, *zip(*links)) == joined(n, *np.nonzero(alike))
+
+
+def test_open_pairs_are_no_rows(spark, monkeypatch):
+    """A large group of texts around the bound: the rows of the last step grow with its texts, not with its pairs."""
+    rng, made = np.random.default_rng(3), []
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+    rows = []
+    for v in range(260):
+        own = list(base)
+        for at in rng.choice(200, 6, replace=False):
+            own[at] = f"y{rng.integers(0, 10**6)}"
+        rows.append((v, " ".join(own)))
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: made.append((name, out := written(df, name), out.count())[::2]) or out)
+    simhash.keep_similar(spark.createDataFrame(rows, DOCS)).count()
+    assert "open-sketches" in dict(made) and max(n for _, n in made) <= 20 * 260  # pairs: 33,670
